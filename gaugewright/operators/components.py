@@ -20,20 +20,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     gives no rows. Any orderable type can name the nodes.
     """
     given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    now = checkpointed(given.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    given = checkpointed(given.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    loops = given.where("u = v").select(F.col("u").alias("node"))
+    now = given.where("u <> v")
     before = _digest(now)
-    if not before[0]:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if before[0] else 0):
         now = checkpointed(_small_star(_large_star(now)))
         after = _digest(now)
         if after == before:
             break
         before = after
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).distinct()
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    linked = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    linked = linked.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    alone = loops.join(linked, "node", "left_anti")
+    return linked.unionByName(alone.select("node", F.col("node").alias("component")))
 
 
 def _digest(pairs: DataFrame) -> tuple:
@@ -45,9 +48,7 @@ def _large_star(pairs: DataFrame) -> DataFrame:
     """Each larger neighbour of a node moves to the smallest of that node and its neighbours."""
     both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    loops = pairs.where("u = v")
-    return moved.union(loops).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
@@ -55,4 +56,4 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
     moved = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select("u", F.col("m").alias("v"))
-    return moved.union(own).where("u <> v").union(pairs.where("u = v")).distinct()
+    return moved.union(own).where("u <> v").distinct()
