@@ -80,10 +80,10 @@ def negative_value(spark, sf_dir):
 
 
 @query(f"""{_LIMITED}, v AS (SELECT event_id, station, sensor, value * 1.0003 AS value, low, high FROM l), g AS (SELECT station, sensor, median(value) FILTER (WHERE NOT coalesce(value < low OR value > high, false)) AS med FROM v GROUP BY ALL)
-SELECT event_id, round(value, 4) AS value_raw, round(CASE WHEN coalesce(value < low OR value > high, false) THEN round(med, 2) ELSE value END, 4) AS value, coalesce(value < low OR value > high, false)::VARCHAR AS corrected FROM v JOIN g USING (station, sensor)""")
+SELECT event_id, round(value, 8) AS value_raw, round(CASE WHEN coalesce(value < low OR value > high, false) THEN round(med, 2) ELSE value END, 8) AS value, coalesce(value < low OR value > high, false)::VARCHAR AS corrected FROM v JOIN g USING (station, sensor)""")
 def rain_correction(spark, sf_dir):
     rows = _limited(spark, sf_dir).withColumns({"value": F.col("value") * 1.0003, "corrects": F.lit(True)})
-    return rounded(instant.correct(rows).select("event_id", "value_raw", "value", "corrected"))
+    return rounded(instant.correct(rows).select("event_id", "value_raw", "value", "corrected"), 8)
 
 
 @query(f"""WITH {M}, s AS (SELECT station, sensor, count(*) FILTER (WHERE value <= 8) AS a, count(*) FILTER (WHERE value > 8 AND value <= 11) AS b, count(*) FILTER (WHERE value > 200) AS c, min(ts) FILTER (WHERE value <= 8) AS ta, min(ts) FILTER (WHERE value > 8 AND value <= 11) AS tb, min(ts) FILTER (WHERE value > 200) AS tc FROM m GROUP BY ALL)
