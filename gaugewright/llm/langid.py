@@ -108,7 +108,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NA
             out = []
             for text in batch.column("text"):
                 text = text.as_py()
-                if text is None or not tools or not _LETTER.search(text):
+                if text is None or not content.value or not _LETTER.search(text):
                     out.append(("und", 0.0, True))
                 else:
                     lang, score, lead = classify(text, tools)

@@ -3,14 +3,18 @@
 A document's units are its whole text, its paragraphs (between blank lines) and its lines. A unit
 and a template are compared by their normalised words' bigrams, counted with repetition, so that a
 unit's size is known from its word count: a coefficient of t needs sizes within (2 - t) / t of each
-other, and units that no template's bounds admit are dropped before any bigram is made. What is
-left meets the templates' bigrams in a broadcast hash join whose size is bounded by the templates.
+other, and units that no template's bounds admit are dropped before any bigram is made. The same
+bounds say how many of a template's bigrams a match can lack, so that it must have one of a few
+words; texts with none of them are left out by a plain search. What is left meets the templates'
+bigrams in a broadcast hash join whose size is bounded by the templates.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,10 +69,45 @@ def template_rows(templates: dict[str, list[str]]) -> list[tuple[str, str, str,
     return rows
 
 
-def _units(docs: DataFrame) -> DataFrame:
-    """doc_id, unit and norm: words between single spaces, of the whole text, of paragraphs and of lines."""
-    ascii_lower = F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    norm = docs.where("text is not null").select("doc_id", F.regexp_replace(ascii_lower, r"[^a-z0-9\n]+", " ").alias("norm"))
+def required_words(rows: list[tuple[str, str, str, int, int]], threshold: float, least: int = 6) -> list[tuple[str, ...]]:
+    """Word groups of which every match has at least one whole, for template rows.
+
+    A match has at least t / (2 - t) of a wording's bigrams. So of any set of bigrams that is larger
+    than the rest it has one. Words of ``least`` letters are chosen, the longest and most frequent
+    first, until the bigrams that hold them are such a set; where they are too few, the set is made
+    of the longest bigrams, and both words of one are required.
+    """
+    single: set[str] = set()
+    double: set[tuple[str, ...]] = set()
+    sizes = {r[1]: r[4] for r in rows}
+    for wording in sorted(sizes, key=lambda w: (sizes[w], w)):
+        pairs = [(tuple(r[2].split(" ")), r[3]) for r in rows if r[1] == wording]
+        need = math.floor(sizes[wording] - sizes[wording] * threshold / (2 - threshold) + 1e-9) + 1
+
+        def covered(words: set[str], pairs: list = pairs) -> int:
+            return sum(n for p, n in pairs if words & set(p))
+
+        usable = {w for p, _ in pairs for w in p if len(w) >= least}
+        if covered(single | usable) >= need:
+            while covered(single) < need:
+                single.add(max(usable - single, key=lambda w: ((covered(single | {w}) - covered(single)) * len(w) ** 3, w)))
+        else:
+            for p, n in sorted(pairs, key=lambda x: (-len(x[0][0]) - len(x[0][1]), x)):
+                if need > 0:
+                    double.add(p)
+                    need -= n
+    return sorted((w,) for w in single) + sorted(double)
+
+
+def _has_word(text: Column, groups: list[tuple[str, ...]]) -> Column:
+    whole = [reduce(lambda a, b: a & b, [F.contains(text, F.lit(w)) for w in group]) for group in groups]
+    return reduce(lambda a, b: a | b, whole, F.lit(False))
+
+
+def _units(docs: DataFrame, words: list[tuple[str, ...]]) -> DataFrame:
+    """doc_id, unit and norm: words between single spaces, of the whole text, of paragraphs and of lines that have a required word."""
+    lower = docs.select("doc_id", F.lower("text").alias("text")).where(_has_word(F.col("text"), words))
+    norm = lower.select("doc_id", F.regexp_replace("text", r"[^a-z0-9\n]+", " ").alias("norm"))
     whole = F.array(F.struct(F.lit("text").alias("kind"), F.lit(0).alias("pos"), F.regexp_replace("norm", r"\s+", " ").alias("norm")))
 
     def parts(kind: str, split: Column) -> Column:
@@ -76,14 +115,14 @@ def _units(docs: DataFrame) -> DataFrame:
         return F.when(F.size(split) > 1, made).otherwise(F.array().cast("array<struct<kind:string,pos:int,norm:string>>"))
 
     every = F.concat(whole, parts("paragraph", F.split("norm", r"\n *\n")), parts("line", F.split("norm", "\n")))
-    return norm.select("doc_id", F.explode(every).alias("u")).select("doc_id", "u.kind", "u.pos", F.trim("u.norm").alias("norm"))
+    return norm.select("doc_id", F.explode(every).alias("u")).select("doc_id", "u.kind", "u.pos", F.trim("u.norm").alias("norm")).where(_has_word(F.col("norm"), words))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Matches: doc_id, kind, pos, license and dice (at least the threshold) of the best wording of each license.
 
-    ``docs`` has doc_id and text; other columns are ignored. Words are runs of ASCII letters (case
-    folded) and digits. A null or empty text, and a unit of fewer than two words, matches nothing.
+    ``docs`` has doc_id and text; other columns are ignored. Words are runs of ASCII letters and
+    digits of the lower-case text. A null or empty text, and a unit of fewer than two words, matches nothing.
     Repeated rows of one doc_id and text give one match; rows of one doc_id with different texts
     are told apart only by what matches.
     """
@@ -92,7 +131,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     known = spark.createDataFrame(rows, "license string, wording string, bigram string, t_count int, t_size int")
     sizes = sorted({r[4] for r in rows})
     words = F.split("norm", " ")
-    units = _units(docs).withColumn("n", F.size(words) - 1)
+    units = _units(docs, required_words(rows, threshold)).withColumn("n", F.size(words) - 1)
     admitted = F.lit(False)
     for m in sizes:
         admitted = admitted | _bounds(F.col("n"), F.lit(m), threshold)
