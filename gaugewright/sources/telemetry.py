@@ -17,7 +17,10 @@ _HEADER = "<STATION>"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files named ``*.MIS`` in any case, below a folder: path, name, size, digest and text. (SRC-12, SRC-14)"""
+    """Files named ``*.MIS`` in any case, below a folder: path, name, size, digest and text. (SRC-12, SRC-14)
+
+    Spark's readers pass over files of no bytes, so these get no row.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[Mm][Ii][Ss]").load(path)
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("digest"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
 

@@ -34,9 +34,9 @@ def distinct_readings(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["station", "sensor", "ts", "value"])
 
 
-def window_sums(stream: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """Sum and count of tumbling windows, each given once when its time has passed."""
-    w = stream.withWatermark("ts", late).groupBy("station", "sensor", F.window("ts", width).alias("w")).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+def window_sums(stream: DataFrame, width: str = "1 hour", late: str | None = "1 day") -> DataFrame:
+    """Sum and count of tumbling windows, each given once when its time has passed; late is None where the stream has its watermark."""
+    w = (stream.withWatermark("ts", late) if late else stream).groupBy("station", "sensor", F.window("ts", width).alias("w")).agg(F.sum("value").alias("total"), F.count("*").alias("n"))
     return w.select("station", "sensor", F.col("w.start").alias("start_ts"), "total", "n")
 
 
