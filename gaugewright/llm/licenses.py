@@ -144,7 +144,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
 
 
 def _bounds(n: Column, m: Column, threshold: float) -> Column:
-    return (n > 0) & (n * (2 - threshold) >= m * threshold) & (m * (2 - threshold) >= n * threshold)
+    """Sizes that can reach the threshold; the rounding of the products is allowed for."""
+    return (n > 0) & (n * (2 - threshold) + 1e-9 >= m * threshold) & (m * (2 - threshold) + 1e-9 >= n * threshold)
 
 
 def license_of_documents(docs: DataFrame, **options) -> DataFrame:
