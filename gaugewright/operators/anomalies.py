@@ -37,3 +37,18 @@ def count_by(df: DataFrame, *keys: str) -> DataFrame:
     total = df.agg(F.count("*").alias("_total"))
     counts = df.groupBy(*keys).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))  # one row
     return counts.select(*keys, "n", (F.col("n") / F.col("_total")).alias("share")).orderBy(F.desc("n"), *keys)
+
+
+def first_detection(members: DataFrame, m: DataFrame) -> DataFrame:
+    """When each anomaly first shows: its earliest member's time, else its series' first. (AGG-34)
+
+    ``members``: rule, station, sensor and ts of the readings that an anomaly names (null for none).
+    """
+    starts = m.groupBy("station", "sensor").agg(F.min("ts").alias("_first"))
+    first = members.groupBy("rule", "station", "sensor").agg(F.min("ts").alias("ts"))
+    return first.join(starts, ["station", "sensor"], "left").select("rule", "station", "sensor", F.coalesce("ts", "_first").alias("ts"))
+
+
+def counters(states: DataFrame, *dims: str) -> DataFrame:
+    """Stations by every combination of dimensions, with totals; a null dimension in the result is the total over it. (AGG-29)"""
+    return states.cube(*dims).agg(F.count_distinct("station").alias("n"), F.grouping_id(*dims).alias("level"))

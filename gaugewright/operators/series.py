@@ -217,3 +217,25 @@ def usable_share(m: DataFrame, keys: Sequence[str] = SERIES, tail_h: float = 1.0
 def limits_frame(spark, params: Params = DEFAULTS) -> DataFrame:
     """The default limits as a dimension."""
     return spark.createDataFrame([(s, lo, hi, fix) for s, (lo, hi, fix) in params.limits.items()], "sensor string, d_low double, d_high double, corrects boolean")
+
+
+def centred_mean(m: DataFrame, rows: int = 72, keys: Sequence[str] = SERIES) -> DataFrame:
+    """Mean over a centred frame of rows, as many as there are at the ends; an even frame leans back. (WIN-09)"""
+    frame = _by(keys, "ts").rowsBetween(-(rows // 2), rows - rows // 2 - 1)
+    return m.withColumn("centred", F.avg("value").over(frame))
+
+
+def convolve(m: DataFrame, kernel: Sequence[float], keys: Sequence[str] = SERIES) -> DataFrame:
+    """The series' past weighted by a kernel of fixed length: sum of kernel[k] * value[t - k]. (WIN-21)"""
+    order = _by(keys, "ts")
+    total = F.lit(0.0)
+    for k, weight in enumerate(kernel):
+        total = total + F.lit(float(weight)) * F.coalesce(F.lag("value", k).over(order) if k else F.col("value"), F.lit(0.0))
+    return m.withColumn("convolved", total)
+
+
+def split_at(m: DataFrame, day: str) -> dict[str, DataFrame]:
+    """History before a day, the day itself and the rest. (SET-06)"""
+    at = F.to_date("ts")
+    pivot = F.lit(day).cast("date")
+    return {"history": m.where(at < pivot), "day": m.where(at == pivot), "rest": m.where(at > pivot)}

@@ -327,3 +327,11 @@ def parse_telemetry(spark, sf_dir):
     sent = m.select("station", "sensor", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"), F.when(~silent, F.round("value", 2)).alias("value"), F.when(silent, (F.col("event_id") % 4).cast("string")).alias("code"))
     files = telemetry.telemetry_lines(sent).select(F.col("station").alias("path"), "text")
     return telemetry.parse_telemetry(files).select("station", "sensor", "ts", "value", "code")
+
+
+@query(f"""WITH {M}, {EDGES}, {STATIONS}, bb AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM st), k AS (SELECT e.*, src AS s, dst AS d FROM e WHERE length < 14000 OR length > 20000)
+SELECT st.station AS node, x, y, (SELECT max(length) FROM k WHERE k.d = st.station) AS stream_order FROM st, bb WHERE station IN (SELECT d FROM k) AND station NOT IN (SELECT s FROM k) AND x > x0 + 3000 AND x < x1 - 3000 AND y > y0 + 3000 AND y < y1 - 3000""")
+def unexplained_stops(spark, sf_dir):
+    m = measurements(spark, sf_dir)
+    e = tree_edges(m).where("length < 14000 or length > 20000").withColumn("stream_order", F.col("length"))
+    return graph.unexplained_stops(e, stations_frame(m).select(F.col("station").alias("node"), "x", "y"))

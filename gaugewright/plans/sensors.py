@@ -345,3 +345,32 @@ def utm_coordinates(spark, sf_dir):
     x, y = (500_000 + F.col("s_suppkey") * 137 % 200_000).cast("double"), (3_500_000 + F.col("s_suppkey") * 911 % 600_000).cast("double")
     lat, lon = utm_to_latlon(x, y, zone=32)
     return s.select("s_suppkey", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+
+
+@query(f"WITH {M} SELECT event_id, round(avg(value) OVER ({_BY} ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING), 6) AS centred FROM m")
+def centred_mean(spark, sf_dir):
+    return rounded(series.centred_mean(measurements(spark, sf_dir), 6).select("event_id", "centred"), 6)
+
+
+@query(f"WITH {M} SELECT event_id, round(0.53 * value + 0.31 * coalesce(lag(value, 1) OVER w, 0) + 0.17 * coalesce(lag(value, 2) OVER w, 0), 6) AS convolved FROM m WINDOW w AS ({_BY} ORDER BY ts)")
+def convolution(spark, sf_dir):
+    return rounded(series.convolve(measurements(spark, sf_dir), (0.53, 0.31, 0.17)).select("event_id", "convolved"), 6)
+
+
+@query(f"WITH {M}, f AS (SELECT station, sensor, min(ts) AS a FROM m GROUP BY ALL), x AS (SELECT station, sensor, min(ts) FILTER (WHERE value > 200) AS b FROM m GROUP BY ALL) SELECT station, sensor, coalesce(b, a) AS ts FROM f JOIN x USING (station, sensor)")
+def first_detection(spark, sf_dir):
+    m = measurements(spark, sf_dir)
+    members = m.select(F.lit("R2").alias("rule"), "station", "sensor", F.when(F.col("value") > 200, F.col("ts")).alias("ts"))
+    return anomalies.first_detection(members, m).drop("rule")
+
+
+@query("SELECT n_regionkey::BIGINT AS region, c_mktsegment AS segment, count(DISTINCT c_custkey) AS n, (GROUPING(n_regionkey) * 2 + GROUPING(c_mktsegment))::BIGINT AS level FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY CUBE (n_regionkey, c_mktsegment)")
+def dashboard_counters(spark, sf_dir):
+    joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return anomalies.counters(joined.select(F.col("c_custkey").alias("station"), F.col("n_regionkey").cast("long").alias("region"), F.col("c_mktsegment").alias("segment")), "region", "segment")
+
+
+@query(f"WITH {M} SELECT CASE WHEN ts::DATE < DATE '2024-01-15' THEN 'history' WHEN ts::DATE = DATE '2024-01-15' THEN 'day' ELSE 'rest' END AS part, count(*) AS n, round(sum(value), 4) AS total FROM m GROUP BY ALL")
+def pivot_date_split(spark, sf_dir):
+    parts = [df.select(F.lit(name).alias("part"), "value") for name, df in series.split_at(measurements(spark, sf_dir), "2024-01-15").items()]
+    return rounded(parts[0].union(parts[1]).union(parts[2]).groupBy("part").agg(F.count("*").alias("n"), F.sum("value").alias("total")))

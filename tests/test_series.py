@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaugewright.functions import scalar, stats
 from gaugewright.operators import anomalies, crossing, instant, interstation, longterm, series, state
 from gaugewright.params import BATTERY, DEFAULTS, DISCHARGE, LEVEL, RAIN
+from gaugewright.sources import synthetic
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "station string, sensor string, ts timestamp_ntz, value double"
@@ -214,3 +215,19 @@ def test_scalars(spark):
 def test_history_rules_give_one_schema(spark):
     out = longterm.long_term_anomalies(make(spark, [1] + [2] * 80), replace(DEFAULTS, shift_min_days=2))
     assert tuple(out.columns) == anomalies.COLUMNS and "L1" in rules(out)
+
+
+def test_injected_faults_are_found_and_healthy_series_are_not(spark):
+    n = 16
+    clean = synthetic.healthy(spark, n, days=90).persist()
+    journal = {(r["station"], r["rule"]) for r in synthetic.fault_journal(spark, n).collect()}
+    broken = synthetic.inject(clean, synthetic.fault_journal(spark, n)).persist()
+    params = replace(DEFAULTS, silence_h=48.0)
+
+    def found(m):
+        rows = {(r["station"], r["rule"]) for r in longterm.long_term_anomalies(m, params).collect()}
+        gaps = instant.steps_against_mode(m).where("kind = 'gap'").select("station").distinct().collect()
+        return rows | {(r["station"], "R7") for r in gaps}
+
+    assert found(clean) == set()
+    assert journal <= found(broken)
