@@ -60,4 +60,4 @@ def rain_without_response(rain: DataFrame, level: DataFrame, params: Params = DE
     signals = response_candidates(rain, level, params, min_rain, min_level).where("verdict = 'signal'")
     s = suppress(signals, params.response_h).withColumn("sensor", F.lit(params.level))
     severity = F.when(F.col("mm") >= 2 * params.response_rain_mm, "high").otherwise("medium")
-    return anomaly(s, "L7", "rain_without_response", severity, F.col("ts"), None, F.col("mm"), params.response_rain_mm)
+    return anomaly(s, "L7", "pluie_sans_reponse", severity, F.col("ts"), None, F.col("mm"), params.response_rain_mm)

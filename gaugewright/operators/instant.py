@@ -23,9 +23,9 @@ def battery_levels(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str]
     v = F.col("value")
     dead, alert, over = v <= params.battery_no_return, (v > params.battery_no_return) & (v <= params.battery_alert), v > params.battery_overcharge
     s = m.groupBy(*keys).agg(*[x for n, p in (("dead", dead), ("alert", alert), ("over", over)) for x in (F.count_if(p).alias(f"n_{n}"), F.min(F.when(p, F.col("ts"))).alias(f"ts_{n}"))], F.min("value").alias("lowest"), F.max("value").alias("highest"))
-    a = anomaly(s.where("n_dead > 0"), "BAT-a", "battery_no_return", "high", F.col("ts_dead"), F.col("n_dead"), F.col("lowest"), params.battery_no_return)
-    b = anomaly(s.where("n_dead = 0 and n_alert > 0"), "BAT-b", "battery_discharge", "high", F.col("ts_alert"), F.col("n_alert"), F.col("lowest"), params.battery_alert)
-    c = anomaly(s.where("n_over > 0"), "BAT-c", "battery_overcharge", "medium", F.col("ts_over"), F.col("n_over"), F.col("highest"), params.battery_overcharge)
+    a = anomaly(s.where("n_dead > 0"), "BAT-a", "batterie_non_retour", "high", F.col("ts_dead"), F.col("n_dead"), F.col("lowest"), params.battery_no_return)
+    b = anomaly(s.where("n_dead = 0 and n_alert > 0"), "BAT-b", "batterie_decharge", "high", F.col("ts_alert"), F.col("n_alert"), F.col("lowest"), params.battery_alert)
+    c = anomaly(s.where("n_over > 0"), "BAT-c", "batterie_surcharge", "medium", F.col("ts_over"), F.col("n_over"), F.col("highest"), params.battery_overcharge)
     return a.unionByName(b).unionByName(c)
 
 
@@ -122,7 +122,7 @@ def instant_anomalies(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[st
         battery_levels(fixed.where(F.col("sensor") == params.battery), params, keys), range_anomalies(fixed, keys), corrected_anomalies(fixed, keys), negative_values(fixed, keys),
         flatline_full(live, params, keys), flatline_longest(live, params, keys), all_zeros(live, keys), step_anomalies(fixed, 1.5, keys),
         _counted(duplicate_timestamps(fixed, keys), keys, "R5", "duplicate_timestamps", "medium", F.count("*").cast("double")),
-        _counted(fixed.where("code is not null"), keys, "R9", "silent_reading", "medium", F.count("*").cast("double")),
+        _counted(fixed.where("code is not null"), keys, "R9", "capteur_muet_ponctuel", "medium", F.count("*").cast("double")),
     ]
     out = parts[0]
     for p in parts[1:]:

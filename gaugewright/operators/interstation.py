@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewright.functions.stats import HOUR, exact_median, inverse_square, micros, weighted_mean, with_median_mad
+from gaugewright.operators.anomalies import anomaly
 from gaugewright.operators.intervals import interval_join
 from gaugewright.operators.series import dense_daily, predicate_runs
 from gaugewright.params import DEFAULTS, Params
@@ -58,6 +59,12 @@ def false_zero_episodes(rain: DataFrame, neighbours: DataFrame, params: Params =
     return s.drop("_i").withColumn("severity", F.when(F.col("expected") >= params.expected_severe_mm, "high").otherwise("medium"))
 
 
+def false_zero_anomalies(rain: DataFrame, neighbours: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Episodes of false zeros as anomalies of the one shape. (I1)"""
+    s = false_zero_episodes(rain, neighbours, params).withColumn("sensor", F.lit(params.rain))
+    return anomaly(s, "I1", "I1_faux_zero_pluie", F.col("severity"), F.col("first_day").cast("timestamp_ntz"), F.col("n_days"), F.col("expected"), params.expected_mm)
+
+
 def flood_events(level: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Islands above the median by scaled MADs: station, first_ts, last_ts, n, peak, peak_ts, rise. (WIN-05, AGG-16)"""
     stats = with_median_mad(level, ["station"])
@@ -121,6 +128,12 @@ def flood_propagation(level: DataFrame, pairs: DataFrame, params: Params = DEFAU
     return declined.unionByName(decided)
 
 
+def flood_anomalies(propagation: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Floods that did not pass on, as anomalies of the downstream station. (I2)"""
+    s = propagation.where("verdict = 'anomaly'").withColumns({"station": F.col("down"), "sensor": F.lit(params.level)})
+    return anomaly(s, "I2", "I2_crue_non_propagee", "high", F.col("first_ts"), None, F.col("peak"), F.col("threshold"))
+
+
 def decline_reasons(declines: DataFrame, text: str = "reason") -> DataFrame:
     """Reasons by what stands before `` of `` or a colon, with their number and one example. (AGG-25)"""
     head = F.substring_index(F.substring_index(text, " of ", 1), " : ", 1)

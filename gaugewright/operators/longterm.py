@@ -25,7 +25,7 @@ def long_flatline(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] =
     sensors = sensors if sensors is not None else (params.level, params.discharge)
     runs = trailing_run(m.where(F.col("sensor").isin(list(sensors))), keys)
     resting = (F.col("sensor") == params.discharge) & (F.col("value") == 0)
-    return anomaly(runs.where((F.col("hours") >= params.flatline_long_h) & ~resting), "L1", "flatline_long", "high", F.col("first_ts"), F.col("n"), F.col("hours"), params.flatline_long_h)
+    return anomaly(runs.where((F.col("hours") >= params.flatline_long_h) & ~resting), "L1", "flatline_longue", "high", F.col("first_ts"), F.col("n"), F.col("hours"), params.flatline_long_h)
 
 
 def drift(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = SERIES) -> DataFrame:
@@ -43,7 +43,7 @@ def battery_drift(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] =
     """Batteries that fall by the drift or more; urgent within the given days. (L2)"""
     s = drift(m, params, keys).where(F.col("slope") <= -params.drift_per_day)
     severity = F.when(F.col("days_to_no_return") <= params.drift_urgent_days, "high").otherwise("medium")
-    return anomaly(s, "L2", "battery_drift", severity, F.col("last_ts"), F.col("n"), F.col("slope"), -params.drift_per_day)
+    return anomaly(s, "L2", "batterie_derive", severity, F.col("last_ts"), F.col("n"), F.col("slope"), -params.drift_per_day)
 
 
 def no_recharge(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = SERIES) -> DataFrame:
@@ -55,7 +55,7 @@ def no_recharge(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = S
         F.avg(F.when(~F.col("recent"), charged.cast("int"))).alias("share"), F.max(F.when(charged, F.col("ts"))).alias("last_charged"),
     )
     s = s.where((F.col("n_recent") >= params.drift_min_rows) & (F.col("n_older") >= params.recharge_min_rows) & (F.col("max_recent") < params.recharge_level) & (F.col("share") > params.recharge_share))
-    return anomaly(s, "L2b", "battery_not_charging", "medium", F.col("last_charged"), F.col("n_recent"), F.col("max_recent"), params.recharge_level)
+    return anomaly(s, "L2b", "batterie_charge_absente", "medium", F.col("last_charged"), F.col("n_recent"), F.col("max_recent"), params.recharge_level)
 
 
 def silent_series(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = SERIES, hours: float | None = None) -> DataFrame:
@@ -68,7 +68,7 @@ def silent_series(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] =
     clock = last.agg(F.max("last_ts").alias("_now"))
     lag = (micros("_now") - micros("last_ts")) / float(HOUR)
     s = last.crossJoin(F.broadcast(clock)).withColumn("lag_h", lag).where(F.col("lag_h") >= hours)  # one row
-    return anomaly(s, "L3", "silent_series", "high", F.col("last_ts"), F.col("n"), F.col("lag_h"), hours)
+    return anomaly(s, "L3", "station_muette", "high", F.col("last_ts"), F.col("n"), F.col("lag_h"), hours)
 
 
 def recent_outliers(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = SERIES, recent_h: float = 24.0) -> DataFrame:
@@ -77,7 +77,7 @@ def recent_outliers(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str]
     older = with_median_mad(rows.where("not recent"), keys).groupBy(*keys).agg(F.count("*").alias("n_older"), F.first("med").alias("med"), F.first("mad").alias("mad"))
     far = rows.where("recent").join(older.where((F.col("n_older") >= params.outlier_min_rows) & (F.col("mad") > 0)), list(keys)).withColumn("off", F.abs(F.col("value") - F.col("med"))).where(F.col("off") > params.outlier_k * params.mad_scale * F.col("mad"))
     s = far.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ts").alias("at"), F.max_by("value", F.struct("off", (-micros("ts")).alias("back"))).alias("extreme"), F.first("med").alias("med"))
-    return anomaly(s, "L4", "unusual_value", "medium", F.col("at"), F.col("n"), F.col("extreme"), F.col("med"))
+    return anomaly(s, "L4", "valeur_inhabituelle", "medium", F.col("at"), F.col("n"), F.col("extreme"), F.col("med"))
 
 
 def trend(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = SERIES) -> DataFrame:
@@ -94,7 +94,7 @@ def continuous_trend(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str
     s = trend(m, params, keys).withColumn("move", F.abs(F.col("slope") * F.col("span_days")))
     limit = F.greatest(5 * params.mad_scale * F.col("mad"), 0.1 * F.col("range"))
     s = s.withColumn("limit", limit).where((F.col("n") >= params.trend_min_rows) & (F.col("span_days") >= params.trend_min_days) & (F.col("n_older") >= params.trend_min_history) & (F.col("r2") >= params.trend_r2) & (F.col("move") > F.col("limit")))
-    return anomaly(s, "L5", "continuous_trend", "medium", F.col("at"), F.col("n"), F.col("move"), F.col("limit"))
+    return anomaly(s, "L5", "tendance_continue", "medium", F.col("at"), F.col("n"), F.col("move"), F.col("limit"))
 
 
 def mean_shift(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = SERIES) -> DataFrame:
@@ -117,7 +117,7 @@ def mean_shift(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = SE
 def mean_shift_anomalies(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = SERIES) -> DataFrame:
     """Ruptures of the mean. (L6)"""
     s = mean_shift(m, params, keys).where("rupture")
-    return anomaly(s, "L6", "mean_shift", "medium", F.col("at").cast("timestamp_ntz"), F.col("n"), F.col("shift"), F.col("limit"))
+    return anomaly(s, "L6", "rupture_moyenne", "medium", F.col("at").cast("timestamp_ntz"), F.col("n"), F.col("shift"), F.col("limit"))
 
 
 def rule_applicability(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = SERIES) -> DataFrame:

@@ -175,6 +175,7 @@ def test_neighbours_and_false_zeros(spark):
         rain = rain.union(make(spark, [1] * 48 + [0] * 24, station=s))
     got = interstation.false_zero_episodes(rain.drop("sensor"), near).where("station = 'A'").collect()
     assert len(got) == 1 and got[0]["n_days"] == 2 and got[0]["severity"] == "high"
+    assert tuple(interstation.false_zero_anomalies(rain.drop("sensor"), near).columns) == anomalies.COLUMNS
 
 
 def test_flood_propagation_verdicts(spark):
@@ -183,7 +184,9 @@ def test_flood_propagation_verdicts(spark):
     answer = [v + (40 if 203 <= i < 215 else 0) for i, v in enumerate(base)]
     level = make(spark, flood, station="U").union(make(spark, answer, station="D")).union(make(spark, base, station="Q")).drop("sensor")
     pairs = spark.createDataFrame([("U", "D", 20.0, "haute", True), ("U", "Q", 20.0, "haute", True), ("D", "X", 20.0, "haute", True), ("U", "D2", 500.0, "moyenne", True)], "up string, down string, km double, reliability string, same_origin boolean")
-    got = {(r["up"], r["down"]): (r["verdict"], r["reason"]) for r in interstation.flood_propagation(level, pairs).collect()}
+    spread = interstation.flood_propagation(level, pairs)
+    assert [(r["station"], r["type"]) for r in interstation.flood_anomalies(spread).collect()] == [("Q", "I2_crue_non_propagee")]
+    got = {(r["up"], r["down"]): (r["verdict"], r["reason"]) for r in spread.collect()}
     assert got == {("U", "D"): ("confirmation", None), ("U", "Q"): ("anomaly", None), ("D", "X"): ("decline", "no_level"), ("U", "D2"): ("decline", "reliability")}
 
 
