@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,20 @@ def _covered(original: bytes, text: str, found: list) -> tuple[int, list[dict]]:
     return sum(b - a for a, b in runs), [{"start": int(before[starts[a]]), "end": int(before[ends[b - 1]])} for a, b in runs]
 
 
+def _passes(benchmark: DataFrame, window: int, automaton_bytes: int) -> Iterator[dict[str, list[int]]]:
+    """The windows of the benchmark's items with the items' ids, in parts of about ``automaton_bytes`` of text; one part at least."""
+    items = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // automaton_bytes))
+    for part in range(parts):
+        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        patterns: dict[str, set[int]] = {}
+        for row in own.collect():  # bounded by automaton_bytes, about
+            for w in windows(row["text"], window):
+                patterns.setdefault(w.decode("latin-1"), set()).add(row["item_id"])
+        yield {w: sorted(ids) for w, ids in sorted(patterns.items())}
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """One row per document: n_words, n_hit (words inside any window's occurrence), items and spans.
 
@@ -106,24 +121,39 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     that every task builds. A larger one is cut by items, each part is scanned for in a pass of its
     own, and the passes' spans are united.
     """
-    items = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
-    sized = items.select("item_id", "text", F.octet_length("text").alias("n"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-total // automaton_bytes))
-    found = None
-    for part in range(parts):
-        own = sized if parts == 1 else sized.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        patterns: dict[str, set[int]] = {}
-        for row in own.select("item_id", "text").collect():  # bounded by automaton_bytes, about
-            for w in windows(row["text"], window):
-                patterns.setdefault(w.decode("latin-1"), set()).add(row["item_id"])
-        one = docs.select("doc_id", "text").mapInArrow(_scan({w: sorted(ids) for w, ids in sorted(patterns.items())}), SCHEMA)
-        found = one if found is None else found.unionByName(one)
-    if parts == 1:
+    passes = _passes(benchmark, window, automaton_bytes)
+    parts = [docs.select("doc_id", "text").mapInArrow(_scan(patterns), SCHEMA) for patterns in passes]
+    found = reduce(DataFrame.unionByName, parts)
+    if len(parts) == 1:
         return found
     return _unite(docs, found)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of docs whose text has no occurrence of a benchmark window, with all their columns.
+
+    A row is judged by its own text and passed on by the task that read it, so nothing is shuffled.
+    A null or empty text stays; so does everything if the benchmark is empty. The benchmark's size
+    is checked as in ``find_contamination``; each of its parts is scanned for on what is left.
+    """
+
+    def without(patterns: dict[str, list[int]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tool = _automaton(patterns)
+            for batch in batches:
+                data, offsets = text_buffer(batch.column("text"))
+                raw = data.tobytes()
+                clean = [next(tool.iter(normalise(raw[a:b]).decode("latin-1")), None) is None for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield batch.filter(pa.array(clean, type=pa.bool_()))
+
+        return run
+
+    for patterns in _passes(benchmark, window, automaton_bytes):
+        if patterns:
+            docs = docs.mapInArrow(without(patterns), docs.schema)
+    return docs
+
+
 def _unite(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The passes' rows of each document as one; words under the united spans are counted anew."""
     merged = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))

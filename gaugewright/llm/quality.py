@@ -266,7 +266,20 @@ def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, base: Rule | Non
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that no rule rejects, with all their columns. Rows of one doc_id are judged together: any rejection drops them."""
-    rejected = judge(docs, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
+def keep_good(docs: DataFrame, rules: Sequence[Rule] | None = None, base: Rule | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows that no rule rejects, with all their columns, by the same cascade as ``judge``.
+
+    Every row is judged by its own text and passed on by the task that read it, so nothing is
+    shuffled. Rows of one doc_id are judged each; a null or empty text goes; an empty table gives no
+    rows. Columns other than text may have any name and type.
+    """
+    rules, base = default_rules() if rules is None else list(rules), base or base_rule()
+    cheap_first = [base, *order_rules(rules, measure_rules(docs, rules, sample_rows))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            for a, b, part, begin in chunks(data, offsets):
+                yield batch.slice(a, b - a).filter(pa.array(cascade(Texts(part, begin), cheap_first) < 0))
+
+    return docs.mapInArrow(run, docs.schema)

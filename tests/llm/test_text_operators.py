@@ -94,7 +94,8 @@ def test_quality_against_brute_force(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_quality(t), repr(t)[:80]
         assert r["kept"] == brute_kept(t), repr(t)[:80]
     assert quality.judge(frame(spark, [])).count() == 0
-    assert {r["doc_id"] for r in quality.keep_good(frame(spark, texts)).collect()} == {i for i in got if got[i]["kept"]}
+    left = quality.keep_good(frame(spark, texts, kept=texts))
+    assert left.columns == ["doc_id", "text", "kept"] and {r["doc_id"] for r in left.collect()} == {i for i in got if got[i]["kept"]}
 
 
 def test_cascade_order_changes_cost_not_verdict():
@@ -142,6 +143,9 @@ def test_contamination_against_brute_force(spark, automaton_bytes):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find_contamination(frame(spark, texts), empty).where("n_hit > 0").count() == 0
     assert decontam.find_contamination(frame(spark, []), bench).count() == 0
+    left = decontam.drop_contaminated(frame(spark, texts, n_hit=texts), bench, automaton_bytes=automaton_bytes)
+    assert left.columns == ["doc_id", "text", "n_hit"] and {r["doc_id"] for r in left.collect()} == {i for i in got if not got[i]["n_hit"]}
+    assert decontam.drop_contaminated(frame(spark, texts), empty).count() == len(texts)
 
 
 def brute_lines(docs, min_sites, min_words=3):
