@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.llm.words import ASCII_NOT_ALNUM, chunks, spans, text_buffer
+from gaugewright.llm.words import ASCII_NOT_ALNUM, chunks, map_batches, spans, text_buffer
 
 #: Benchmark text that one automaton may hold; a larger benchmark is scanned for in several passes.
 AUTOMATON_BYTES = 4 << 20
@@ -122,7 +122,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     own, and the passes' spans are united.
     """
     passes = _passes(benchmark, window, automaton_bytes)
-    parts = [docs.select("doc_id", "text").mapInArrow(_scan(patterns), SCHEMA) for patterns in passes]
+    parts = [map_batches(docs.select("doc_id", "text"), _scan(patterns), SCHEMA) for patterns in passes]
     found = reduce(DataFrame.unionByName, parts)
     if len(parts) == 1:
         return found
@@ -150,7 +150,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, a
 
     for patterns in _passes(benchmark, window, automaton_bytes):
         if patterns:
-            docs = docs.mapInArrow(without(patterns), docs.schema)
+            docs = map_batches(docs, without(patterns), docs.schema)
     return docs
 
 
@@ -176,4 +176,4 @@ def _unite(docs: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
     clean = merged.where(F.size("spans") == 0).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), "items", "spans")
-    return clean.unionByName(hit.select("doc_id", "n_words", "items", "spans", "text").mapInArrow(count, SCHEMA))
+    return clean.unionByName(map_batches(hit.select("doc_id", "n_words", "items", "spans", "text"), count, SCHEMA))

@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugewright.llm.words import map_batches
+
 #: The bound of the labelled sample: documents of a language, characters of each, bytes of a dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 120, 4000, 32 << 10
 
@@ -116,7 +118,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NA
             columns = [pa.array([r[i] for r in out], type=t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def fold_of(doc_id: Column, folds: int = 3) -> Column:

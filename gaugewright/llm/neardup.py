@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.llm.words import ASCII_SPACE, binary_column, list_column, map_chunks, mix, seeds, shingles, span_hashes, spans, unique_runs
+from gaugewright.llm.words import ASCII_SPACE, binary_column, list_column, map_batches, map_chunks, mix, seeds, shingles, span_hashes, spans, unique_runs
 from gaugewright.operators.components import connected_components
 from gaugewright.session import checkpointed
 
@@ -180,7 +180,7 @@ def near_duplicates(
     Every pair that shares a bucket is decided on full sets; with the default 20 bands of 4 values
     a pair at the threshold of 0.85 shares none with a chance of about 4e-7.
     """
-    signed = checkpointed(docs.select("doc_id", "text").mapInArrow(_signatures(shingle_words, permutations, band_values), "doc_id long, n_shingles long, key binary, bands array<long>"))
+    signed = checkpointed(map_batches(docs.select("doc_id", "text"), _signatures(shingle_words, permutations, band_values), "doc_id long, n_shingles long, key binary, bands array<long>"))
     inked = signed.where("n_shingles > 0")
     classes = inked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     banded = checkpointed(classes.select("key", "rep", "n", F.posexplode("bands").alias("band", "bucket")))
@@ -198,9 +198,9 @@ def near_duplicates(
     if needed.count() <= broadcast_ids:
         needed = F.broadcast(needed)
     texts = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_full_sets(shingle_words), "key binary, shingles binary").dropDuplicates(["key"])
+    sets = map_batches(texts, _full_sets(shingle_words), "key binary, shingles binary").dropDuplicates(["key"])
     dealt = units.drop("rep").join(sets, "key").repartition("x1", "x2", "lo", "hi").sortWithinPartitions("x1", "x2", "lo", "hi", "key")
-    links = dealt.select("x1", "x2", "lo", "hi", "key", "block", "shingles").mapInArrow(_confirm(numerator, denominator), "src binary, dst binary")
+    links = map_batches(dealt.select("x1", "x2", "lo", "hi", "key", "block", "shingles"), _confirm(numerator, denominator), "src binary, dst binary")
     found = connected_components(links)
     joined = classes.select("key", "rep").join(found.withColumnRenamed("node", "key"), "key")
     least = joined.groupBy("component").agg(F.min("rep").alias("least"))

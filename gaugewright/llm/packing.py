@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from gaugewright.llm.tokens import encoder, with_end
-from gaugewright.llm.words import CHUNK_BYTES
+from gaugewright.llm.words import CHUNK_BYTES, map_batches
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -148,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: i
         if out := packer.flush():
             yield _batch(out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_batches(docs.select("doc_id", "text"), run, SCHEMA)
 
 
 def text_slices(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

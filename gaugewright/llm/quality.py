@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.llm.words import ASCII_SPACE, chunks, shingles, span_hashes, spans, text_buffer
+from gaugewright.llm.words import ASCII_SPACE, chunks, map_batches, shingles, span_hashes, spans, text_buffer
 
 #: Rows of the sample on which rules are measured, about.
 SAMPLE_ROWS = 2000
@@ -205,7 +205,7 @@ def measure_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAM
                     yield pa.RecordBatch.from_pydict({"rule": [rule.name], "rows": [len(texts)], "rejected": [rejected], "seconds": [time.perf_counter() - began]})
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    found = sample.mapInArrow(run, "rule string, rows long, rejected long, seconds double").groupBy("rule").agg(F.sum("rows").alias("rows"), F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
+    found = map_batches(sample, run, "rule string, rows long, rejected long, seconds double").groupBy("rule").agg(F.sum("rows").alias("rows"), F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds"))
     return {r["rule"]: (r["seconds"] / r["rows"], r["rejected"] / r["rows"]) for r in found.collect()}
 
 
@@ -263,7 +263,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, base: Rule | Non
                     names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return map_batches(docs.select("doc_id", "text"), run, SCHEMA)
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] | None = None, base: Rule | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -282,4 +282,4 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] | None = None, base: Rule |
             for a, b, part, begin in chunks(data, offsets):
                 yield batch.slice(a, b - a).filter(pa.array(cascade(Texts(part, begin), cheap_first) < 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

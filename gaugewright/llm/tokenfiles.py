@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gaugewright.llm.packing import text_slices
 from gaugewright.llm.repair import Block, encode_block
 from gaugewright.llm.tokens import encoder, with_end
-from gaugewright.llm.words import binary_column
+from gaugewright.llm.words import binary_column, map_batches
 
 BLOCKS = "shard int, block long, first_token long, n_tokens long, n_docs long, data binary"
 
@@ -61,7 +61,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if doc_ids:
             yield flush()
 
-    rows.sortWithinPartitions(*keys).mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(path)
+    map_batches(rows.sortWithinPartitions(*keys), run, BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -84,4 +84,4 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 columns = [pa.array(block.doc_ids, type=pa.int64()), pa.array(start + begin[:-1]), pa.array(block.doc_tokens), binary_column(block.ids().astype("<u4"), begin)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return map_batches(placed, run, "doc_id long, start long, n_tokens long, ids binary")

@@ -9,10 +9,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text handled at a time, so that temporaries stay near 20 times this (a longer text goes alone).
 CHUNK_BYTES = 1 << 20
 
+#: Bytes of an Arrow batch that goes to a Python worker, about (a longer row goes alone).
+BATCH_BYTES = 2 << 20
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 5)
 
 
@@ -73,6 +77,17 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> I
         row = to
 
 
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with batches of bounded bytes, so that what a task holds doesn't grow with the length of its texts.
+
+    The bound is a setting of the session; one that the session already has stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(work, schema)
+
+
 def map_chunks(work: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch], text: str = "text"):
     """A function for mapInArrow that applies ``work`` to slices of each batch with the text's bytes and offsets."""
 
