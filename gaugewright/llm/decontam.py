@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +18,15 @@ from pyspark.sql import functions as F
 
 from gaugewright.llm.words import ASCII_NOT_ALNUM, chunks, map_batches, spans, text_buffer
 
-#: Benchmark text that one automaton may hold; a larger benchmark is scanned for in several passes.
+#: Benchmark text that one automaton may hold; a larger benchmark is scanned for in parts.
 AUTOMATON_BYTES = 4 << 20
 
+#: Bytes of rows that a task holds while it scans them for a benchmark's parts, about.
+HELD_BYTES = 32 << 20
+
+#: Items (item_id and text) of one automaton.
+Part = list[tuple[int | None, str]]
+
 _FOLD = bytes(32 if ASCII_NOT_ALNUM[c] else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start:int,end:int>>"
@@ -40,47 +45,91 @@ def windows(text: str | None, size: int) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))]
 
 
+def _patterns(items: Part, size: int) -> dict[str, list[int]]:
+    """The windows of some items, each with the sorted ids of its items; those without an id give windows alone."""
+    patterns: dict[str, set[int]] = {}
+    for item, text in items:
+        for w in windows(text, size):
+            ids = patterns.setdefault(w.decode("latin-1"), set())
+            if item is not None:
+                ids.add(item)
+    return {w: sorted(ids) for w, ids in sorted(patterns.items())}
+
+
 _automata: dict[str, object] = {}
 
 
-def _automaton(patterns: dict[str, list[int]]):
-    """This process's automaton for some patterns; only the last is remembered."""
-    digest = hashlib.sha256("\n".join(patterns).encode()).hexdigest()
+def _automaton(items: Part, size: int):
+    """This process's automaton for some items, None if they have no words; only the last is remembered."""
+    digest = hashlib.sha256(repr((size, items)).encode()).hexdigest()
     if digest not in _automata:
         import ahocorasick
 
-        tool = ahocorasick.Automaton()
-        for pattern, items in patterns.items():
-            tool.add_word(pattern, (len(pattern), items))
-        tool.make_automaton()
         _automata.clear()
+        patterns = _patterns(items, size)
+        tool = ahocorasick.Automaton() if patterns else None
+        for pattern, ids in patterns.items():
+            tool.add_word(pattern, (len(pattern), ids))
+        if tool:
+            tool.make_automaton()
         _automata[digest] = tool
     return _automata[digest]
 
 
-def _scan(patterns: dict[str, list[int]]):
+def _groups(batches: Iterator[pa.RecordBatch], parts: list[Part]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches to scan together: each alone for one part, about HELD_BYTES for several, so that automata are built seldom."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if len(parts) == 1 or size >= HELD_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    """The number and the bytes of each text of a batch."""
+    data, offsets = text_buffer(batch.column("text"))
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        yield i, data[a:b].tobytes()
+
+
+def _scan(parts: list[Part], window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = _automaton(patterns) if patterns else None
-        for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            for a, b, part, begin in chunks(data, offsets):
-                first = spans(part, begin, ASCII_NOT_ALNUM)[2]
-                n_words, raw = np.diff(first), part.tobytes()
-                hits, items, places = np.zeros(b - a, dtype=np.int64), [[]] * (b - a), [[]] * (b - a)
-                for i in range(b - a if tool else 0):
-                    own = raw[begin[i] : begin[i + 1]]
-                    text = normalise(own).decode("latin-1")
-                    if found := list(tool.iter(text)):
-                        items[i] = sorted({x for _, (_, ids) in found for x in ids})
-                        hits[i], places[i] = _covered(own, text, found)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(n_words), pa.array(hits), pa.array(items, type=pa.list_(pa.int64())), pa.array(places, type=pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                    names=["doc_id", "n_words", "n_hit", "items", "spans"],
-                )
+        for group in _groups(batches, parts):
+            found: dict[tuple[int, int], list] = {}
+            for part in parts:
+                tool = _automaton(part, window)
+                for k, batch in enumerate(group if tool else []):
+                    for i, own in _texts(batch):
+                        if hits := list(tool.iter(normalise(own).decode("latin-1"))):
+                            found.setdefault((k, i), []).extend(hits)
+                tool = None  # the next part's takes its place
+            for k, batch in enumerate(group):
+                yield from _rows(batch, {i: hits for (g, i), hits in found.items() if g == k})
 
     return run
 
 
+def _rows(batch: pa.RecordBatch, found: dict[int, list]) -> Iterator[pa.RecordBatch]:
+    """A row for each of a batch's texts, with the matches found in it."""
+    data, offsets = text_buffer(batch.column("text"))
+    for a, b, part, begin in chunks(data, offsets):
+        n_words = np.diff(spans(part, begin, ASCII_NOT_ALNUM)[2])
+        hits, items, places = np.zeros(b - a, dtype=np.int64), [[]] * (b - a), [[]] * (b - a)
+        for i in range(b - a):
+            if own := found.get(a + i):
+                original = part[begin[i] : begin[i + 1]].tobytes()
+                items[i] = sorted({x for _, (_, ids) in own for x in ids})
+                hits[i], places[i] = _covered(original, normalise(original).decode("latin-1"), own)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").slice(a, b - a), pa.array(n_words), pa.array(hits), pa.array(items, type=pa.list_(pa.int64())), pa.array(places, type=pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+            names=["doc_id", "n_words", "n_hit", "items", "spans"],
+        )
+
+
 def _covered(original: bytes, text: str, found: list) -> tuple[int, list[dict]]:
     """Words under any match, and the stretches of the original's characters from the first to the last word of such runs."""
     gaps = np.flatnonzero(np.frombuffer(text.encode("latin-1"), dtype=np.uint8) == 32).tolist()  # word w lies after gap w
@@ -95,18 +144,13 @@ def _covered(original: bytes, text: str, found: list) -> tuple[int, list[dict]]:
     return sum(b - a for a, b in runs), [{"start": int(before[starts[a]]), "end": int(before[ends[b - 1]])} for a, b in runs]
 
 
-def _passes(benchmark: DataFrame, window: int, automaton_bytes: int) -> Iterator[dict[str, list[int]]]:
-    """The windows of the benchmark's items with the items' ids, in parts of about ``automaton_bytes`` of text; one part at least."""
-    items = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
+def _parts(benchmark: DataFrame, automaton_bytes: int) -> list[Part]:
+    """The benchmark's items, in parts of about ``automaton_bytes`` of text; one part at least."""
+    items = benchmark.select("item_id", "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // automaton_bytes))
-    for part in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        patterns: dict[str, set[int]] = {}
-        for row in own.collect():  # bounded by automaton_bytes, about
-            for w in windows(row["text"], window):
-                patterns.setdefault(w.decode("latin-1"), set()).add(row["item_id"])
-        yield {w: sorted(ids) for w, ids in sorted(patterns.items())}
+    n = max(1, -(-total // automaton_bytes))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return [[(r["item_id"], r["text"]) for r in items.where(part == k).collect()] for k in range(n)]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
@@ -115,18 +159,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns are ignored. ``items``
     are the sorted ids of items with occurring windows, ``spans`` the stretches of hit words in
     characters of the original text. A null or empty text has no words; an item without words
-    matches nothing; items of one text are all reported. An empty benchmark hits nothing.
+    matches nothing; items of one text are all reported; an item without an id hits words but has
+    none to report. An empty benchmark hits nothing. Repeated rows get a row each.
 
     The benchmark's size is checked: up to ``automaton_bytes`` of its text goes into the automaton
-    that every task builds. A larger one is cut by items, each part is scanned for in a pass of its
-    own, and the passes' spans are united.
+    that every task builds. A larger one is cut by items, and a task scans the rows that it holds
+    with the parts' automata in turn, one at a time; the result is the same.
     """
-    passes = _passes(benchmark, window, automaton_bytes)
-    parts = [map_batches(docs.select("doc_id", "text"), _scan(patterns), SCHEMA) for patterns in passes]
-    found = reduce(DataFrame.unionByName, parts)
-    if len(parts) == 1:
-        return found
-    return _unite(docs, found)
+    return map_batches(docs.select("doc_id", "text"), _scan(_parts(benchmark, automaton_bytes), window), SCHEMA)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
@@ -134,46 +174,21 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, a
 
     A row is judged by its own text and passed on by the task that read it, so nothing is shuffled.
     A null or empty text stays; so does everything if the benchmark is empty. The benchmark's size
-    is checked as in ``find_contamination``; each of its parts is scanned for on what is left.
+    is checked as in ``find_contamination``; items without an id count as any.
     """
+    parts = _parts(benchmark, automaton_bytes)
 
-    def without(patterns: dict[str, list[int]]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tool = _automaton(patterns)
-            for batch in batches:
-                data, offsets = text_buffer(batch.column("text"))
-                raw = data.tobytes()
-                clean = [next(tool.iter(normalise(raw[a:b]).decode("latin-1")), None) is None for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield batch.filter(pa.array(clean, type=pa.bool_()))
-
-        return run
-
-    for patterns in _passes(benchmark, window, automaton_bytes):
-        if patterns:
-            docs = map_batches(docs, without(patterns), docs.schema)
-    return docs
-
-
-def _unite(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The passes' rows of each document as one; words under the united spans are counted anew."""
-    merged = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    hit = merged.where(F.size("spans") > 0).join(docs.select("doc_id", "text"), "doc_id")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                runs: list[list[int]] = []
-                for s in r["spans"]:
-                    if runs and s["start"] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s["end"])
-                    else:
-                        runs.append([s["start"], s["end"]])
-                n = sum(len(r["text"][a:b].encode().translate(_FOLD).split()) for a, b in runs)
-                rows.append((r["doc_id"], r["n_words"], n, r["items"], [{"start": a, "end": b} for a, b in runs]))
-            columns = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
-
-    clean = merged.where(F.size("spans") == 0).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), "items", "spans")
-    return clean.unionByName(map_batches(hit.select("doc_id", "n_words", "items", "spans", "text"), count, SCHEMA))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, parts):
+            clean = [np.ones(batch.num_rows, dtype=bool) for batch in group]
+            for part in parts:
+                tool = _automaton(part, window)
+                for k, batch in enumerate(group if tool else []):
+                    left = clean[k]
+                    for i, own in _texts(batch):
+                        left[i] = left[i] and next(tool.iter(normalise(own).decode("latin-1")), None) is None
+                tool = None  # the next part's takes its place
+            for batch, left in zip(group, clean, strict=True):
+                yield batch.filter(pa.array(left))
+
+    return map_batches(docs, run, docs.schema)

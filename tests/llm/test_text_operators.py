@@ -148,6 +148,20 @@ def test_contamination_against_brute_force(spark, automaton_bytes):
     assert decontam.drop_contaminated(frame(spark, texts), empty).count() == len(texts)
 
 
+@pytest.mark.parametrize("automaton_bytes", [1 << 20, 100])
+def test_contamination_of_repeated_rows_and_items_without_id(spark, automaton_bytes):
+    rng = random.Random(6)
+    items = [(1, prose(rng, 15)), (2, prose(rng, 12)), (None, prose(rng, 14)), (None, "nameless short")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(1, "x " + items[0][1]), (1, "clean one"), (1, None), (1, "clean one"), (None, items[1][1] + " " + items[0][1]), (None, "no hit"), (2, items[2][1]), (2, "a nameless short b")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in decontam.find_contamination(docs, bench, automaton_bytes=automaton_bytes).collect()]
+    want = [(i, *brute_contamination(t, items)) for i, t in texts]
+    assert sorted(map(str, got)) == sorted(str((i, n, hit, [x for x in found if x is not None])) for i, n, hit, found in want)
+    left = decontam.drop_contaminated(docs, bench, automaton_bytes=automaton_bytes).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left))) == sorted(str(x) for x, w in zip(texts, want, strict=True) if not w[2])
+
+
 def brute_lines(docs, min_sites, min_words=3):
     sites, first = collections.defaultdict(set), {}
     trim = " \t\r\x0b\x0c"
