@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without cross-site boilerplate lines; a document goes if nothing is left of its lines."""
-    cleaned = linededup.remove_boilerplate(docs)
+    """Texts without cross-site boilerplate lines of any length; a document goes if nothing is left of its lines."""
+    cleaned = linededup.remove_boilerplate(docs, min_words=1)
     left = cleaned.where("n_removed = 0 or text rlike '[^ \\\\t\\\\n\\\\r]'")
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 

@@ -66,6 +66,14 @@ def test_pipeline_on_odd_documents(spark):
     assert sorted(r["doc_id"] for r in docs.collect()) == [1, 5, 7] or sorted(r["doc_id"] for r in docs.collect()) == [1, 7]
 
 
+def test_pipeline_removes_short_boilerplate(spark):
+    footer = "版权所有不得转载" * 8
+    rows_ = [(i, f"own text number {i}\nLes.\n{footer}\n\nonly {i % 3}", "en", f"s{i}", 1) for i in range(9)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert got == {i: rows_[i][1] if i == 0 else f"own text number {i}\n\nonly {i % 3}" for i in range(9)}
+
+
 def test_entry_works_without_the_subpackage(monkeypatch):
     assert "pipeline" in entry.queries()
     monkeypatch.setitem(sys.modules, "gaugewright.llm.queries", None)
