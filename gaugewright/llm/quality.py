@@ -154,10 +154,12 @@ class Texts:
 
     @property
     def n_bullets(self) -> np.ndarray:
-        """Lines that begin with -, *, + or the bullet sign."""
+        """Lines that begin with -, *, + or the bullet sign, after white space if any."""
 
         def make():
             starts, _, first = self.lines
+            words = self.words[0]
+            starts = words[np.searchsorted(words, starts)]
             head = self.data[starts]
             sign = np.isin(head, np.frombuffer(b"-*+", dtype=np.uint8))
             longer = np.minimum(starts + 2, max(0, len(self.data) - 1))

@@ -98,6 +98,14 @@ def test_quality_against_brute_force(spark):
     assert left.columns == ["doc_id", "text", "kept"] and {r["doc_id"] for r in left.collect()} == {i for i in got if got[i]["kept"]}
 
 
+def test_indented_bullets(spark):
+    rng = random.Random(9)
+    texts = ["\n".join(indent + sign + " " + prose(rng, 6) for _ in range(5)) for indent in ("", "  ", "\t", " \t\r\x0b\x0c") for sign in "-*+•"] + ["\n".join("  a- " + prose(rng, 6) for _ in range(5))]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(frame(spark, texts)).collect()}
+    assert got == {i: brute_kept(t) for i, t in enumerate(texts)} and sum(got.values()) == 1
+    assert [r["doc_id"] for r in quality.keep_good(frame(spark, texts)).collect()] == [len(texts) - 1]
+
+
 def test_cascade_order_changes_cost_not_verdict():
     data, offsets = text_buffer(pa.array(ODD + ["# " * 30, "word " * 30, "a b c d e f g h i j k l m n"]))
     rules = quality.default_rules()
