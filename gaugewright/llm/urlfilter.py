@@ -34,10 +34,23 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _plain(path: Column) -> Column:
+    """A path without dot segments; an empty one is /."""
+    parts = F.split(path, "/")
+    empty = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    left = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), empty, step)
+    end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(left) > 0), "/").otherwise("")
+    return F.when(path == "", "/").when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(left, "/"), end)).otherwise(path)
+
+
 def key_of(url: Column) -> Column:
-    """A URL's node: host, path and query, without scheme and fragment; null without ``://``."""
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(host_of(url), rest))
+    """A URL's node: host, path without dot segments and query, without scheme and fragment; null without ``://``."""
+    query = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*([^#]*)", 1)
+    return F.when(url.contains("://"), F.concat(host_of(url), _plain(path_of(url)), query))
 
 
 def match_rules(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -58,9 +71,13 @@ def match_rules(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def _resolve(target: Column, url: Column) -> Column:
-    """An absolute URL for a link's target: absolute, of another scheme's host, or from the host's root; else null."""
+    """An absolute URL for a link's target, resolved against the page's own; null for other schemes such as mailto and for a mere fragment."""
     target = F.replace(F.trim(target), F.lit("&amp;"), F.lit("&"))
-    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(F.startswith(target, F.lit("//")), F.concat(F.lit("http:"), target)).when(F.startswith(target, F.lit("/")), F.concat(F.lit("http://"), host_of(url), target))
+    root = F.concat(F.lit("http://"), host_of(url))
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)?", 1))
+    found = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(F.startswith(target, F.lit("//")), F.concat(F.lit("http:"), target)).when(F.startswith(target, F.lit("/")), F.concat(root, target))
+    found = found.when((target == "") | F.startswith(target, F.lit("#")) | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+    return found.when(F.startswith(target, F.lit("?")), F.concat(root, path_of(url), target)).otherwise(F.concat(root, folder, target))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:

@@ -30,6 +30,27 @@ def test_verdicts(spark, monkeypatch, chain):
     }
 
 
+@pytest.mark.parametrize(
+    "url,target,node",
+    [
+        ("http://H.net/a/b/p.html?q=1", "page2.html", "h.net/a/b/page2.html"), ("http://h.net/a/b/p", "../c", "h.net/a/c"), ("http://h.net/a/b/p", "./x", "h.net/a/b/x"), ("http://h.net/a/b/p?i=1", "?id=3", "h.net/a/b/p?id=3"),
+        ("http://h.net", "?id=3", "h.net/?id=3"), ("http://h.net", "x", "h.net/x"), ("http://h.net/a", "../../x?u=/../y#z", "h.net/x?u=/../y"), ("http://h.net/a/b/", "..", "h.net/a/"), ("http://h.net/a/b/c", ".", "h.net/a/b/"),
+        ("http://h.net/a", "/b/./c/../d", "h.net/b/d"), ("http://h.net/a", "//k.net/../e", "k.net/e"), ("http://h.net/a", "https://k.net", "k.net/"), ("http://h.net/a", "https://k.net/f//../g/..", "k.net/f/"), ("http://h.net/a/..b/c", ".d", "h.net/a/..b/.d"),
+        ("http://h.net/a", "#top", None), ("http://h.net/a", "mailto:x@y.net", None), ("http://h.net/x/../a", "b:c/d", None), ("http://h.net/x/../a", "b", "h.net/b"),
+    ],
+)
+def test_links_of_every_form(spark, url, target, node):
+    pages = spark.createDataFrame([(url, f'<link rel="canonical" href="{target}">'), (url, f"<meta http-equiv=refresh content='0; url={target}'>")], "url string, html string")
+    found = urlfilter.alias_edges(pages).collect()
+    assert [r["dst"] for r in found] == ([node] * 2 if node else [])
+
+
+def test_relative_links_and_bare_hosts_spread_verdicts(spark):
+    pages = [(1, "http://shop.com/de/x/1", '<link rel="canonical" href="../../z">'), (2, "http://shop.com/z", None), (3, "http://m.net", None), (4, "http://n.net/a", '<link rel="canonical" href="http://m.net/">'), (5, "http://m.net/./b/..", '<link rel="canonical" href="http://shop.com/de/9">')]
+    got = {r["page_id"]: (r["verdict"], r["by"]) for r in urlfilter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()}
+    assert got == {1: ("block", "rule"), 2: ("block", "alias"), 3: ("block", "alias"), 4: ("block", "alias"), 5: ("block", "alias")}
+
+
 def test_redirect_table_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.net/", None, "clash")], "page_id long, url string, html string, verdict string")
     redirects = spark.createDataFrame([("http://a.net/", "http://b.net/"), ("http://b.net/", "https://shop.com/de/1"), (None, "http://b.net/")], "src string, dst string")
