@@ -27,12 +27,14 @@ def get_session(app: str = "gaugewright", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is local, as
+    in tests on one machine, a temporary folder is made and set; a cluster without the setting is an error.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="gaugewright-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
