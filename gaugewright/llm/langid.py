@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewright.llm.words import map_batches
+from gaugewright.session import checkpointed
 
-#: The bound of the labelled sample: documents of a language, characters of each, bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 120, 4000, 32 << 10
+#: The bound of the labelled sample: documents of a language, characters of each, bytes of a dictionary, languages.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, MAX_LANGUAGES = 120, 4000, 64 << 10, 512
 
 #: Bytes encoded at a time; short blocks keep the dictionary at work throughout a long text.
 BLOCK_BYTES = 4000
@@ -26,35 +27,44 @@ BLOCK_BYTES = 4000
 #: A choice is rejected if its lead over the runner-up is below this share of its own size.
 NARROW = 0.01
 
-#: Texts up to so many characters are encoded with a deeper search.
-SHORT_CHARS = 1000
-
 _LETTER = regex.compile(r"\p{L}")
 
 # zstandard settings: match length from 4, tables no larger than the dictionary needs
-_SEARCH = {
-    False: {"strategy": 3, "min_match": 4, "search_log": 3, "hash_log": 14, "chain_log": 14, "window_log": 17, "target_length": 0},
-    True: {"strategy": 5, "min_match": 4, "search_log": 6, "hash_log": 15, "chain_log": 16, "window_log": 17, "target_length": 16},
-}
+_SEARCH = {"strategy": 5, "min_match": 4, "search_log": 6, "hash_log": 16, "chain_log": 17, "window_log": 18, "target_length": 16}
 
 _FOLD = {c: " " for c in range(128) if not chr(c).isalpha()}
 
 
-def learn_dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def learn_dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dictionary_bytes: int = DICTIONARY_BYTES, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
     """A dictionary for each non-null lang of ``labelled`` (doc_id, text, lang).
 
-    The sample is each language's ``sample_docs`` documents of the least hash of their id, so it
-    doesn't depend on the order or the partitions of rows. Ids are chosen first, without the texts;
-    a language's hot share never meets in one task, for each task passes on its own least ones only.
+    The sample is each language's ``sample_docs`` rows of the least hash of their id and text, so it
+    doesn't depend on the order or the partitions of rows; rows equal in id and text take their places
+    but give one text. Rows are chosen without their texts; a language's hot share never meets in one
+    task, for each task passes on its own least ones only. Every chosen text gives an equal share of
+    the dictionary, so that all of the sample is learned from; what short ones leave goes to the
+    others. More than ``max_languages`` labels are an error: the sample is bounded.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    usable = labelled.where("lang is not null and text is not null and doc_id is not null")
-    chosen = usable.select("doc_id", "lang").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample_docs).select("doc_id", "lang")
-    texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text"))
-    content: dict[str, bytearray] = {}
-    for row in sorted(texts.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):  # at most sample_docs texts a language
-        content.setdefault(row["lang"], bytearray()).extend(_fold(row["text"]) + b" ")
-    return {lang: bytes(own[-dictionary_bytes:]) for lang, own in content.items()}
+    row = (F.xxhash64("doc_id", "text"), F.hash("text"))
+    usable = labelled.where("lang is not null and text is not null").select("lang", "text", row[0].alias("_h"), row[1].alias("_g"))
+    order = Window.partitionBy("lang").orderBy("_h", "_g")
+    chosen = checkpointed(usable.select("lang", "_h", "_g").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample_docs).select("lang", "_h", "_g").distinct())
+    if (found := chosen.select("lang").distinct().count()) > max_languages:
+        raise ValueError(f"{found} languages; max_languages is {max_languages}")
+    texts = usable.join(F.broadcast(chosen), ["lang", "_h", "_g"], "left_semi").select("lang", "_h", "_g", F.substring("text", 1, sample_chars).alias("text")).distinct()
+    content: dict[str, list[bytes]] = {}
+    for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["_h"], r["_g"])):  # at most sample_docs texts a language
+        content.setdefault(r["lang"], []).append(_fold(r["text"]) + b" ")
+    return {lang: _shared(own, dictionary_bytes) for lang, own in content.items()}
+
+
+def _shared(texts: list[bytes], total: int) -> bytes:
+    """The beginnings of texts, of equal length but for texts that are shorter, of ``total`` bytes in all at most."""
+    left, out = total, []
+    for k, text in enumerate(sorted(texts, key=len)):
+        out.append(text[: left // (len(texts) - k)])
+        left -= len(out[-1])
+    return b"".join(out)
 
 
 def _fold(text: str) -> bytes:
@@ -65,28 +75,28 @@ def _fold(text: str) -> bytes:
 _compressors: dict[tuple, dict] = {}
 
 
-def _tools(dictionaries: dict[str, bytes]) -> dict[bool, dict]:
-    """This process's compressors, one for each language and search depth; only the last set is remembered."""
+def _tools(dictionaries: dict[str, bytes]) -> dict:
+    """This process's compressors, one for each language; only the last set is remembered."""
     key = tuple(sorted((k, hash(v)) for k, v in dictionaries.items()))
     if key not in _compressors:
         import zstandard
 
         _compressors.clear()
-        tools: dict[bool, dict] = {False: {}, True: {}}
-        for deep, lang in ((d, x) for d in tools for x in sorted(dictionaries)):
-            settings = zstandard.ZstdCompressionParameters(write_content_size=False, write_dict_id=False, write_checksum=False, **_SEARCH[deep])
+        settings = zstandard.ZstdCompressionParameters(write_content_size=False, write_dict_id=False, write_checksum=False, **_SEARCH)
+        tools = {}
+        for lang in sorted(dictionaries):
             content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(compression_params=settings)
-            tools[deep][lang] = zstandard.ZstdCompressor(dict_data=content, compression_params=settings)
+            tools[lang] = zstandard.ZstdCompressor(dict_data=content, compression_params=settings)
         _compressors[key] = tools
     return _compressors[key]
 
 
-def classify(text: str, tools: dict[bool, dict]) -> tuple[str, float, float]:
+def classify(text: str, tools: dict) -> tuple[str, float, float]:
     """The language, a score from 0 to 1 and the lead over the runner-up as a share of the least size."""
     folded = _fold(text)
     blocks = [b" " + folded[a : a + BLOCK_BYTES] + b" " for a in range(0, max(1, len(folded)), BLOCK_BYTES)]
-    sizes = sorted((sum(len(tool.compress(b)) for b in blocks), lang) for lang, tool in tools[len(text) <= SHORT_CHARS].items())
+    sizes = sorted((sum(len(tool.compress(b)) for b in blocks), lang) for lang, tool in tools.items())
     least, lang = sizes[0]
     # each byte saved counts as two bits of evidence: words repeat, so that not all eight are news
     weights = sum(2.0 ** -min(1000.0, 2.0 * (size - least)) for size, _ in sizes)
@@ -124,5 +134,3 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NA
 def fold_of(doc_id: Column, folds: int = 3) -> Column:
     """The fold of a document: crc32 of its id as text, modulo the number of folds."""
     return F.crc32(doc_id.cast("string")) % folds
-
-
