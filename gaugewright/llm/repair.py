@@ -20,18 +20,20 @@ import struct
 import numpy as np
 
 MAGIC = b"RPG1"
-_SLOT_BITS = 18
+#: log2 of the table that ranks pairs, at most; a block of few ids has a smaller one.
+_SLOT_BITS = 21
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
-def compress(ids: np.ndarray, doc_tokens: np.ndarray, min_count: int = 4, max_rounds: int = 16, least_gain: float = 0.01):
+def compress(ids: np.ndarray, doc_tokens: np.ndarray, min_count: int = 4, max_rounds: int = 64, least_gain: float = 0.001):
     """Returns symbols, symbols of each document, left and right of each rule, rules of each round and terminals."""
     terminals = int(ids.max()) + 1 if len(ids) else 1
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(ids), dtype=bool)
     last[np.cumsum(doc_tokens)[doc_tokens > 0] - 1] = True
     next_symbol, left, right, rounds = terminals, [], [], []
-    slots, shift = 1 << _SLOT_BITS, np.uint64(64 - _SLOT_BITS)
+    bits = min(_SLOT_BITS, len(ids).bit_length() + 1)
+    slots, shift = 1 << bits, np.uint64(64 - bits)
     for _ in range(max_rounds):
         n = len(symbols) - 1
         if n < 1:
@@ -40,7 +42,7 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, min_count: int = 4, max_ro
         slot = ((keys * _HASH) >> shift).view(np.int64)
         slot[last[:-1]] = slots  # no pair spans two documents
         counts = np.bincount(slot, minlength=slots + 1)
-        rank = (counts << _SLOT_BITS) | np.arange(slots + 1)
+        rank = (counts << bits) | np.arange(slots + 1)
         rank[counts < min_count] = 0
         rank[slots] = 0
         rank = rank[slot]
@@ -102,18 +104,19 @@ def expansions(left: np.ndarray, right: np.ndarray, rounds: list[int], terminals
     return np.concatenate(flats), starts, lengths
 
 
-def encode_block(doc_ids: list[int | None], doc_tokens: np.ndarray, ids: np.ndarray) -> bytes:
-    """The bytes of one block."""
+def encode_block(doc_ids: list[int | None], doc_tokens: np.ndarray, ids: np.ndarray) -> tuple[bytes, int, int]:
+    """The bytes of one block, its symbols and its rules."""
     symbols, doc_symbols, left, right, rounds, terminals = compress(ids, doc_tokens)
     _, _, lengths = expansions(left, right, rounds, terminals)
     wide = 3 if terminals + len(left) < 1 << 24 else 4
     narrow = lambda a: np.ascontiguousarray(a.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :wide].tobytes()
-    return b"".join([
+    data = b"".join([
         MAGIC, struct.pack("<6I", len(doc_ids), len(left), len(symbols), terminals, wide, len(rounds)),
         np.array(rounds, dtype="<u4").tobytes(), np.array([d is None for d in doc_ids], dtype=np.uint8).tobytes(),
         np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(), doc_tokens.astype("<i8").tobytes(), doc_symbols.astype("<i8").tobytes(),
         lengths[terminals:].astype("<u4").tobytes(), narrow(left), narrow(right), narrow(symbols),
     ])
+    return data, len(symbols), len(left)
 
 
 class Block:
