@@ -2,7 +2,7 @@
 
 Each document's ids are cut at the window length; whole windows stand alone. What is left over is
 cut again into pieces of at most ``piece`` ids. Each task gathers such pieces until they fill
-``group`` windows and then splits them by multiway differencing: every piece begins as a partial
+``group`` windows, or are ``GROUP_PIECES``, and then splits them by multiway differencing: every piece begins as a partial
 partition, and the two partial partitions of the largest imbalance are merged, the fullest window of
 one with the emptiest of the other, until one is left. If any of its windows exceeds the capacity,
 the window count rises by one and the group is split anew. Nothing is shuffled, and a task holds one
@@ -23,41 +23,57 @@ from pyspark.sql import DataFrame
 from gaugewright.llm.tokens import encoder, with_end
 from gaugewright.llm.words import CHUNK_BYTES, map_batches
 
+#: Pieces of one group at most, so that very short documents don't make its differencing long.
+GROUP_PIECES = 32_768
+
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def difference(weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Splits weights into k windows by multiway differencing.
 
-    Returns each weight's window and the windows' sums. Ties go to the earlier partial partition.
+    A partial partition holds only its windows that differ from its emptiest one, as their loads above
+    that one's and the bundles of weights in them, so that all of them together never hold more than
+    one load a weight. Returns each weight's window and the windows' sums. Ties go to the earlier
+    partial partition.
     """
     n = len(weights)
-    loads, merges, base = [None] * n, [], np.zeros(k, dtype=np.int64)
-    for i, w in enumerate(weights):
-        loads[i] = base.copy()
-        loads[i][0] = w
-    heap = [(-int(w), i) for i, w in enumerate(weights)] if k > 1 else [(0, i) for i in range(n)]
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(k, dtype=np.int64)
+    none = np.zeros(0, dtype=np.int64)
+    # of each partial partition: loads over the least, descending, and their bundles; then the bundles of the windows at the least
+    parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {i: (weights[i : i + 1].astype(np.int64), np.array([i]), none) for i in range(n)}
+    halves: list[tuple[int, int]] = []  # bundles from n on are two others together
+    heap = [(-int(w) if k > 1 else 0, i) for i, w in enumerate(weights)]
     heapq.heapify(heap)
+    last = n
     while len(heap) > 1:
-        _, a = heapq.heappop(heap)
-        _, b = heapq.heappop(heap)
-        total = loads[a] + loads[b][::-1]
-        order = np.argsort(-total, kind="stable")
-        total = total[order]
-        total -= total[-1]
-        loads[a] = loads[b] = None
-        loads.append(total)
-        merges.append((a, b, order))
-        heapq.heappush(heap, (-int(total[0]), len(loads) - 1))
-    place = {len(loads) - 1: np.arange(k)} if n else {}
-    for node in range(len(loads) - 1, n - 1, -1):
-        a, b, order = merges[node - n]
-        own = place.pop(node)
-        place[a], place[b] = np.empty(k, dtype=np.int64), np.empty(k, dtype=np.int64)
-        place[a][order] = own
-        place[b][k - 1 - order] = own
-    window = np.array([place[i][0] for i in range(n)], dtype=np.int64)
-    return window, np.bincount(window, weights=weights, minlength=k).astype(np.int64) if n else base
+        (loads_a, full_a, rest_a), (loads_b, full_b, rest_b) = parts.pop(heapq.heappop(heap)[1]), parts.pop(heapq.heappop(heap)[1])
+        # a's windows from the fullest, then those at its least, meet b's from the emptiest
+        a, b = np.concatenate((full_a, rest_a)), np.concatenate((full_b, rest_b))
+        over = max(0, len(a) + len(b) - k)  # the last of a's windows with bundles meet as many of b's
+        heads = np.zeros(len(a), dtype=np.int64)
+        heads[: len(loads_a)] = loads_a
+        tails = np.zeros(len(b), dtype=np.int64)
+        tails[: len(loads_b)] = loads_b
+        loads = np.concatenate((heads[: len(a) - over], heads[len(a) - over :] + tails[len(b) - over :][::-1], tails[: len(b) - over]))
+        met = np.arange(n + len(halves), n + len(halves) + over)
+        halves += zip(a[len(a) - over :].tolist(), b[len(b) - over :][::-1].tolist(), strict=True)
+        bundles = np.concatenate((a[: len(a) - over], met, b[: len(b) - over]))
+        order = np.argsort(-loads, kind="stable")
+        loads, bundles = loads[order], bundles[order]
+        if len(loads) == k:
+            loads = loads - loads[-1]
+        above = int(np.searchsorted(-loads, 0, "left"))
+        parts[last] = loads[:above], bundles[:above], bundles[above:]
+        heapq.heappush(heap, (-int(loads[0]), last))
+        last += 1
+    _, full, rest = parts.popitem()[1]
+    window = np.zeros(n + len(halves), dtype=np.int64)
+    window[np.concatenate((full, rest))] = np.arange(len(full) + len(rest))
+    for node in range(len(halves) - 1, -1, -1):
+        window[list(halves[node])] = window[n + node]
+    return window[:n], np.bincount(window[:n], weights=weights, minlength=k).astype(np.int64)
 
 
 def windows_for(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -88,7 +104,7 @@ class _Packer:
             own = ids[a : a + self.piece]
             self.parts.append((doc_id, a, len(own), n, own))
             self.gathered += len(own)
-        if self.gathered >= self.group * self.capacity:
+        if self.gathered >= self.group * self.capacity or len(self.parts) >= GROUP_PIECES:
             out += self.flush()
         return out
 
