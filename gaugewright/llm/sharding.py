@@ -6,14 +6,19 @@ reach the driver. A splitter is settled when the bytes below one of its probes l
 tolerance of its target; else its probes are refined between the two that enclose the target. While
 two group hashes remain between them, probes lie between groups, so a group is cut only where
 keeping it whole would break the tolerance.
+
+Slots are numbered in parts of a shard. Their boundaries are found by the same search over row
+counts, so that a hot group is cut into even parts as well; a row's part is a binary search among
+the boundaries, which are 16 bytes each.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,8 +67,12 @@ def _histogram(keys: DataFrame, probes: list[int]) -> Histogram:
     return out
 
 
-def find_splitters(keys: DataFrame, shards: int, tolerance: float, probes: int = 32, max_rounds: int = 64) -> list[int]:
-    """Shards - 1 boundaries (ascending 128-bit keys) for rows _h, _i, _size of equal total size, within tolerance of a shard."""
+def find_splitters(keys: DataFrame, shards: int, tolerance: float, probes: int = 32, max_rounds: int = 128) -> list[int]:
+    """Shards - 1 boundaries (ascending 128-bit keys) for rows _h, _i, _size of equal total size, within tolerance of a shard.
+
+    Every round narrows each open boundary's range of keys by the number of probes, so that even one
+    probe settles in 128 rounds; a search that doesn't is an error.
+    """
     everything = _histogram(keys, [])[0]
     total = everything[0]
     if not everything[1]:
@@ -107,12 +116,29 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float, probes: int =
             if lo == (edges[j - 1] if j else None) and first is not None and hi == (edges[j] if j < len(edges) else None):
                 lo, hi = max(lo, first), min(hi, last + 1)  # no row lies between these and the probes
             brackets[s] = (lo, lo_n), (hi, hi_n)
-    return sorted(done[s] if s in done else brackets[s][0][0] for s in range(len(targets)))
+    else:
+        raise RuntimeError(f"boundaries did not settle in {max_rounds} rounds")
+    return sorted(done.values())
+
+
+def _placed(edges: list[int], shard_of: list[int], first: list[int]) -> Callable[[Column, Column], Column]:
+    """A row's part among boundaries, with the part's shard and first slot, by a binary search in the task."""
+    pairs = [_split(min(e, (1 << 128) - 1)) for e in edges]
+    heads, ties = np.array([x[0] for x in pairs], dtype=np.int64), np.array([x[1] for x in pairs], dtype=np.int64)
+    shards, firsts = np.array(shard_of, dtype=np.int32), np.array(first, dtype=np.int64)
 
+    @F.pandas_udf("part int, shard int, first long")
+    def place(h: pd.Series, i: pd.Series) -> pd.DataFrame:
+        own, tie = h.to_numpy(), i.to_numpy()
+        part = np.searchsorted(heads, own, "left")
+        open_ = np.flatnonzero((part < len(heads)) & (heads[np.minimum(part, len(heads) - 1)] == own)) if len(heads) else part[:0]
+        for head in np.unique(own[open_]):  # groups that a boundary cuts
+            rows = open_[own[open_] == head]
+            a, b = np.searchsorted(heads, head, "left"), np.searchsorted(heads, head, "right")
+            part[rows] = a + np.searchsorted(ties[a:b], tie[rows], "right")
+        return pd.DataFrame({"part": part.astype(np.int32), "shard": shards[part], "first": firsts[part]})
 
-def _at_least(h: Column, i: Column, key: int) -> Column:
-    a, b = _split(min(key, (1 << 128) - 1))
-    return (h > F.lit(a)) | ((h == F.lit(a)) & (i >= F.lit(b)))
+    return place
 
 
 def shard(df: DataFrame, size: Column, group: Column, tie: Column, shards: int = 24, tolerance: float = 0.002, probes: int = 32) -> DataFrame:
@@ -127,28 +153,18 @@ def shard(df: DataFrame, size: Column, group: Column, tie: Column, shards: int =
     own = df.drop("shard", "slot").withColumns({"_h": F.coalesce(group.cast("long"), F.lit(-HALF)), "_i": F.coalesce(tie.cast("long"), F.lit(-HALF)), "_size": F.coalesce(size.cast("long"), F.lit(0))})
     keys = checkpointed(own.select("_h", "_i", "_size"))
     splitters = find_splitters(keys, shards, tolerance, probes)
-    counts = _histogram(keys, sorted(set(splitters)))
-    parts = max(1, -(-max((c[1] for c in counts), default=0) // PART_ROWS))
-    # each shard is numbered in parts of its own key range, whose exact counts give the first slots
-    inner: list[int] = []
+    edges, parts = set(splitters), -(-keys.count() // PART_ROWS)
     if parts > 1:
-        for (_, _, a, b) in counts:
-            if a is not None:
-                inner += [a + (b - a) * j // parts for j in range(1, parts)]
-    edges = sorted({*splitters, *inner})
-    exact = _histogram(keys, edges)
-    first, seen, before = [], 0, set(splitters)
-    for k, (_, rows, _, _) in enumerate(exact):
-        if k and edges[k - 1] in before:
+        edges |= set(find_splitters(keys.withColumn("_size", F.lit(1).cast("long")), parts, 0.25, 4))
+    edges = sorted(edges)
+    shard_of, first, seen = [], [], 0
+    for k, (_, rows, _, _) in enumerate(_histogram(keys, edges)):
+        if k and edges[k - 1] in splitters:
             seen = 0
+        shard_of.append(bisect_right(splitters, edges[k - 1]) if k else 0)
         first.append(seen)
         seen += rows
-    at = F.lit(0)
-    for key in edges:
-        at = at + _at_least(F.col("_h"), F.col("_i"), key).cast("int")
-    shard_no = F.lit(0)
-    for key in splitters:
-        shard_no = shard_no + _at_least(F.col("_h"), F.col("_i"), key).cast("int")
-    order = Window.partitionBy("_part").orderBy("_h", "_i", "_size")
-    numbered = own.withColumns({"_part": at, "shard": shard_no}).withColumn("slot", F.row_number().over(order) - 1 + F.element_at(F.array(*[F.lit(x).cast("long") for x in first]), F.col("_part") + 1))
-    return numbered.drop("_h", "_i", "_size", "_part")
+    numbered = own.withColumn("_p", _placed(edges, shard_of, first)(F.col("_h"), F.col("_i")))
+    order = Window.partitionBy("_p.part").orderBy("_h", "_i", "_size")
+    numbered = numbered.withColumns({"shard": F.col("_p.shard"), "slot": F.row_number().over(order) - 1 + F.col("_p.first")})
+    return numbered.drop("_h", "_i", "_size", "_p")
