@@ -6,9 +6,13 @@ values as hash evaluations. Consecutive values are banded; documents that share
 candidates, and every candidate link is confirmed on full sets.
 
 Documents of equal sets are one class from the start, so copies never meet as pairs. Buckets with
-the same members are one. A bucket's members are dealt into blocks of bounded size, and the pairs of
-blocks are the tasks' unit of work: it counts all intersections inside by a product of incidence
-matrices and gives a spanning forest of the confirmed links, never the pairs themselves.
+the same members are one. A bucket of more than one block's size is first held against single
+members: in each of a few rounds all of it meets one member that the rest isn't linked with yet, so
+that a large group of near copies falls into one component after work in proportion to its size. Two
+members of one component need no further link. What is left of the bucket, those outside its largest
+component, are dealt into blocks of bounded size, and a pair of blocks is a task's unit of work: it
+counts all intersections by a product of incidence matrices and gives a spanning forest of the
+confirmed links, never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.llm.words import ASCII_SPACE, binary_column, list_column, map_batches, map_chunks, mix, seeds, shingles, span_hashes, spans, unique_runs
@@ -28,8 +32,12 @@ PERMUTATIONS = 40
 BAND_VALUES = 4
 #: Documents and shingles of one block of a bucket, about.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 400_000
-#: Ids (8 bytes each) up to which a filter of the documents is broadcast.
-BROADCAST_IDS = 2_000_000
+#: Ids (some 20 bytes each) up to which a filter of the documents is broadcast.
+BROADCAST_IDS = 1_000_000
+#: Rounds in which a large bucket is held against single members before pairs of blocks.
+STAR_ROUNDS = 4
+#: Rows from which a class of equal sets counts as hot; its rows get their result by broadcast.
+HOT_ROWS = 500
 
 
 def _sets(part: np.ndarray, begin: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +78,8 @@ def _signatures(k: int, permutations: int, band_values: int):
         counts = np.zeros(batch.num_rows + 1, dtype=np.int64)
         counts[1:][full] = bands
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(of)), binary_column(_keys(sets, of).ravel(), 2 * np.arange(batch.num_rows + 1)), list_column(banded.ravel().view(np.int64), np.cumsum(counts), pa.int64())],
-            names=["doc_id", "n_shingles", "key", "bands"],
+            [batch.column("doc_id"), batch.column("th"), pa.array(np.diff(of)), binary_column(_keys(sets, of).ravel(), 2 * np.arange(batch.num_rows + 1)), list_column(banded.ravel().view(np.int64), np.cumsum(counts), pa.int64())],
+            names=["doc_id", "th", "n_shingles", "key", "bands"],
         )
 
     return map_chunks(work)
@@ -86,15 +94,14 @@ def _full_sets(k: int):
     return map_chunks(work)
 
 
-def _intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of some sets."""
+def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the left sets with the right ones (positions in sets)."""
     n = len(sets)
-    if n == 2:
-        both = np.concatenate(sets)
-        both.sort()
-        same = np.count_nonzero(both[1:] == both[:-1])
-        return np.array([[len(sets[0]), same], [same, len(sets[1])]])
     values, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    if len(left) == 1:
+        own = sets[left[0]]
+        at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+        return np.bincount(owner[own[at] == values], minlength=n)[right][None, :]
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     new = np.concatenate(([True], values[1:] != values[:-1]))
@@ -102,15 +109,13 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     often = np.bincount(column) > 1
     kept = often[column]
     column, owner = (np.cumsum(often) - 1)[column[kept]], owner[kept]
-    out = np.zeros((n, n), dtype=np.float32)
     step = max(64, (8 << 20) // n)  # 32 MB of incidence at a time; counts stay far below 2**24 per step
-    exact = np.zeros((n, n), dtype=np.int64)
+    exact = np.zeros((len(left), len(right)), dtype=np.int64)
     for a in range(0, int(often.sum()), step):
         low, high = np.searchsorted(column, [a, a + step])
         incidence = np.zeros((n, step), dtype=np.float32)
         incidence[owner[low:high], column[low:high] - a] = 1
-        np.matmul(incidence, incidence.T, out=out)
-        exact += out.astype(np.int64)
+        exact += np.matmul(incidence[left], incidence[right].T).astype(np.int64)
     return exact
 
 
@@ -139,10 +144,14 @@ def _confirm(numerator: int, denominator: int):
             return []
         keys, sets, blocks = list(members), [v[1] for v in members.values()], np.array([v[0] for v in members.values()])
         sizes = np.array([len(s) for s in sets])
-        common = _intersections(sets)
-        linked = denominator * common >= numerator * (sizes[:, None] + sizes[None, :] - common)
-        if len(set(blocks.tolist())) > 1:
-            linked &= blocks[:, None] != blocks[None, :]  # pairs inside a block are another unit's
+        left = np.flatnonzero(blocks == blocks.min())
+        right = np.flatnonzero(blocks != blocks.min())
+        if not len(right):
+            right = left  # one block with itself; a pair of blocks leaves the pairs inside to others
+        common = _intersections(sets, left, right)
+        linked = np.zeros((len(keys), len(keys)), dtype=bool)
+        linked[np.ix_(left, right)] = denominator * common >= numerator * (sizes[left][:, None] + sizes[right][None, :] - common)
+        linked |= linked.T
         return [(keys[i], keys[j]) for i, j in _forest(linked)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +174,106 @@ def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=pa.binary()) for i in (0, 1)], names=["src", "dst"])
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+
+
+def _among(df: DataFrame, rows: DataFrame, how: str, limit: int) -> DataFrame:
+    """Rows of df (with doc_id and text) that are, or aren't, among rows (doc_id and th); a null id is a value like others."""
+    named = rows.select(F.col("doc_id").alias("_nd_id"), F.col("th").alias("_nd_th")).distinct()
+    return df.join(_broadcast(named, limit), df["doc_id"].eqNullSafe(F.col("_nd_id")) & (F.xxhash64(df["text"]) == F.col("_nd_th")), how)
+
+
+def _broadcast(df: DataFrame, limit: int) -> DataFrame:
+    """df, sent to every task if its rows are few enough."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def _sets_of(docs: DataFrame, keys: DataFrame, k: int, limit: int) -> DataFrame:
+    """key and shingles of the classes in keys (key and rep), each made from one document again."""
+    texts = _among(docs.select("doc_id", "text"), keys.select("rep.doc_id", "rep.th"), "left_semi", limit).select("text")
+    return map_batches(texts, _full_sets(k), "key binary, shingles binary").dropDuplicates(["key"])
+
+
+def _links(units: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Confirmed links (src, dst) of units: x1, x2, lo, hi, key and block."""
+    dealt = units.select("x1", "x2", "lo", "hi", "key", "block").join(sets, "key").repartition("x1", "x2", "lo", "hi").sortWithinPartitions("x1", "x2", "lo", "hi", "key")
+    return map_batches(dealt.select("x1", "x2", "lo", "hi", "key", "block", "shingles"), _confirm(numerator, denominator), "src binary, dst binary")
+
+
+def _grouped(members: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """members with the component that links give them, and of each bucket its largest component and how many there are."""
+    own = members.withColumn("component", F.col("key"))
+    if links is not None:
+        found = connected_components(links).withColumnRenamed("node", "key").withColumnRenamed("component", "_c")
+        own = members.join(found, "key", "left").withColumn("component", F.coalesce("_c", "key")).drop("_c")
+    own = checkpointed(own)
+    parts = own.groupBy("x1", "x2", "component").agg(F.count("*").alias("c"))
+    return own, parts.groupBy("x1", "x2").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.max("c").alias("n_major"), F.sum("c").alias("n_all"), F.count("*").alias("n_components"))
+
+
+def _stars(members: DataFrame, sets: DataFrame, rounds: int, block_docs: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame | None]:
+    """Large buckets' members with their components after some rounds against single members, and the links found."""
+    links: DataFrame | None = None
+    for turn in range(rounds):
+        own, groups = _grouped(members, links)
+        open_ = groups.where("n_components > 1")
+        if open_.isEmpty():
+            break
+        outside = own.join(open_, ["x1", "x2"]).withColumn("outside", F.col("component") != F.col("major"))
+        centre = outside.where("outside").groupBy("x1", "x2").agg(F.min_by(F.struct("key", "component"), F.xxhash64("key", F.lit(turn))).alias("centre"))
+        parts = F.ceil(F.col("n_all") / block_docs).cast("int")
+        dealt = outside.join(centre, ["x1", "x2"]).where(F.col("component") != F.col("centre.component"))
+        dealt = dealt.select("x1", "x2", F.pmod(F.xxhash64("key", F.lit(3)), parts).cast("int").alias("lo"), F.lit(-1).alias("hi"), "key", F.lit(0).alias("block"))
+        single = open_.join(centre, ["x1", "x2"]).select("x1", "x2", F.explode(F.sequence(F.lit(0), parts - 1)).alias("lo"), F.lit(-1).alias("hi"), F.col("centre.key").alias("key"), F.lit(-1).alias("block"))
+        found = checkpointed(_links(dealt.unionByName(single), sets, numerator, denominator))
+        links = found if links is None else links.unionByName(found)
+    return members, links
+
+
+def _classes(docs: DataFrame, numerator: int, denominator: int, shingle_words: int, permutations: int, band_values: int, block_docs: int, block_shingles: int, broadcast_ids: int, star_rounds: int) -> DataFrame:
+    """Every row's doc_id, th, n_shingles and ``least``: the first row (none, doc_id, th) of its component."""
+    signed = checkpointed(map_batches(_rows(docs), _signatures(shingle_words, permutations, band_values), "doc_id long, th long, n_shingles long, key binary, bands array<long>"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    classes = checkpointed(signed.where("n_shingles > 0").groupBy("key").agg(F.min(row).alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    banded = classes.select("key", "rep", "n", F.posexplode("bands").alias("band", "bucket"))
+    # a bucket's members, as a count and two sums of hashes without order; buckets of the same members are one
+    mark = lambda salt: F.bit_xor(F.xxhash64("key", F.lit(salt)))
+    buckets = banded.groupBy("band", "bucket").agg(F.count("*").alias("docs"), F.sum("n").alias("total"), mark(1).alias("x1"), mark(2).alias("x2")).where("docs > 1")
+    buckets = buckets.groupBy("x1", "x2", "docs", "total").agg(F.min(F.struct("band", "bucket")).alias("at"))
+    blocks = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("total") / block_shingles)).cast("int")
+    buckets = checkpointed(buckets.select("x1", "x2", F.col("at.band").alias("band"), F.col("at.bucket").alias("bucket"), "docs", blocks.alias("blocks")))
+    members = checkpointed(banded.join(buckets, ["band", "bucket"]).select("key", "rep", "x1", "x2", "docs", "blocks"))
+    large, links = members.where("blocks > 1"), None
+    sets = _sets_of(docs, members, shingle_words, broadcast_ids)
+    if star_rounds and not large.isEmpty():
+        sets = checkpointed(sets)
+        large, links = _stars(large, sets, star_rounds, block_docs, numerator, denominator)
+    own, groups = _grouped(large, links)
+    # those outside the largest component meet all; those inside it meet only those outside
+    share = lambda part: F.ceil(F.col("blocks") * F.col(part) / F.col("n_all")).cast("int")
+    judged = own.join(groups.where("n_components > 1"), ["x1", "x2"]).withColumn("_n_out", F.col("n_all") - F.col("n_major")).withColumns({"inside": F.col("component") == F.col("major"), "n_out": share("_n_out"), "n_in": share("n_major")})
+    whole = members.where("blocks = 1").select("key", "x1", "x2", F.lit(False).alias("inside"), F.lit(1).alias("n_out"), F.lit(0).alias("n_in"))
+    judged = judged.select(whole.columns).unionByName(whole)
+    salt = F.xxhash64("key", F.lit(3))
+    block = F.when(F.col("inside"), F.col("n_out") + F.pmod(salt, F.col("n_in"))).otherwise(F.pmod(salt, F.col("n_out"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("n_out") - 1).otherwise(F.col("n_out") + F.col("n_in") - 1)))
+    units = judged.select("key", "x1", "x2", block.alias("block"), other.alias("other")).select("key", "x1", "x2", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    found = _links(units, sets, numerator, denominator)
+    found = connected_components(found if links is None else found.unionByName(links))
+    joined = classes.select("key", "rep").join(found.withColumnRenamed("node", "key"), "key")
+    least = joined.groupBy("component").agg(F.min("rep").alias("least"))
+    moved = joined.join(least, "component").select("key", "least")
+    final = checkpointed(classes.select("key", "rep", "rows").join(moved, "key", "left").select("key", F.coalesce("least", "rep").alias("least"), "rows"))
+    # the rows of classes of many rows stay where they are read; the others meet their class by its key
+    hot = _broadcast(final.where(F.col("rows") >= HOT_ROWS).select("key", "least"), broadcast_ids)
+    cold = signed.join(hot, "key", "left_anti").join(final.select("key", "least"), "key", "left")
+    out = signed.join(hot, "key").unionByName(cold, allowMissingColumns=True)
+    return out.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(row).alias("least"))
+
+
 def near_duplicates(
-    docs: DataFrame, numerator: int = 85, denominator: int = 100, shingle_words: int = 5, permutations: int = PERMUTATIONS, band_values: int = BAND_VALUES, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES, broadcast_ids: int = BROADCAST_IDS
+    docs: DataFrame, numerator: int = 85, denominator: int = 100, shingle_words: int = 5, permutations: int = PERMUTATIONS, band_values: int = BAND_VALUES, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES, broadcast_ids: int = BROADCAST_IDS, star_rounds: int = STAR_ROUNDS
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -175,50 +282,28 @@ def near_duplicates(
     document's own. ``docs`` has doc_id and text; other columns are ignored. A null, empty or blank
     text has an empty set and is linked with nothing. A document of fewer words than a shingle has
     them as its one shingle. Repeated rows each get a row; those of one doc_id with one text are
-    kept or not together. An empty table gives no rows.
+    kept or not together. A null doc_id comes after all others: such a row is kept if it is linked
+    with none, or if no row that it is linked with has an id and its text's hash is the least; the
+    component_id of a component without ids is null. An empty table gives no rows.
 
-    Every pair that shares a bucket is decided on full sets; with the default 20 bands of 4 values
-    a pair at the threshold of 0.85 shares none with a chance of about 4e-7.
+    Every pair that shares a bucket and isn't in one component already is decided on full sets; with
+    the default 20 bands of 4 values a pair at the threshold of 0.85 shares none with a chance of about 4e-7.
     """
-    signed = checkpointed(map_batches(docs.select("doc_id", "text"), _signatures(shingle_words, permutations, band_values), "doc_id long, n_shingles long, key binary, bands array<long>"))
-    inked = signed.where("n_shingles > 0")
-    classes = inked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    banded = checkpointed(classes.select("key", "rep", "n", F.posexplode("bands").alias("band", "bucket")))
-    # a bucket's members, as a count and two sums of hashes without order; buckets of the same members are one
-    mark = lambda salt: F.bit_xor(F.xxhash64("key", F.lit(salt)))
-    buckets = banded.groupBy("band", "bucket").agg(F.count("*").alias("docs"), F.sum("n").alias("total"), mark(1).alias("x1"), mark(2).alias("x2")).where("docs > 1")
-    buckets = buckets.groupBy("x1", "x2", "docs", "total").agg(F.min(F.struct("band", "bucket")).alias("at"))
-    blocks = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("total") / block_shingles)).cast("int")
-    buckets = buckets.select("x1", "x2", F.col("at.band").alias("band"), F.col("at.bucket").alias("bucket"), blocks.alias("blocks"))
-    members = banded.join(buckets, ["band", "bucket"]).withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = members.select("key", "rep", "x1", "x2", "block", others).select("key", "rep", "x1", "x2", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    units = checkpointed(units)
-    needed = units.select(F.col("rep").alias("doc_id")).distinct()
-    if needed.count() <= broadcast_ids:
-        needed = F.broadcast(needed)
-    texts = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").select("text")
-    sets = map_batches(texts, _full_sets(shingle_words), "key binary, shingles binary").dropDuplicates(["key"])
-    dealt = units.drop("rep").join(sets, "key").repartition("x1", "x2", "lo", "hi").sortWithinPartitions("x1", "x2", "lo", "hi", "key")
-    links = map_batches(dealt.select("x1", "x2", "lo", "hi", "key", "block", "shingles"), _confirm(numerator, denominator), "src binary, dst binary")
-    found = connected_components(links)
-    joined = classes.select("key", "rep").join(found.withColumnRenamed("node", "key"), "key")
-    least = joined.groupBy("component").agg(F.min("rep").alias("least"))
-    moved = joined.join(least, "component").select("key", "least")
-    final = classes.select("key", "rep").join(moved, "key", "left").select("key", F.coalesce("least", "rep").alias("least"))
-    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    out = signed.select("doc_id", "n_shingles", "key").join(final, "key", "left").select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = _classes(docs, numerator, denominator, shingle_words, permutations, band_values, block_docs, block_shingles, broadcast_ids, star_rounds)
+    component = F.col("least.doc_id")
+    same = F.col("doc_id").isNull() & component.isNull() & (F.col("th") == F.col("least.th"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, same).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns.
+def drop_near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100, shingle_words: int = 5, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The rows that stay, one of each group of near duplicates, with all their columns.
 
-    Rows of one doc_id go together if any of them is a duplicate of another document; rows equal in
-    doc_id and text stay once.
+    Of a group the row of the smallest doc_id stays (null ids come last), then that of the least hash
+    of its text. Rows of one doc_id are judged each by its own text; rows equal in doc_id and text
+    stay once.
     """
-    verdict = checkpointed(near_duplicates(docs, **options))
-    gone = verdict.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = verdict.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    found = checkpointed(_classes(docs, numerator, denominator, shingle_words, PERMUTATIONS, BAND_VALUES, BLOCK_DOCS, BLOCK_SHINGLES, broadcast_ids, STAR_ROUNDS))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    left = _among(docs, found.where(own != F.col("least")), "left_anti", broadcast_ids)
+    repeated = found.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1")
     return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
