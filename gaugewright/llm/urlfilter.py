@@ -53,20 +53,28 @@ def key_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host_of(url), _plain(path_of(url)), query))
 
 
+def _strength(length: int, kind: str, rule: str) -> tuple[int, bool, str]:
+    """What makes one of several fitting rules win: its length, then allow before block, then the greater name."""
+    return length, kind == "allow", rule
+
+
 def match_rules(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """urls (with host and path) with ``rule`` (host and path of the longest that fits) and ``by_rule`` (its verdict), else null."""
+    """urls (with host and path) with ``rule`` (host and path of the longest that fits) and ``by_rule`` (its verdict), else null.
+
+    Of rules of equal length an allowing one wins, then the one of the greater name, however many rules there are.
+    """
     if len(rules) <= CHAIN_RULES:
         rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for kind, host, path in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r)):
+        for kind, host, path in sorted(rules, key=lambda r: _strength(len(r[1] + r[2]), r[0], r[1] + r[2])):
             fits = ((F.col("host") == host) | F.endswith(F.col("host"), F.lit("." + host))) & F.startswith(F.col("path"), F.lit(path))
             rule, verdict = F.when(fits, host + path).otherwise(rule), F.when(fits, kind).otherwise(verdict)
         return urls.withColumns({"rule": rule, "by_rule": verdict})
-    known = urls.sparkSession.createDataFrame([(h, p, h + p, k) for k, h, p in rules], "r_host string, r_path string, rule string, by_rule string")
+    known = urls.sparkSession.createDataFrame([(h, p, k, _strength(len(h + p), k, h + p)) for k, h, p in rules], "r_host string, r_path string, by_rule string, strength struct<n:int,allows:boolean,rule:string>")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     own = urls.select("host", "path").distinct()
     fits = own.select("host", "path", F.explode(suffixes).alias("r_host")).join(known, "r_host").where(F.startswith(F.col("path"), F.col("r_path")))
-    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "by_rule")).alias("m")).select("host", "path", "m.rule", "m.by_rule")
+    best = fits.groupBy("host", "path").agg(F.max_by(F.struct("strength.rule", "by_rule"), "strength").alias("m")).select("host", "path", "m.rule", "m.by_rule")
     return urls.join(best, ["host", "path"], "left")
 
 
