@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade ordered by rejection per cost.
 
 Every rule is first run on a hash-chosen sample, where its time per row and the share of rows that
-it rejects are measured. The cascade then applies the rules by rejected share per second, the
-highest first, and each rule sees only the rows that all before it let pass. The order changes the
-time taken, never the verdict: a row is kept if no rule rejects it.
+it rejects are measured; the words, which all rules share, are found before the clock starts. The
+cascade then applies the rules by rejected share per second, the highest first, and each rule sees
+only the rows that all before it let pass. The order changes the time taken, never the verdict: a
+row is kept if no rule rejects it.
 """
 
 from __future__ import annotations
@@ -30,6 +31,13 @@ _NEWLINE = np.zeros(256, dtype=bool)
 _NEWLINE[10] = True
 
 
+#: Counts of a text, one number each; what was counted stays when some of the texts go.
+PER_TEXT = {"n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stutters", "n_letter_words", "n_bullets"}
+
+#: Texts are copied together once fewer than this share of them are left; until then those that went are passed over.
+COMPACT = 0.5
+
+
 class Texts:
     """Some texts of a batch with what rules count in them; each count is made when first asked for."""
 
@@ -40,12 +48,20 @@ class Texts:
         return len(self.offsets) - 1
 
     def of(self, rows: np.ndarray) -> Texts:
-        """Only some of the texts."""
+        """Only some of the texts, with what was counted in each of them."""
         if len(rows) == len(self):
             return self
         pieces = [self.data[self.offsets[i] : self.offsets[i + 1]] for i in rows.tolist()]
         lengths = np.array([len(p) for p in pieces], dtype=np.int64)
-        return Texts(np.concatenate(pieces) if pieces else self.data[:0], np.concatenate(([0], np.cumsum(lengths))))
+        some = Texts(np.concatenate(pieces) if pieces else self.data[:0], np.concatenate(([0], np.cumsum(lengths))))
+        some._made = {name: made[rows] for name, made in self._made.items() if name in PER_TEXT}
+        return some
+
+    def with_words(self) -> Texts:
+        """The same texts with their words found and nothing else."""
+        fresh = Texts(self.data, self.offsets)
+        fresh._made["words"] = self.words
+        return fresh
 
     def _once(self, name: str, make: Callable):
         if name not in self._made:
@@ -62,7 +78,7 @@ class Texts:
 
     @property
     def n_words(self) -> np.ndarray:
-        return np.diff(self.words[2])
+        return self._once("n_words", lambda: np.diff(self.words[2]))
 
     @property
     def hashes(self) -> np.ndarray:
@@ -92,7 +108,7 @@ class Texts:
 
     @property
     def n_lines(self) -> np.ndarray:
-        return np.diff(self.lines[2])
+        return self._once("n_lines", lambda: np.diff(self.lines[2]))
 
     @property
     def n_dup_lines(self) -> np.ndarray:
@@ -194,15 +210,16 @@ def default_rules() -> list[Rule]:
 
 
 def measure_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """Seconds per row and share of rejected rows of each rule, on about ``sample_rows`` hash-chosen rows."""
+    """Seconds per row, beyond finding words, and share of rejected rows of each rule, on about ``sample_rows`` hash-chosen rows."""
     every = max(1, docs.count() // sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             for _, _, part, begin in chunks(data, offsets):
+                shared = Texts(part, begin)
                 for rule in rules:
-                    texts, began = Texts(part, begin), time.perf_counter()
+                    texts, began = shared.with_words(), time.perf_counter()
                     rejected = int(np.count_nonzero(rule.reject(texts)))
                     yield pa.RecordBatch.from_pydict({"rule": [rule.name], "rows": [len(texts)], "rejected": [rejected], "seconds": [time.perf_counter() - began]})
 
@@ -223,14 +240,16 @@ def order_rules(rules: Sequence[Rule], measured: dict[str, tuple[float, float]])
 
 def cascade(texts: Texts, rules: Sequence[Rule]) -> np.ndarray:
     """For each text the number of the rule that rejects it first; -1 if none does."""
-    verdict, alive = np.full(len(texts), -1, dtype=np.int64), np.arange(len(texts))
+    verdict, place, alive = np.full(len(texts), -1, dtype=np.int64), np.arange(len(texts)), np.ones(len(texts), dtype=bool)
     for k, rule in enumerate(rules):
+        if np.count_nonzero(alive) < COMPACT * len(alive):
+            left = np.flatnonzero(alive)
+            texts, place, alive = texts.of(left), place[left], np.ones(len(left), dtype=bool)
         if not len(alive):
             break
-        rejected = rule.reject(texts)
-        verdict[alive[rejected]] = k
-        left = np.flatnonzero(~rejected)
-        alive, texts = alive[left], texts.of(left)
+        rejected = rule.reject(texts) & alive
+        verdict[place[rejected]] = k
+        alive &= ~rejected
     return verdict
 
 
@@ -240,8 +259,9 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, base: Rule | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document with its base counts, base_failed, kept and the rule that rejected it.
 
-    ``docs`` has doc_id and text; other columns are ignored. The base rule comes first; the others
-    follow in their measured order, on what is left. Which of several rejecting rules is named
+    ``docs`` has doc_id and text; other columns are ignored. The base rule comes first, for every row
+    gets its counts and its verdict; the others follow in their measured order, on what is left. (``keep_good``
+    owes no counts, and orders the base rule among the others.) Which of several rejecting rules is named
     depends on that order, kept doesn't. A null or empty text has no words and fails the base rule.
     Lines and windows are compared by 64-bit hashes. Repeated rows are judged once each; an empty
     table gives no rows.
@@ -276,7 +296,7 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] | None = None, base: Rule |
     rows. Columns other than text may have any name and type.
     """
     rules, base = default_rules() if rules is None else list(rules), base or base_rule()
-    cheap_first = [base, *order_rules(rules, measure_rules(docs, rules, sample_rows))]
+    cheap_first = order_rules([base, *rules], measure_rules(docs, [base, *rules], sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
