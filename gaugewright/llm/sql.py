@@ -18,16 +18,20 @@ def _quoted(value) -> str:
 
 
 def _license_scan() -> str:
-    rows = ", ".join(f"({_quoted(a)}, {_quoted(b)}, {_quoted(c)}, {n}, {m})" for a, b, c, n, m in licenses.template_rows(licenses.TEMPLATES))
+    wordings = ", ".join(f"({_quoted(name)}, {k}, {_quoted(text)})" for name, texts in sorted(licenses.TEMPLATES.items()) for k, text in enumerate(texts))
     t = licenses.THRESHOLD
-    parts = lambda kind, split: f"SELECT doc_id, '{kind}' AS kind, i AS pos, trim(regexp_replace(p[i], '\\s+', ' ', 'g')) AS norm FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, {split} AS p FROM d) WHERE len(p) > 1)"
-    return f"""WITH t(license, wording, bigram, t_count, t_size) AS (VALUES {rows}),
-d AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9\\n]+', ' ', 'g') AS norm FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, 'text' AS kind, 0 AS pos, trim(regexp_replace(norm, '\\s+', ' ', 'g')) AS norm FROM d UNION ALL {parts("paragraph", "string_split_regex(norm, '\\n *\\n')")} UNION ALL {parts("line", "string_split(norm, chr(10))")}),
-w AS (SELECT doc_id, kind, pos, string_split(norm, ' ') AS w FROM u), b AS (SELECT doc_id, kind, pos, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM w WHERE len(w) > 1),
-c AS (SELECT doc_id, kind, pos, n, license, wording, t_size, bigram, t_count, count(*) AS c FROM b JOIN t USING (bigram) GROUP BY ALL),
-e AS (SELECT doc_id, license, 2.0::DOUBLE * sum(least(c, t_count)) / (n + t_size) AS dice FROM c GROUP BY doc_id, kind, pos, license, wording, n, t_size HAVING 2.0::DOUBLE * sum(least(c, t_count)) / (n + t_size) >= {t}::DOUBLE),
-k AS (SELECT doc_id, license, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license) AS rn FROM e), f AS (SELECT doc_id, count(DISTINCT license) AS n_licenses FROM e GROUP BY doc_id)
+    plain = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+    pairs = lambda w: f"unnest(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    parts = lambda kind, split: f"SELECT doc_id, '{kind}' AS kind, i AS pos, {plain('p[i]')} AS norm FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, {split} AS p FROM d) WHERE len(p) > 1)"
+    return f"""WITH x(license, k, wording) AS (VALUES {wordings}), y AS (SELECT license, k, string_split({plain("wording")}, ' ') AS w FROM x),
+t AS (SELECT license, k, t_size, bigram, count(*) AS t_count FROM (SELECT license, k, len(w) - 1 AS t_size, {pairs("w")} AS bigram FROM y) GROUP BY ALL),
+d AS (SELECT doc_id, lower(text) AS text FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, 'text' AS kind, 0 AS pos, {plain("text")} AS norm FROM d UNION ALL {parts("paragraph", "string_split_regex(text, '\\n[ \\t\\r]*\\n')")} UNION ALL {parts("line", "string_split(text, chr(10))")} UNION ALL {parts("sentence", "string_split_regex(text, '[.!?;:][ \\t\\r\\n]+|\\n[ \\t\\r]*\\n')")}),
+w AS (SELECT doc_id, kind, pos, string_split(norm, ' ') AS w FROM u), b AS (SELECT doc_id, kind, pos, len(w) - 1 AS n, {pairs("w")} AS bigram FROM w WHERE len(w) > 1),
+c AS (SELECT doc_id, kind, pos, n, license, k, t_size, bigram, t_count, count(*) AS c FROM b JOIN t USING (bigram) GROUP BY ALL),
+e AS (SELECT doc_id, kind, pos, license, 2.0::DOUBLE * sum(least(c, t_count)) / (n + t_size) AS dice FROM c GROUP BY doc_id, kind, pos, license, k, n, t_size HAVING 2.0::DOUBLE * sum(least(c, t_count)) / (n + t_size) >= {t}::DOUBLE),
+g AS (SELECT doc_id, license, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, pos ORDER BY dice DESC, license) AS rn FROM e) WHERE rn = 1),
+k AS (SELECT doc_id, license, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license) AS rn FROM g), f AS (SELECT doc_id, count(DISTINCT license) AS n_licenses FROM g GROUP BY doc_id)
 SELECT documents.doc_id, k.license, round(coalesce(k.dice, 0), 6) AS dice, coalesce(f.n_licenses, 0) AS n_licenses FROM documents LEFT JOIN k ON k.doc_id = documents.doc_id AND rn = 1 LEFT JOIN f ON f.doc_id = documents.doc_id"""
 
 
@@ -47,7 +51,7 @@ def _url_filter() -> str:
     key = lambda u: f"CASE WHEN contains({u}, '://') THEN {host(u)} || regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1) END"
     link, meta = r"(?is)^<link\b.*\brel\s*=\s*[\"'']?canonical\b", r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"'']?refresh\b"
     value = lambda name: rf"(?is)\b{name}\s*=\s*[\"'']?([^\"''\s>]+)"
-    best = lambda source: f"SELECT x.*, r.rule, r.kind FROM {source} x LEFT JOIN LATERAL (SELECT h || p AS rule, kind FROM rules WHERE (x.host = h OR ends_with(x.host, '.' || h)) AND starts_with(x.path, p) ORDER BY length(h || p) DESC LIMIT 1) r ON true"
+    best = lambda source: f"SELECT x.*, r.rule, r.kind FROM {source} x LEFT JOIN LATERAL (SELECT h || p AS rule, kind FROM rules WHERE (x.host = h OR ends_with(x.host, '.' || h)) AND starts_with(x.path, p) ORDER BY length(h || p) DESC, kind, h || p DESC LIMIT 1) r ON true"
     return f"""WITH RECURSIVE rules(kind, h, p) AS (VALUES {rules}),
 g AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages WHERE contains(url, '://')),
 t AS (SELECT url, replace(trim(CASE WHEN regexp_matches(tag, '{link}') THEN regexp_extract(tag, '{value("href")}', 1) WHEN regexp_matches(tag, '{meta}') THEN regexp_extract(tag, '{value("url")}', 1) END), '&amp;', '&') AS target FROM g),
@@ -76,7 +80,7 @@ h AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * len(l) OR 10 * stutters > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * lettered < 6 * n_words OR 10 * bullets > 9 * len(l)) AS kept FROM h"""
 
 _LINE_DEDUP = f"""WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS p FROM documents), l AS (SELECT doc_id, source, p[i] AS raw, i AS pos FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM d WHERE text IS NOT NULL)),
-t AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l), k AS (SELECT * FROM t WHERE regexp_matches(line, '^\\S+\\s+\\S+\\s+\\S+')),
+t AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l), k AS (SELECT * FROM t WHERE line <> ''),
 s AS (SELECT line, min({{'doc_id': doc_id, 'pos': pos}}) AS first FROM k GROUP BY line HAVING count(DISTINCT source) >= {linededup.MIN_SITES}), x AS (SELECT doc_id, pos FROM k JOIN s USING (line) WHERE {{'doc_id': doc_id, 'pos': pos}} <> first),
 o AS (SELECT l.doc_id, count(*) AS n_lines, count(x.pos) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY l.pos) FILTER (WHERE x.pos IS NULL), '') AS text FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.pos = l.pos GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN o.text END AS text FROM d LEFT JOIN o USING (doc_id)"""
