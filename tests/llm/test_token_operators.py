@@ -1,7 +1,6 @@
 """Tokens, token files, packing and sharding: exact round trips and the laws of their results."""
 
 import random
-import zlib
 
 import numpy as np
 import public_tokenizers
@@ -70,7 +69,7 @@ ids_lists = st.lists(st.lists(st.integers(0, 6), max_size=60), min_size=1, max_s
 def test_blocks_round_trip(docs, data):
     docs = [np.array([*d, 2], dtype=np.uint32) for d in docs]
     names = [None if i == 1 else i - 3 for i in range(len(docs))]
-    block = Block(encode_block(names, np.array([len(d) for d in docs]), np.concatenate(docs)))
+    block = Block(encode_block(names, np.array([len(d) for d in docs]), np.concatenate(docs))[0])
     assert block.doc_ids == names and block.ids().tolist() == np.concatenate(docs).tolist()
     i = data.draw(st.integers(0, len(docs) - 1))
     a, b = sorted(data.draw(st.tuples(st.integers(0, len(docs[i])), st.integers(0, len(docs[i])))))
@@ -190,5 +189,48 @@ def test_shards_of_odd_tables(spark):
     assert set(got.shard) <= set(range(6))
 
 
-def test_crc_of_text_is_of_its_bytes(spark):
-    assert spark.range(1).select(F.crc32(F.lit("é").cast("binary")).alias("c")).first()["c"] == zlib.crc32("é".encode())
+def test_a_hot_text_is_cut_evenly(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 100)
+    rows = [(i, "hot" if i % 3 else f"cold {i}", None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    keys = df.select(F.xxhash64("text").alias("_h"), F.col("doc_id").alias("_i"), F.lit(1).cast("long").alias("_size"))
+    counts = [c[1] for c in sharding._histogram(keys, sharding.find_splitters(keys, 30, 0.25, 4))]
+    assert max(counts) <= 150 and sum(counts) == 3000
+    check_shards(deal(spark, rows), rows, 6, 400)
+
+
+def test_very_many_boundaries_plan_and_place(spark):
+    rng = random.Random(3)
+    keys = sorted(rng.sample(range(1 << 40), 20_000))
+    edges = [sharding._join(k >> 8, k & 255) for k in keys]
+    place = sharding._placed(edges, [0] * 20_001, list(range(20_001)))
+    probe = [rng.randrange(1 << 40) for _ in range(500)] + keys[:200]
+    df = spark.createDataFrame([(k >> 8, k & 255, k) for k in probe], "h long, i long, k long")
+    import bisect
+
+    assert all(r["p"]["part"] == r["p"]["first"] == bisect.bisect_right(keys, r["k"]) for r in df.select("k", place(F.col("h"), F.col("i")).alias("p")).collect())
+
+
+def test_one_token_documents_pack_in_bounded_memory():
+    import tracemalloc
+
+    packer = packing._Packer(0, 1024, 256, 256)
+    ids, out = np.zeros(1, dtype=np.uint32), 0
+    tracemalloc.start()
+    for i in range(100_000):
+        out += len(packer.add(i, ids))
+    out += len(packer.flush())
+    assert out == 100_000 and packer.next <= 102 and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_packing_of_repeated_rows_and_null_ids(spark):
+    got = packing.pack_documents(frame(spark, ["a b", "a b", None, "x " * 30_000], [1, 1, None, None]), public_tokenizers.path(FILES[1])).toPandas()
+    assert got[got.doc_id == 1].length.sum() == 2 * got[got.doc_id == 1].doc_tokens.iloc[0] and got[got.doc_id.isna()].length.sum() == 1 + got.doc_tokens.max()
+
+
+def test_compression_is_reported(spark, tmp_path):
+    path = str(tmp_path / "r")
+    tokenfiles.write_token_files(frame(spark, ["the same words again " * 50] * 40), path, public_tokenizers.path(FILES[0]), shards=2)
+    rows = tokenfiles.compression(spark, path).collect()
+    assert sum(r["n_tokens"] for r in rows) == tokenfiles.read_token_files(spark, path).groupBy().sum("n_tokens").first()[0] and all(r["ratio"] > 10 and r["n_rules"] > 0 for r in rows)
