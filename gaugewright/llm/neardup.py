@@ -109,7 +109,7 @@ def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     often = np.bincount(column) > 1
     kept = often[column]
     column, owner = (np.cumsum(often) - 1)[column[kept]], owner[kept]
-    step = max(64, (8 << 20) // n)  # 32 MB of incidence at a time; counts stay far below 2**24 per step
+    step = min(max(64, (8 << 20) // n), max(1, int(often.sum())))  # 32 MB of incidence at a time; counts stay far below 2**24 per step
     exact = np.zeros((len(left), len(right)), dtype=np.int64)
     for a in range(0, int(often.sum()), step):
         low, high = np.searchsorted(column, [a, a + step])
