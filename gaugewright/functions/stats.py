@@ -82,3 +82,8 @@ def weighted_mean(weight: Column, value: Column) -> Column:
 def inverse_square(distance_km: Column) -> Column:
     """Weight 1 / d squared with d at least 1 km. (AGG-19)"""
     return 1 / F.pow(F.greatest(distance_km, F.lit(1.0)), F.lit(2.0))
+
+
+def first_few(item: Column, n: int) -> Column:
+    """The n smallest values, without nulls, of a group whose size is bounded, such as a station's neighbours on a day. (SRT-04)"""
+    return F.slice(F.array_sort(F.collect_list(item)), 1, n)

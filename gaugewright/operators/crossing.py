@@ -46,13 +46,18 @@ def response_candidates(rain: DataFrame, level: DataFrame, params: Params = DEFA
 def suppress(signals: DataFrame, hours: float, keys: tuple[str, ...] = ("station",)) -> DataFrame:
     """Of each key's signals in order, those at least ``hours`` after the last one that stayed.
 
-    Each verdict depends on the last, so the times are folded in order, as one array per key.
+    Each verdict depends on the last, so times are folded in order. A signal that comes as long after
+    its predecessor stays whatever became of that one, so a fold never goes beyond such a gap.
     """
-    gap = int(hours * HOUR)
-    times = F.array_sort(F.collect_list(micros("ts")))
-    kept = F.aggregate(F.col("t"), F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap), F.array_append(acc, x)).otherwise(acc))
-    stays = signals.groupBy(*keys).agg(times.alias("t")).select(*keys, F.explode(kept).alias("_u"))
-    return signals.withColumn("_u", micros("ts")).join(stays, [*keys, "_u"], "left_semi").drop("_u")
+    gap, at = int(hours * HOUR), micros("ts")
+    order = Window.partitionBy(*keys).orderBy("_u")
+    times = signals.select(*keys, at.alias("_u")).distinct()
+    begins = F.coalesce((F.col("_u") - F.lag("_u").over(order) >= gap).cast("int"), F.lit(1))
+    stretches = times.withColumn("_b", begins).withColumn("_s", F.sum("_b").over(order)).groupBy(*keys, "_s").agg(F.array_sort(F.collect_list("_u")).alias("t"))
+    empty = F.array().cast("array<bigint>")
+    kept = F.aggregate(F.col("t"), empty, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap), F.array_append(acc, x)).otherwise(acc))
+    stays = stretches.select(*keys, F.explode(kept).alias("_u"))
+    return signals.withColumn("_u", at).join(stays, [*keys, "_u"], "left_semi").drop("_u")
 
 
 def rain_without_response(rain: DataFrame, level: DataFrame, params: Params = DEFAULTS, min_rain: int = 10, min_level: int = 50) -> DataFrame:

@@ -19,7 +19,7 @@ from gaugewright.params import DEFAULTS, Params
 
 
 def battery_levels(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Battery beyond return, else on alert; and overcharged. (BAT-a, BAT-b, BAT-c)"""
+    """Battery beyond return, else on alert; and overcharged. ``battery_details`` has the rows behind an alert. (BAT-a, BAT-b, BAT-c)"""
     v = F.col("value")
     dead, alert, over = v <= params.battery_no_return, (v > params.battery_no_return) & (v <= params.battery_alert), v > params.battery_overcharge
     s = m.groupBy(*keys).agg(*[x for n, p in (("dead", dead), ("alert", alert), ("over", over)) for x in (F.count_if(p).alias(f"n_{n}"), F.min(F.when(p, F.col("ts"))).alias(f"ts_{n}"))], F.min("value").alias("lowest"), F.max("value").alias("highest"))
@@ -29,6 +29,15 @@ def battery_levels(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str]
     return a.unionByName(b).unionByName(c)
 
 
+def battery_details(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = SERIES, first: int = 10) -> DataFrame:
+    """The first readings on alert of each battery that never was beyond return: keys, rank, ts, value. (BAT-b, SRT-04)"""
+    v = F.col("value")
+    order = Window.partitionBy(*keys).orderBy("ts", "value")
+    dead = m.groupBy(*keys).agg(F.min("value").alias("_low")).where(F.col("_low") > params.battery_no_return).select(*keys)
+    alert = m.where((v > params.battery_no_return) & (v <= params.battery_alert)).join(dead, list(keys), "left_semi")
+    return alert.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first).select(*keys, "rank", "ts", "value")
+
+
 def correct(m: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Values out of bounds replaced where the sensor corrects: value_raw, value, corrected. (R8, AGG-08, FLT-02)
 

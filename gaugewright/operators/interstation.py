@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.functions.stats import HOUR, exact_median, inverse_square, micros, weighted_mean, with_median_mad
+from gaugewright.functions.stats import HOUR, exact_median, first_few, inverse_square, micros, weighted_mean, with_median_mad
 from gaugewright.operators.anomalies import anomaly
 from gaugewright.operators.intervals import interval_join
 from gaugewright.operators.series import dense_daily, predicate_runs
 from gaugewright.params import DEFAULTS, Params
 
 
-def nearest_neighbours(stations: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def nearest_neighbours(stations: DataFrame, params: Params = DEFAULTS, among: DataFrame | None = None) -> DataFrame:
     """Up to k neighbours of each station (station, x, y in metres, altitude, origin): station, neighbour, km, rank. (JN-12, WIN-14, FLT-11, FLT-12)
 
     Stations meet by grid cell: a cell is as wide as the radius, so a neighbour lies in one of the
     nine cells around. The radius applies to the exact distance, the rank to the rounded one, ties
-    to the smaller name. Altitudes count if both are known, origins if both are.
+    to the smaller name. Altitudes count if both are known, origins if both are. ``among`` (station)
+    limits who can be a neighbour, before the k nearest are chosen.
     """
     size = params.neighbour_km * 1000
     cell = stations.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)}).where("x is not null and y is not null")
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     spread = cell.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")}).drop("dx", "dy")
     other = cell.select(*[F.col(c).alias(f"{c}_n") for c in ("station", "x", "y", "altitude", "origin")], "cx", "cy")
+    if among is not None:
+        other = other.join(among.select(F.col("station").alias("station_n")).distinct(), "station_n", "left_semi")
     pairs = spread.join(other, ["cx", "cy"]).where("station <> station_n")
     km = F.hypot(F.col("x") - F.col("x_n"), F.col("y") - F.col("y_n")) / 1000
     alt = F.abs(F.col("altitude") - F.col("altitude_n")) <= params.neighbour_alt_m
@@ -34,34 +37,38 @@ def nearest_neighbours(stations: DataFrame, params: Params = DEFAULTS) -> DataFr
 
 
 def expected_rain(days: DataFrame, neighbours: DataFrame, params: Params = DEFAULTS, full_days: bool = False) -> DataFrame:
-    """Inverse-distance mean of the neighbours' daily totals: station, day, expected, n_wet, n_neighbours. (AGG-19)
+    """Inverse-distance mean of the neighbours' daily totals: station, day, expected, n_wet, n_neighbours and wet, the three nearest wet ones. (AGG-19, SRT-04)
 
     A neighbour silent within its range counts as 0 mm (Q-05) unless ``full_days`` asks for whole days.
     """
     theirs = days.where(F.col("n") >= params.full_day_rows) if full_days else days
     joined = neighbours.join(theirs.select(F.col("station").alias("neighbour"), "day", "total"), "neighbour")
-    return joined.groupBy("station", "day").agg(weighted_mean(inverse_square(F.col("km")), F.col("total")).alias("expected"), F.count_if(F.col("total") >= params.wet_mm).alias("n_wet"), F.count("*").alias("n_neighbours"))
+    return joined.groupBy("station", "day").agg(weighted_mean(inverse_square(F.col("km")), F.col("total")).alias("expected"), F.count_if(F.col("total") >= params.wet_mm).alias("n_wet"), F.count("*").alias("n_neighbours"), first_few(F.when(F.col("total") >= params.wet_mm, F.struct("km", "neighbour", "total")), 3).alias("wet"))
 
 
-def false_zero_days(rain: DataFrame, neighbours: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Full days without rain where wet neighbours expect it: station, day, expected. (I1)"""
+def false_zero_days(rain: DataFrame, stations: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Full days without rain where wet neighbours expect it: station, day, expected and the first three wet neighbours. (I1)
+
+    Neighbours are the nearest of the stations that have rain readings at all, so that a silent gauge takes no place among them.
+    """
+    neighbours = nearest_neighbours(stations, params, rain)
     days = dense_daily(rain, ["station"])
     enough = neighbours.groupBy("station").agg(F.count("*").alias("k")).where(F.col("k") >= params.neighbour_min).select("station")
     dry = days.where((F.col("total") == 0) & (F.col("n") >= params.full_day_rows)).join(enough, "station", "left_semi").select("station", "day")
-    return dry.join(expected_rain(days, neighbours, params), ["station", "day"]).where((F.col("n_wet") >= params.neighbour_min) & (F.col("expected") >= params.expected_mm)).select("station", "day", "expected")
+    return dry.join(expected_rain(days, neighbours, params), ["station", "day"]).where((F.col("n_wet") >= params.neighbour_min) & (F.col("expected") >= params.expected_mm)).select("station", "day", "expected", "wet")
 
 
-def false_zero_episodes(rain: DataFrame, neighbours: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Consecutive false-zero days as one episode: station, first_day, last_day, n_days, expected, severity. (I1, WIN-07)"""
-    days = false_zero_days(rain, neighbours, params)
+def false_zero_episodes(rain: DataFrame, stations: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Consecutive false-zero days as one episode: station, first_day, last_day, n_days, expected, wet (of the worst day) and severity. (I1, WIN-07)"""
+    days = false_zero_days(rain, stations, params)
     island = F.date_sub("day", F.row_number().over(Window.partitionBy("station").orderBy("day")))
-    s = days.withColumn("_i", island).groupBy("station", "_i").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n_days"), F.max("expected").alias("expected"))
+    s = days.withColumn("_i", island).groupBy("station", "_i").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n_days"), F.max("expected").alias("expected"), F.max_by("wet", F.struct("expected", (-F.unix_date("day")).alias("back"))).alias("wet"))
     return s.drop("_i").withColumn("severity", F.when(F.col("expected") >= params.expected_severe_mm, "high").otherwise("medium"))
 
 
-def false_zero_anomalies(rain: DataFrame, neighbours: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def false_zero_anomalies(rain: DataFrame, stations: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Episodes of false zeros as anomalies of the one shape. (I1)"""
-    s = false_zero_episodes(rain, neighbours, params).withColumn("sensor", F.lit(params.rain))
+    s = false_zero_episodes(rain, stations, params).withColumn("sensor", F.lit(params.rain))
     return anomaly(s, "I1", "I1_faux_zero_pluie", F.col("severity"), F.col("first_day").cast("timestamp_ntz"), F.col("n_days"), F.col("expected"), params.expected_mm)
 
 
@@ -135,8 +142,8 @@ def flood_anomalies(propagation: DataFrame, params: Params = DEFAULTS) -> DataFr
 
 
 def decline_reasons(declines: DataFrame, text: str = "reason") -> DataFrame:
-    """Reasons by what stands before `` of `` or a colon, with their number and one example. (AGG-25)"""
-    head = F.substring_index(F.substring_index(text, " of ", 1), " : ", 1)
+    """Reasons by what stands before `` du `` or a colon, with their number and one example. (AGG-25)"""
+    head = F.substring_index(F.substring_index(text, " du ", 1), " : ", 1)
     return declines.groupBy(head.alias("kind")).agg(F.count("*").alias("n"), F.min(text).alias("example")).orderBy(F.desc("n"), "kind")
 
 

@@ -11,6 +11,7 @@ from gaugewright.functions.stats import DAY, HOUR, micros, pettitt, r_squared, s
 from gaugewright.operators.anomalies import anomaly
 from gaugewright.operators.series import SERIES, daily_median, last_days, trailing_run
 from gaugewright.params import DEFAULTS, Params
+from gaugewright.session import checkpointed
 
 
 def _recent(m: DataFrame, span_us: int, keys: Sequence[str], open_start: bool = False) -> DataFrame:
@@ -130,12 +131,17 @@ def rule_applicability(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[s
 
 
 def long_term_anomalies(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = SERIES) -> DataFrame:
-    """All history rules: each sensor's own on the last days of its history, the mean shift on all of it."""
-    tail = last_days(m, params.history_days, keys)
+    """All history rules: each sensor's own on the last days of its history, the mean shift on all of it.
+
+    A series of fewer than three readings in those days is not judged, but for its silence. The tail is
+    written once, for five rules read it.
+    """
+    tail = last_days(m, params.history_days, keys).where("value is not null")
+    tail = checkpointed(tail.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("_n") >= params.history_min_rows).drop("_n"))
+    enough = tail.select(*keys).distinct()
     water = F.col("sensor").isin(params.level, params.discharge)
     power = tail.where(F.col("sensor") == params.battery)
     out = long_flatline(tail, params, keys)
-    for part in (battery_drift(power, params, keys), no_recharge(power, params, keys), recent_outliers(tail.where(water), params, keys), continuous_trend(tail.where(water), params, keys), mean_shift_anomalies(m.where(water), params, keys), silent_series(m, params, keys)):
+    for part in (battery_drift(power, params, keys), no_recharge(power, params, keys), recent_outliers(tail.where(water), params, keys), continuous_trend(tail.where(water), params, keys), mean_shift_anomalies(m.where(water).join(enough, list(keys), "left_semi"), params, keys), silent_series(m, params, keys)):
         out = out.unionByName(part)
     return out
-

@@ -6,6 +6,7 @@ after one another reuse one exchange.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,7 +52,7 @@ def with_step(m: DataFrame, keys: Sequence[str] = SERIES, name: str = "step_s")
 
 def value_runs(m: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Maximal runs of equal consecutive values: value, n, first_ts, last_ts and hours. A null belongs to none. (WIN-03)"""
-    order = _by(keys, "ts")
+    order = _by(keys, "ts", "value")
     change = F.when(F.lag("value").over(order).eqNullSafe(F.col("value")) & F.col("value").isNotNull(), 0).otherwise(1)
     runs = m.withColumn("_c", change).withColumn("_run", F.sum("_c").over(order)).where("value is not null")
     out = runs.groupBy(*keys, "_run").agg(F.first("value").alias("value"), F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -61,19 +62,21 @@ def value_runs(m: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
 def trailing_run(m: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """The run of equal values that each series ends with: value, first_ts, last_ts, n, hours. (WIN-04)
 
-    Two aggregations and no window: the last value, and the last time at which the value was another.
+    Two aggregations and no window: the last value, and the last time at which the value was another;
+    of rows of one time the greatest value counts as the last.
     """
-    last = m.groupBy(*keys).agg(F.max_by("value", "ts").alias("last_value"))
+    at = F.struct("ts", "value")
+    last = m.groupBy(*keys).agg(F.max(at)["value"].alias("last_value"))
     joined = m.join(last, list(keys))
-    other = joined.groupBy(*keys).agg(F.max(F.when(~F.col("value").eqNullSafe(F.col("last_value")), F.col("ts"))).alias("_other"))
-    tail = joined.join(other, list(keys)).where("_other is null or ts > _other")
+    other = joined.groupBy(*keys).agg(F.max(F.when(~F.col("value").eqNullSafe(F.col("last_value")), at)).alias("_other"))
+    tail = joined.join(other, list(keys)).where(F.col("_other").isNull() | (at > F.col("_other")))
     out = tail.groupBy(*keys).agg(F.first("last_value").alias("value"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
     return out.withColumn("hours", (micros("last_ts") - micros("first_ts")) / float(HOUR))
 
 
 def predicate_runs(df: DataFrame, predicate: Column, keys: Sequence[str] = SERIES, aggregates: Sequence[Column] = ()) -> DataFrame:
     """Maximal runs of consecutive rows that satisfy a predicate: first_ts, last_ts, n and further aggregates. (WIN-05)"""
-    order = _by(keys, "ts")
+    order = _by(keys, "ts", "value")
     flagged = df.withColumn("_in", F.coalesce(predicate, F.lit(False)))
     starts = (F.col("_in") & ~F.coalesce(F.lag("_in").over(order), F.lit(False))).cast("int")
     return flagged.withColumn("_s", starts).withColumn("_run", F.sum("_s").over(order)).where("_in").groupBy(*keys, "_run").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"), *aggregates).drop("_run")
@@ -147,7 +150,7 @@ def reconstruct(m: DataFrame, step_us: int, max_steps: int = DEFAULTS.max_filled
     """The series on a regular grid from its first point: value, and filled where it was interpolated. (WIN-16, WIN-17)
 
     Points off the grid are dropped (Q-24); gaps of up to ``max_steps`` grid points are filled by
-    linear interpolation in time, longer ones and the ends stay empty.
+    linear interpolation in time, points of longer ones are left out.
     """
     at = m.select(*keys, micros("ts").alias("u"), "value").groupBy(*keys, "u").agg(F.first("value").alias("value"))
     ends = at.groupBy(*keys).agg(F.min("u").alias("a"), F.max("u").alias("b"))
@@ -159,7 +162,8 @@ def reconstruct(m: DataFrame, step_us: int, max_steps: int = DEFAULTS.max_filled
     missing = (F.col("_n.u") - F.col("_p.u")) / step_us - 1
     line = F.col("_p.value") + (F.col("_n.value") - F.col("_p.value")) * (F.col("u") - F.col("_p.u")) / (F.col("_n.u") - F.col("_p.u"))
     filled = F.col("value").isNull() & F.coalesce(missing <= max_steps, F.lit(False))
-    return near.select(*keys, F.timestamp_micros("u").cast("timestamp_ntz").alias("ts"), F.when(filled, line).otherwise(F.col("value")).alias("value"), filled.alias("filled"))
+    out = near.select(*keys, F.timestamp_micros("u").cast("timestamp_ntz").alias("ts"), F.when(filled, line).otherwise(F.col("value")).alias("value"), filled.alias("filled"))
+    return out.where("value is not null")
 
 
 def common_window(m: DataFrame, keys: Sequence[str] = SERIES, group: str = "station") -> DataFrame:
@@ -180,30 +184,27 @@ def last_before(events: DataFrame, m: DataFrame, predicate: Column, keys: Sequen
 
 def lagged(m: DataFrame, steps: int, keys: Sequence[str] = SERIES) -> DataFrame:
     """The value of ``steps`` rows before, the series' first value where there is none. (WIN-19)"""
-    order = _by(keys, "ts")
+    order = _by(keys, "ts", "value")
     return m.withColumn("lagged", F.coalesce(F.lag("value", steps).over(order), F.first("value").over(order)))
 
 
 def recursive_filter(m: DataFrame, a: float, b: float, keys: Sequence[str] = SERIES) -> DataFrame:
-    """q[t] = max(value[t], a * q[t - 1] + b) along each series. (WIN-20)
+    """q[t] = max(value[t], a * q[t - 1] + b) along each series, for a between 0 and 1. (WIN-20)
 
-    No window can say this. The linear recession makes it a running maximum instead: with d[t] =
-    (value[t] - c) / a**t and c = b / (1 - a), q[t] = c + a**t * max(d[0..t]), which a window can;
-    numbers are kept in range by counting t within blocks of 64 rows and carrying each block's end
-    by a fold over the blocks.
+    The linear recession makes it a running maximum, which a window can say: with c = b / (1 - a),
+    q[t] = c + the greatest (value[s] - c) * a**(t - s) for s up to t. The powers are taken as
+    logarithms, so that a long series keeps its numbers in range; what lies under c counts only while
+    nothing has reached it.
     """
-    c = b / (1 - a)
-    order = _by(keys, "ts")
-    n = m.withColumn("_t", F.row_number().over(order) - 1).withColumns({"_b": F.floor(F.col("_t") / 64), "_i": F.col("_t") % 64})
-    inner = Window.partitionBy(*keys, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    n = n.withColumn("_d", F.max((F.col("value") - c) / F.pow(F.lit(a), F.col("_i"))).over(inner))
-    ends = n.groupBy(*keys, "_b").agg(F.max_by(F.struct("_d", "_i"), "_i").alias("e"))
-    path = F.array_sort(F.collect_list(F.struct("_b", F.col("e._d").alias("d"), F.col("e._i").alias("i"))))
-    # q before block k + 1, less c: a**(i + 1) * max(d, what came in), counted from the block's first row
-    fold = F.aggregate("p", F.array(F.struct(F.lit(-1).cast("long").alias("b"), F.lit(float("-inf")).alias("q"))), lambda acc, x: F.concat(acc, F.array(F.struct(x["_b"].cast("long").alias("b"), (F.pow(F.lit(a), x["i"] + 1) * F.greatest(x["d"], F.element_at(acc, -1)["q"])).alias("q")))))
-    carried = ends.groupBy(*keys).agg(path.alias("p")).select(*keys, F.explode(fold).alias("f")).select(*keys, (F.col("f.b") + 1).alias("_b"), F.col("f.q").alias("_in"))
-    out = n.join(carried, [*keys, "_b"], "left")
-    return out.withColumn("filtered", c + F.pow(F.lit(a), F.col("_i")) * F.greatest("_d", "_in")).drop("_t", "_b", "_i", "_d", "_in")
+    c, fall = b / (1 - a), math.log(a)
+    so_far = _by(keys, "ts", "value").rowsBetween(Window.unboundedPreceding, 0)
+    n = m.withColumns({"_t": F.row_number().over(_by(keys, "ts", "value")), "_over": F.col("value") - c})
+    n = n.withColumn("_log", F.ln(F.abs("_over")) - F.col("_t") * fall)
+    over, at, under = F.max(F.when(F.col("_over") > 0, F.col("_log"))), F.max(F.when(F.col("_over") == 0, F.lit(1))), F.min(F.when(F.col("_over") < 0, F.col("_log")))
+    n = n.withColumns({"_up": over.over(so_far), "_at": at.over(so_far), "_down": under.over(so_far)})
+    grown = lambda x: F.exp(F.col(x) + F.col("_t") * fall)
+    above = F.when(F.col("_up").isNotNull(), grown("_up")).when(F.col("_at").isNotNull(), 0.0).otherwise(-grown("_down"))
+    return n.withColumn("filtered", c + above).drop("_t", "_over", "_log", "_up", "_at", "_down")
 
 
 def usable_share(m: DataFrame, keys: Sequence[str] = SERIES, tail_h: float = 1.0) -> DataFrame:
@@ -221,13 +222,13 @@ def limits_frame(spark, params: Params = DEFAULTS) -> DataFrame:
 
 def centred_mean(m: DataFrame, rows: int = 72, keys: Sequence[str] = SERIES) -> DataFrame:
     """Mean over a centred frame of rows, as many as there are at the ends; an even frame leans back. (WIN-09)"""
-    frame = _by(keys, "ts").rowsBetween(-(rows // 2), rows - rows // 2 - 1)
+    frame = _by(keys, "ts", "value").rowsBetween(-(rows // 2), rows - rows // 2 - 1)
     return m.withColumn("centred", F.avg("value").over(frame))
 
 
 def convolve(m: DataFrame, kernel: Sequence[float], keys: Sequence[str] = SERIES) -> DataFrame:
     """The series' past weighted by a kernel of fixed length: sum of kernel[k] * value[t - k]. (WIN-21)"""
-    order = _by(keys, "ts")
+    order = _by(keys, "ts", "value")
     total = F.lit(0.0)
     for k, weight in enumerate(kernel):
         total = total + F.lit(float(weight)) * F.coalesce(F.lag("value", k).over(order) if k else F.col("value"), F.lit(0.0))

@@ -127,3 +127,66 @@ def oldest_pending(proposals: DataFrame, now: Column) -> DataFrame:
 def declared_state(transmits: Column, n_faults: Column) -> Column:
     """Not transmitting, transmitting with a fault, or running."""
     return F.when(~F.coalesce(transmits, F.lit(False)), STATES[2]).when(F.coalesce(n_faults, F.lit(0)) > 0, STATES[1]).otherwise(STATES[0])
+
+
+# What a proposal's status is called on a page.
+STATUS_LABELS = {PENDING: "En attente de vérification", VOID: "Sans objet (problème disparu)"}
+
+
+def _decoded(proposals: DataFrame) -> DataFrame:
+    """Proposals with ``sensors`` as a map (from JSON text, if it is text; empty if it is none) and the label of their status. (ST-06, SCA-json)"""
+    sensors = F.from_json("sensors", "map<string,string>") if dict(proposals.dtypes)["sensors"] == "string" else F.col("sensors")
+    known = F.create_map(*[F.lit(x) for pair in STATUS_LABELS.items() for x in pair])
+    return proposals.withColumns({"sensors": F.coalesce(sensors, F.create_map().cast("map<string,string>")), "status_label": F.coalesce(F.try_element_at(known, F.col("status")), F.col("status"))})
+
+
+def encoded(proposals: DataFrame) -> DataFrame:
+    """Proposals with ``sensors`` as JSON text. (SCA-json)"""
+    return proposals.withColumn("sensors", F.to_json("sensors"))
+
+
+def pending_proposals(proposals: DataFrame) -> DataFrame:
+    """Those that wait for an answer, the oldest first. (ST-06)"""
+    return _decoded(proposals.where(F.col("status") == PENDING)).orderBy("created_at", "id")
+
+
+def proposal_journal(proposals: DataFrame, station: str | None = None, limit: int = 200) -> DataFrame:
+    """The last proposals, of one station or all, the newest first. (ST-06, SRT-03)"""
+    own = proposals.where(F.col("station") == station) if station is not None else proposals
+    return _decoded(own.orderBy(F.desc("created_at"), F.desc("id")).limit(limit))
+
+
+def one_pending(proposals: DataFrame) -> DataFrame:
+    """Proposals of which each station has at most one pending: of several the first stays so, the others become void. (ST-02)"""
+    order = Window.partitionBy("station", F.col("status") == PENDING).orderBy("created_at", "id")
+    extra = (F.col("status") == PENDING) & (F.row_number().over(order) > 1)
+    return proposals.withColumn("_extra", extra).withColumn("status", F.when(F.col("_extra"), VOID).otherwise(F.col("status"))).drop("_extra")
+
+
+def synchronise(proposals: DataFrame, detected: DataFrame, now: Column, dry_run: bool = False) -> DataFrame:
+    """What a comparison with the network does to the proposals: the actions (dry run), or the table after them. (ST-03, ST-04, ST-07)
+
+    ``detected``: station, state, declared, justified, reason, sensors (map), rules, provenance. A
+    justified divergence opens a proposal or enriches the station's pending one, which keeps its
+    date and, where nothing new is known, its provenance; a pending one without it becomes void. At
+    most one proposal of a station is pending afterwards.
+    """
+    proposals = one_pending(proposals)
+    pending = proposals.where(F.col("status") == PENDING)
+    actions = proposal_merge(pending, detected)
+    if dry_run:
+        return actions
+    d = detected.select("station", *[F.col(c).alias(f"_{c}") for c in ("state", "declared", "reason", "sensors", "rules", "provenance")])
+    told = actions.select("station", "action").join(d, "station", "left")
+    mine = F.col("status") == PENDING
+    enriched, closed = mine & (F.col("action") == "enrich"), mine & (F.col("action") == "close")
+    new = {"proposed": "_state", "declared": "_declared", "reason": "_reason", "sensors": "_sensors", "rules": "_rules"}
+    kept = proposals.join(told, "station", "left").withColumns(
+        {c: F.when(enriched, F.col(x)).otherwise(F.col(c)) for c, x in new.items()}
+        | {"provenance": F.when(enriched, F.coalesce("_provenance", "provenance")).otherwise(F.col("provenance")), "updated_at": F.when(enriched | closed, now).otherwise(F.col("updated_at")), "status": F.when(closed, VOID).otherwise(F.col("status"))}
+    )
+    opened = told.where("action = 'open'").select(
+        F.sha2(F.concat_ws("|", "station", now.cast("string")), 256).alias("id"), "station", F.col("_declared").alias("declared"), F.col("_state").alias("proposed"), F.col("_reason").alias("reason"), F.col("_sensors").alias("sensors"), F.col("_rules").alias("rules"),
+        F.col("_provenance").alias("provenance"), now.alias("created_at"), now.alias("updated_at"), F.lit(PENDING).alias("status"),
+    )
+    return kept.select(proposals.columns).unionByName(opened, allowMissingColumns=True)

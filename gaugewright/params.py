@@ -43,6 +43,7 @@ class Params:
     shift_min_days: int = 60
     shift_margin_days: int = 15
     history_days: int = 120
+    history_min_rows: int = 3
     response_rain_mm: float = 10.0
     response_rain_h: int = 24
     response_h: int = 36

@@ -7,9 +7,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from gaugewright.functions.stats import HOUR
-from gaugewright.operators import crossing, graph, interstation, state
+from gaugewright.operators import crossing, graph, interstation, listing, state
 from gaugewright.params import DEFAULTS
-from gaugewright.plans.registry import EDGES, STATIONS, M, measurements, query, rounded, stations_frame, table, tree_edges
+from gaugewright.plans.registry import EDGES, GAUGES, NODES, STATIONS, M, gauges, measurements, nodes, query, rounded, stations_frame, table, tree_edges
 from gaugewright.sources import telemetry
 
 _BY = "PARTITION BY station"
@@ -35,7 +35,14 @@ def rain_response_guards(spark, sf_dir):
     return rounded(found)
 
 
-@query()
+_GREEDY = _CANDIDATES.replace("WITH m AS", "WITH RECURSIVE m AS", 1)
+_GREEDY = _GREEDY[: _GREEDY.rindex("SELECT h.station, h.ts")]
+
+
+@query(f"""{_GREEDY.rstrip()},
+g AS (SELECT h.station, h.ts, h.u, h.mm FROM h JOIN n USING (station, ts) WHERE NOT coalesce(d - last_wet > 3 * 86400000000, false) AND nb >= 3 AND NOT base > med + 1.5 * (med - low) AND na >= 5 AND peak - base < 60),
+kept AS (SELECT station, min(u) AS u FROM g GROUP BY station UNION ALL SELECT k.station, (SELECT min(g.u) FROM g WHERE g.station = k.station AND g.u >= k.u + 129600000000) AS u FROM kept k WHERE k.u IS NOT NULL)
+SELECT g.station, g.ts, CASE WHEN mm >= 300 THEN 'high' ELSE 'medium' END AS severity, round(mm, 4) AS metric FROM g JOIN kept ON kept.station = g.station AND kept.u = g.u""")
 def rain_no_response(spark, sf_dir):
     found = crossing.rain_without_response(_sensor(spark, sf_dir, "click"), _sensor(spark, sf_dir, "view"), _L7, min_level=10)
     return rounded(found.select("station", "ts", "severity", "metric"))
@@ -46,9 +53,9 @@ _NEIGHBOURS = f"""{STATIONS}, p AS (SELECT a.station, b.station AS neighbour, sq
 nb AS (SELECT station, neighbour, round_even(exact, 1) AS km, row_number() OVER ({_BY} ORDER BY round_even(exact, 1), neighbour) AS rank FROM p WHERE exact <= 80), nk AS (SELECT * FROM nb WHERE rank <= 8)"""
 
 
-@query(f"WITH {M}, {_NEIGHBOURS} SELECT station, neighbour, round(km, 1) AS km, rank FROM nk")
+@query(f"WITH {NODES}, {_NEIGHBOURS} SELECT station, neighbour, round(km, 1) AS km, rank FROM nk")
 def nearest_neighbours(spark, sf_dir):
-    return rounded(interstation.nearest_neighbours(stations_frame(measurements(spark, sf_dir))), 1)
+    return rounded(interstation.nearest_neighbours(stations_frame(nodes(spark, sf_dir))), 1)
 
 
 # Rain from the clicks, with days under a threshold set to zero so that exact zeros exist.
@@ -66,20 +73,29 @@ def _rain(spark, sf_dir):
 def idw_expected(spark, sf_dir):
     near = interstation.nearest_neighbours(stations_frame(measurements(spark, sf_dir)))
     days = interstation.dense_daily(_rain(spark, sf_dir), ["station"])
-    return rounded(interstation.expected_rain(days, near))
+    return rounded(interstation.expected_rain(days, near).drop("wet"))
+
+
+_HEARD = "rn AS (SELECT * FROM (SELECT station, ts, CASE WHEN value < 25 THEN 0 ELSE value END AS value FROM m WHERE sensor = 'click') WHERE station NOT IN ('S03', 'S08'))"
+_HEARD_NEIGHBOURS = _NEIGHBOURS.replace("FROM p WHERE exact <= 80", "FROM p WHERE exact <= 80 AND neighbour IN (SELECT station FROM rn)")
 
 
-@query(f"""WITH {M}, {_NEIGHBOURS}, {_RAIN}, {_DAYS}, en AS (SELECT station FROM nk GROUP BY station HAVING count(*) >= 3), f AS (SELECT dy.station, dy.day, ex.expected FROM dy JOIN en USING (station) JOIN ex USING (station, day) WHERE dy.total = 0 AND dy.n >= 1 AND n_wet >= 3 AND expected >= 4),
-i AS (SELECT *, day - (row_number() OVER ({_BY} ORDER BY day))::INT AS isl FROM f) SELECT station, strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day, count(*) AS n_days, round(max(expected), 4) AS expected, CASE WHEN max(expected) >= 15 THEN 'high' ELSE 'medium' END AS severity FROM i GROUP BY station, isl""")
+@query(f"""WITH {M}, {_HEARD}, {_HEARD_NEIGHBOURS}, {_DAYS}, en AS (SELECT station FROM nk GROUP BY station HAVING count(*) >= 3), f AS (SELECT dy.station, dy.day, ex.expected FROM dy JOIN en USING (station) JOIN ex USING (station, day) WHERE dy.total = 0 AND dy.n >= 1 AND n_wet >= 3 AND expected >= 4),
+i AS (SELECT *, day - (row_number() OVER ({_BY} ORDER BY day))::INT AS isl FROM f), ep AS (SELECT station, isl, min(day) AS first_day, max(day) AS last_day, count(*) AS n_days, max(expected) AS expected, arg_max(day, (expected, -(day - DATE '1970-01-01'))) AS worst FROM i GROUP BY station, isl),
+wt AS (SELECT ep.station, ep.isl, nk.neighbour, row_number() OVER (PARTITION BY ep.station, ep.isl ORDER BY nk.km, nk.neighbour) AS rn FROM ep JOIN nk ON nk.station = ep.station JOIN dy ON dy.station = nk.neighbour AND dy.day = ep.worst WHERE dy.total >= 3),
+wj AS (SELECT station, isl, string_agg(neighbour, ',' ORDER BY rn) AS wet FROM wt WHERE rn <= 3 GROUP BY ALL)
+SELECT station, strftime(first_day, '%Y-%m-%d') AS first_day, strftime(last_day, '%Y-%m-%d') AS last_day, n_days, round(expected, 4) AS expected, wet, CASE WHEN expected >= 15 THEN 'high' ELSE 'medium' END AS severity FROM ep LEFT JOIN wj USING (station, isl)""")
 def false_zero_episodes(spark, sf_dir):
-    near = interstation.nearest_neighbours(stations_frame(measurements(spark, sf_dir)))
-    return rounded(interstation.false_zero_episodes(_rain(spark, sf_dir), near, replace(DEFAULTS, full_day_rows=1)))
+    rain = _rain(spark, sf_dir).where(~F.col("station").isin("S03", "S08"))  # two silent gauges, which are nobody's neighbours
+    found = interstation.false_zero_episodes(rain, stations_frame(measurements(spark, sf_dir)), replace(DEFAULTS, full_day_rows=1))
+    wet = F.array_join(F.transform("wet", lambda x: x["neighbour"]), ",")
+    return rounded(found.withColumn("wet", wet))
 
 
 # I2: levels are all sensors of a station but errors, pairs are the tree's relations.
 _LEVEL = "lv AS (SELECT station, ts, epoch_us(ts) AS u, value FROM m WHERE sensor <> 'error')"
 _FLOODS = f"""fm AS (SELECT *, median(value) OVER ({_BY}) AS med FROM lv), fd AS (SELECT station, any_value(med) AS med, median(abs(value - med)) AS mad, count(*) AS n, min(value) AS low FROM fm GROUP BY station),
-fi AS (SELECT lv.*, fd.med, lv.value > fd.med + greatest(6 * 1.4826 * mad, 10) AS hi FROM lv JOIN fd USING (station)), fs AS (SELECT *, CASE WHEN hi AND NOT coalesce(lag(hi) OVER ({_BY} ORDER BY ts), false) THEN 1 ELSE 0 END AS s FROM fi), fr AS (SELECT *, sum(s) OVER ({_BY} ORDER BY ts) AS run FROM fs),
+fi AS (SELECT lv.*, fd.med, lv.value > fd.med + greatest(6 * 1.4826 * mad, 10) AS hi FROM lv JOIN fd USING (station)), fs AS (SELECT *, CASE WHEN hi AND NOT coalesce(lag(hi) OVER ({_BY} ORDER BY ts, value), false) THEN 1 ELSE 0 END AS s FROM fi), fr AS (SELECT *, sum(s) OVER ({_BY} ORDER BY ts, value) AS run FROM fs),
 fl AS (SELECT station, run, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, max(value) AS peak, arg_max(ts, value) AS peak_ts, max(value) - any_value(med) AS rise FROM fr WHERE hi GROUP BY station, run)"""
 
 
@@ -105,24 +121,24 @@ pj AS (SELECT pr.*, a.n AS n_up, b.n AS n_down, b.med, b.low, lt.step, coalesce(
 pg AS (SELECT *, CASE WHEN reliability <> 'haute' THEN 'reliability' WHEN km > 100 THEN 'distance' WHEN NOT same_origin THEN 'origin' WHEN n_up IS NULL OR n_down IS NULL THEN 'no_level' WHEN n_up < 100 OR n_down < 100 THEN 'few_rows' WHEN nf = 0 THEN 'no_flood' END AS reason FROM pj),
 ev AS (SELECT pg.*, fl.first_ts, epoch_us(fl.peak_ts) AS pu, fl.rise, epoch_us(fl.first_ts) + (greatest(km / 10 - 2, 0) * {HOUR})::DOUBLE AS f0, epoch_us(fl.peak_ts) + ((km / 2 + 2) * {HOUR})::DOUBLE AS f1 FROM pg JOIN fl ON fl.station = up WHERE reason IS NULL),
 ez AS (SELECT * EXCLUDE (f0, f1), trunc(f0)::BIGINT AS f0, trunc(f1)::BIGINT AS f1 FROM ev),
-nr AS (SELECT ez.up, ez.down, ez.first_ts, count(*) FILTER (WHERE u < f0) AS np, median(value) FILTER (WHERE u < f0) AS pm, arg_min(value, u) FILTER (WHERE u < f0) AS v0, arg_max(value, u) FILTER (WHERE u < f0) AS v1, min(u) FILTER (WHERE u < f0) AS u0, max(u) FILTER (WHERE u < f0) AS u1, count(*) FILTER (WHERE u >= f0) AS ni, max(value) FILTER (WHERE u >= f0) AS pk FROM ez JOIN lv ON lv.station = down AND u BETWEEN f0 - 86400000000 AND f1 GROUP BY ALL),
-fu AS (SELECT ez.*, coalesce(np, 0) AS np, coalesce(ni, 0) AS ni, CASE WHEN coalesce(np, 0) >= 10 THEN pm ELSE med END AS local, v0, v1, u0, u1, pk FROM ez LEFT JOIN nr USING (up, down, first_ts)),
+nr AS (SELECT ez.up, ez.down, ez.first_ts, count(*) FILTER (WHERE u < f0) AS np, median(value) FILTER (WHERE u < f0) AS pm, arg_min(value, u) FILTER (WHERE u < f0) AS v0, arg_max(value, u) FILTER (WHERE u < f0) AS v1, min(u) FILTER (WHERE u < f0) AS u0, max(u) FILTER (WHERE u < f0) AS u1, count(*) FILTER (WHERE u >= f0) AS ni, max(value) FILTER (WHERE u >= f0) AS pk, arg_max(u, (value, -u)) FILTER (WHERE u >= f0) AS pku FROM ez JOIN lv ON lv.station = down AND u BETWEEN f0 - 86400000000 AND f1 GROUP BY ALL),
+fu AS (SELECT ez.*, coalesce(np, 0) AS np, coalesce(ni, 0) AS ni, CASE WHEN coalesce(np, 0) >= 10 THEN pm ELSE med END AS local, v0, v1, u0, u1, pk, pku FROM ez LEFT JOIN nr USING (up, down, first_ts)),
 fg AS (SELECT *, local + greatest(5, 0.1 * rise) AS threshold, CASE WHEN np >= 10 AND local > med + 1.5 * (med - low) THEN 'already_high' WHEN np >= 10 AND coalesce((v1 - v0) / nullif((u1 - u0) / 3.6e9, 0) <= -0.5, false) THEN 'recession' WHEN ni / ((f1 - f0) / step) < 0.5 THEN 'coverage' WHEN ni = 0 THEN 'empty' END AS guard FROM fu)
-SELECT up, down, NULL::TIMESTAMP AS first_ts, 'decline' AS verdict, reason, NULL::DOUBLE AS peak, NULL::DOUBLE AS threshold FROM pg WHERE reason IS NOT NULL
-UNION ALL SELECT up, down, first_ts, CASE WHEN guard IS NOT NULL THEN 'decline' WHEN pk >= threshold THEN 'confirmation' ELSE 'anomaly' END, guard, round(pk, 4), round(threshold, 4) FROM fg"""
+SELECT up, down, NULL::TIMESTAMP AS first_ts, 'decline' AS verdict, reason, NULL::DOUBLE AS lag_h, NULL::DOUBLE AS peak, NULL::DOUBLE AS threshold FROM pg WHERE reason IS NOT NULL
+UNION ALL SELECT up, down, first_ts, CASE WHEN guard IS NOT NULL THEN 'decline' WHEN pk >= threshold THEN 'confirmation' ELSE 'anomaly' END, guard, round((pku - pu) / 3.6e9, 4), round(pk, 4), round(threshold, 4) FROM fg"""
 
 
 @query(_PROPAGATION)
 def flood_propagation(spark, sf_dir):
     found = interstation.flood_propagation(_level(spark, sf_dir), _pairs(spark, sf_dir))
-    return rounded(found.select("up", "down", "first_ts", "verdict", "reason", "peak", "threshold"))
+    return rounded(found.select("up", "down", "first_ts", "verdict", "reason", "lag_h", "peak", "threshold"))
 
 
-@query("""WITH r AS (SELECT CASE WHEN l_quantity < 10 THEN 'rows missing of order' || (l_orderkey % 7) WHEN l_quantity < 30 THEN 'distance : ' || (l_orderkey % 5) ELSE 'no level' END AS reason FROM lineitem),
-q AS (SELECT replace(reason, 'missing of', 'missing of ') AS reason FROM r) SELECT split_part(split_part(reason, ' of ', 1), ' : ', 1) AS kind, count(*) AS n, min(reason) AS example FROM q GROUP BY ALL""")
+@query("""WITH r AS (SELECT CASE WHEN l_quantity < 10 THEN 'rows missing du order' || (l_orderkey % 7) WHEN l_quantity < 30 THEN 'distance : ' || (l_orderkey % 5) ELSE 'no level' END AS reason FROM lineitem),
+q AS (SELECT replace(reason, 'missing du', 'missing du ') AS reason FROM r) SELECT split_part(split_part(reason, ' du ', 1), ' : ', 1) AS kind, count(*) AS n, min(reason) AS example FROM q GROUP BY ALL""")
 def decline_reasons(spark, sf_dir):
     key = lambda n: (F.col("l_orderkey") % n).cast("string")
-    reason = F.when(F.col("l_quantity") < 10, F.concat(F.lit("rows missing of  order"), key(7))).when(F.col("l_quantity") < 30, F.concat(F.lit("distance : "), key(5))).otherwise("no level")
+    reason = F.when(F.col("l_quantity") < 10, F.concat(F.lit("rows missing du  order"), key(7))).when(F.col("l_quantity") < 30, F.concat(F.lit("distance : "), key(5))).otherwise("no level")
     return interstation.decline_reasons(table(spark, sf_dir, "lineitem").select(reason.alias("reason")))
 
 
@@ -139,50 +155,50 @@ def origin_pairs(spark, sf_dir):
 
 
 # Graph
-_PATHS = f"""WITH RECURSIVE {M}, {EDGES}, r AS (SELECT src, dst, length, 1 AS hops, CASE WHEN obstacle IS NULL THEN []::VARCHAR[] ELSE [obstacle] END AS obs FROM e UNION ALL SELECT r.src, e.dst, r.length + e.length, r.hops + 1, CASE WHEN e.obstacle IS NULL OR list_contains(r.obs, e.obstacle) THEN r.obs ELSE list_append(r.obs, e.obstacle) END FROM r JOIN e ON r.dst = e.src WHERE r.src <> e.dst)"""
+_PATHS = f"""WITH RECURSIVE {NODES}, {EDGES}, r AS (SELECT src, dst, length, 1 AS hops, CASE WHEN obstacle IS NULL THEN []::VARCHAR[] ELSE [obstacle] END AS obs FROM e UNION ALL SELECT r.src, e.dst, r.length + e.length, r.hops + 1, CASE WHEN e.obstacle IS NULL OR list_contains(r.obs, e.obstacle) THEN r.obs ELSE list_append(r.obs, e.obstacle) END FROM r JOIN e ON r.dst = e.src WHERE r.src <> e.dst)"""
 
 
 @query(f"{_PATHS} SELECT src, dst, round(length, 2) AS length, hops::BIGINT AS hops, array_to_string(list_sort(obs), ',') AS obstacles FROM r")
 def reachability(spark, sf_dir):
-    paths = graph.reachable(tree_edges(measurements(spark, sf_dir)))
+    paths = graph.reachable(tree_edges(nodes(spark, sf_dir)))
     return paths.select("src", "dst", F.round("length", 2).alias("length"), F.col("hops").cast("long").alias("hops"), F.array_join("obstacles", ",").alias("obstacles"))
 
 
 @query(f"{_PATHS}, q AS (SELECT *, list_filter(obs, lambda x: x <> 'gap') AS real_obs FROM r) SELECT src AS up, dst AS down, round(length / 1000, 1) AS km, len(list_filter(obs, lambda x: x = 'barrage'))::BIGINT AS n_dams, array_to_string(list_sort(obs), ', ') AS crosses, CASE WHEN len(real_obs) = 0 THEN 'haute' WHEN real_obs = ['plan_eau'] THEN 'moyenne' ELSE 'à valider' END AS reliability FROM q")
 def relations(spark, sf_dir):
-    m = measurements(spark, sf_dir)
+    m = nodes(spark, sf_dir)
     stations = m.select("station").distinct().withColumn("node", F.col("station"))
     return rounded(graph.relations(graph.reachable(tree_edges(m)), stations), 1)
 
 
 @query(f"{_PATHS}, a AS (SELECT src, dst FROM r) SELECT src, dst FROM a WHERE NOT EXISTS (SELECT 1 FROM a x JOIN a y ON x.dst = y.src WHERE x.src = a.src AND y.dst = a.dst)")
 def direct_links(spark, sf_dir):
-    return graph.direct_links(graph.reachable(tree_edges(measurements(spark, sf_dir))))
+    return graph.direct_links(graph.reachable(tree_edges(nodes(spark, sf_dir))))
 
 
-@query(f"WITH {M}, {EDGES}, d AS (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) SELECT node, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM d GROUP BY node")
+@query(f"WITH {NODES}, {EDGES}, d AS (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) SELECT node, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM d GROUP BY node")
 def degree(spark, sf_dir):
-    return graph.degrees(tree_edges(measurements(spark, sf_dir)))
+    return graph.degrees(tree_edges(nodes(spark, sf_dir)))
 
 
-@query("""WITH RECURSIVE k AS (SELECT DISTINCT (c_nationkey % 9)::BIGINT AS a, c_nationkey::BIGINT AS b FROM customer WHERE c_nationkey % 3 <> 0), b2 AS (SELECT a, b FROM k UNION SELECT b, a FROM k), r AS (SELECT a AS node, a AS other FROM b2 UNION SELECT r.node, b2.b FROM r JOIN b2 ON r.other = b2.a) SELECT node, min(other) AS component FROM r GROUP BY node""")
+@query("""WITH RECURSIVE k AS (SELECT c_custkey::BIGINT AS a, (c_custkey - c_custkey % 7 + (c_nationkey % 7))::BIGINT AS b FROM customer), b2 AS (SELECT a, b FROM k UNION SELECT b, a FROM k), r AS (SELECT a AS node, a AS other FROM b2 UNION SELECT r.node, b2.b FROM r JOIN b2 ON r.other = b2.a) SELECT node, min(other) AS component FROM r GROUP BY node""")
 def components(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_nationkey % 3 <> 0")
-    return graph.weak_components(c.select((F.col("c_nationkey") % 9).cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")))
+    key = F.col("c_custkey")
+    return graph.weak_components(table(spark, sf_dir, "customer").select(key.cast("long").alias("src"), (key - key % 7 + F.col("c_nationkey") % 7).cast("long").alias("dst")))
 
 
 @query(f"{_PATHS} SELECT dst AS down, count(DISTINCT src) AS n_up FROM r GROUP BY dst")
 def upstream_count(spark, sf_dir):
-    paths = graph.reachable(tree_edges(measurements(spark, sf_dir)))
+    paths = graph.reachable(tree_edges(nodes(spark, sf_dir)))
     return graph.upstream_count(paths.select(F.col("src").alias("up"), F.col("dst").alias("down")))
 
 
-@query(f"WITH RECURSIVE {M}, {EDGES}, l AS (SELECT src AS node, 0 AS level FROM e UNION SELECT dst, level + 1 FROM l JOIN e ON l.node = e.src) SELECT node, max(level)::BIGINT AS level FROM l GROUP BY node")
+@query(f"WITH RECURSIVE {NODES}, {EDGES}, l AS (SELECT src AS node, 0 AS level FROM e UNION SELECT dst, level + 1 FROM l JOIN e ON l.node = e.src) SELECT node, max(level)::BIGINT AS level FROM l GROUP BY node")
 def topological_levels(spark, sf_dir):
-    return rounded(graph.topological_levels(tree_edges(measurements(spark, sf_dir))))
+    return rounded(graph.topological_levels(tree_edges(nodes(spark, sf_dir))))
 
 
-@query(f"""WITH {M}, {STATIONS}, s AS (SELECT DISTINCT (s_suppkey % 50)::BIGINT AS id, (s_suppkey % 50) * 2000.0 AS ax, (s_suppkey * 7 % 50) * 2000.0 AS ay FROM supplier), g AS (SELECT DISTINCT ON (id) id, ax, ay FROM s ORDER BY id),
+@query(f"""WITH {NODES}, {STATIONS}, s AS (SELECT DISTINCT (s_suppkey % 50)::BIGINT AS id, (s_suppkey % 50) * 2000.0 AS ax, (s_suppkey * 7 % 50) * 2000.0 AS ay FROM supplier), g AS (SELECT DISTINCT ON (id) id, ax, ay FROM s ORDER BY id),
 d AS (SELECT station, id, x - ax AS px, y - ay AS py, x, y, ax, ay FROM st, g), c AS (SELECT station, id, least(1, greatest(0, (px * 3000 + py * 1000) / 1e7)) AS t, px, py FROM d), k AS (SELECT station, id, sqrt((px - t * 3000) ** 2 + (py - t * 1000) ** 2) AS meters FROM c),
 b AS (SELECT *, row_number() OVER ({_BY} ORDER BY meters, id) AS rn FROM k WHERE meters <= 3000) SELECT st.station, b.id AS seg_id, round(b.meters, 3) AS meters FROM st LEFT JOIN b ON b.station = st.station AND rn = 1""")
 def snap_stations(spark, sf_dir):
@@ -190,17 +206,22 @@ def snap_stations(spark, sf_dir):
     seg = table(spark, sf_dir, "supplier").select((k % 50).cast("long").alias("seg_id"), ((k % 50) * 2000.0).alias("ax"), ((k * 7 % 50) * 2000.0).alias("ay")).dropDuplicates(["seg_id"])
     point = lambda dx, dy: F.struct((F.col("ax") + dx).alias("x"), (F.col("ay") + dy).alias("y"))
     lines = seg.select("seg_id", F.array(point(0.0, 0.0), point(3000.0, 1000.0)).alias("coords"), F.col("seg_id").cast("string").alias("dst"))
-    return rounded(graph.snap_stations(stations_frame(measurements(spark, sf_dir)), lines, 3000.0).select("station", "seg_id", "meters"), 3)
+    return rounded(graph.snap_stations(stations_frame(nodes(spark, sf_dir)), lines, 3000.0).select("station", "seg_id", "meters"), 3)
 
 
 # State
-_STATE = f"""WITH {M}, s AS (SELECT station, sensor, max(ts) AS last_ts FROM m GROUP BY ALL), c AS (SELECT max(ts) AS now FROM m), q AS (SELECT station, sensor, last_ts, (epoch_us(now) - epoch_us(last_ts)) / 3.6e9 AS lag_h FROM s, c), z AS (SELECT *, CASE WHEN lag_h >= 6 THEN 'muet' ELSE 'ok' END AS state FROM q),
+_ST = replace(DEFAULTS, flatline_long_h=12.0)
+_STATE = f"""WITH {GAUGES}, s AS (SELECT station, sensor, max(ts) AS last_ts, arg_max(value, ts) AS last_value FROM m GROUP BY ALL), c AS (SELECT max(ts) AS now FROM m), a14 AS (SELECT * FROM (SELECT *, max(epoch_us(ts)) OVER (PARTITION BY station, sensor) - epoch_us(ts) AS age FROM m) WHERE age <= 14 * 86400000000),
+dr AS (SELECT station, sensor, regr_slope(value, -age / 86.4e9) AS slope FROM a14 WHERE sensor = '0002' AND age <= 7 * 86400000000 GROUP BY ALL HAVING count(*) >= 10 AND max(age) >= 2 * 86400000000),
+fv AS (SELECT station, sensor, arg_max(value, ts) AS lv FROM a14 WHERE sensor IN ('0001', '0007') GROUP BY ALL), fo AS (SELECT station, sensor, lv, max(ts) FILTER (WHERE value <> lv) AS o FROM a14 JOIN fv USING (station, sensor) GROUP BY ALL),
+ft AS (SELECT station, sensor, lv, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 AS hours FROM a14 JOIN fo USING (station, sensor) WHERE o IS NULL OR ts > o GROUP BY ALL), q AS (SELECT station, sensor, last_ts, last_value, slope, hours, lv, (epoch_us(now) - epoch_us(last_ts)) / 3.6e9 AS lag_h FROM s LEFT JOIN dr USING (station, sensor) LEFT JOIN ft USING (station, sensor), c),
+y AS (SELECT *, CASE WHEN lag_h >= 6 THEN 'L3' WHEN sensor = '0002' AND last_value <= 11 THEN 'BAT' WHEN slope <= -0.05 THEN 'L2' WHEN hours >= 12 AND NOT (sensor = '0007' AND lv = 0) THEN 'L1' END AS rule FROM q), z AS (SELECT *, CASE WHEN rule = 'L3' THEN 'muet' WHEN rule IS NOT NULL THEN 'degrade' ELSE 'ok' END AS state FROM y),
 t AS (SELECT station, CASE WHEN bool_and(state = 'muet') THEN 'arret' WHEN bool_or(state <> 'ok') THEN 'critique' ELSE 'marche' END AS state, count(*) AS n_sensors, count(*) FILTER (WHERE state <> 'ok') AS n_unwell FROM z GROUP BY station),
 dc AS (SELECT DISTINCT station, CASE substr(station, 2, 2)::INT % 3 WHEN 0 THEN 'marche' WHEN 1 THEN 'critique' ELSE 'arret' END AS declared FROM m WHERE substr(station, 2, 2)::INT % 7 <> 0)"""
 
 
 def _sensors(spark, sf_dir):
-    return state.sensor_state(measurements(spark, sf_dir), silence_h=6.0)
+    return state.sensor_state(gauges(spark, sf_dir), _ST, silence_h=6.0)
 
 
 def _declared(spark, sf_dir):
@@ -208,9 +229,14 @@ def _declared(spark, sf_dir):
     return measurements(spark, sf_dir).select("station").distinct().where(n % 7 != 0).withColumn("state", F.when(n % 3 == 0, "marche").when(n % 3 == 1, "critique").otherwise("arret"))
 
 
-@query(f"{_STATE} SELECT station, sensor, last_ts, round(lag_h, 4) AS lag_h, state FROM z")
+@query(f"{_STATE} SELECT station, sensor, last_ts, round(lag_h, 4) AS lag_h, state, rule FROM z")
 def sensor_state(spark, sf_dir):
-    return rounded(_sensors(spark, sf_dir).drop("rule"))
+    return rounded(_sensors(spark, sf_dir))
+
+
+@query(f"{_STATE}, wr AS (SELECT *, row_number() OVER ({_BY} ORDER BY lag_h DESC, sensor) AS rn FROM z) SELECT station, sensor, last_ts, round(lag_h, 4) AS lag_h FROM wr WHERE rn = 1")
+def worst_sensors(spark, sf_dir):
+    return rounded(listing.worst_sensors(_sensors(spark, sf_dir)).select("station", "sensor", "last_ts", "lag_h"))
 
 
 @query(f"{_STATE} SELECT * FROM t")
@@ -229,14 +255,14 @@ _COVERAGE = "cv AS (SELECT m.station, (epoch_us(max(m.ts)) - epoch_us(min(m.ts))
 
 @query(f"{_STATE}, {_COVERAGE} SELECT station, round(hours, 4) AS hours FROM cv")
 def active_coverage(spark, sf_dir):
-    return rounded(state.active_coverage(measurements(spark, sf_dir), _sensors(spark, sf_dir)))
+    return rounded(state.active_coverage(gauges(spark, sf_dir), _sensors(spark, sf_dir)))
 
 
 @query(f"""{_STATE}, {_COVERAGE}, j AS (SELECT t.station, t.state, coalesce(t.state <> declared, false) AND (list_position(['marche', 'critique', 'arret'], t.state) >= list_position(['marche', 'critique', 'arret'], declared) OR coalesce(hours, 0) >= 24) AS justified FROM t LEFT JOIN dc USING (station) LEFT JOIN cv USING (station)),
 pn AS (SELECT DISTINCT station, 'critique' AS proposed, 'old' AS provenance FROM m WHERE substr(station, 2, 2)::INT % 2 = 0)
 SELECT coalesce(j.station, pn.station) AS station, CASE WHEN justified AND pn.station IS NOT NULL THEN 'enrich' WHEN justified THEN 'open' WHEN pn.station IS NOT NULL THEN 'close' ELSE 'ignore' END AS action, CASE WHEN justified THEN j.state ELSE proposed END AS proposed, coalesce(CASE WHEN substr(j.station, 2, 2)::INT % 3 = 0 THEN 'new' END, pn.provenance) AS provenance FROM j FULL JOIN pn USING (station)""")
 def proposal_merge(spark, sf_dir):
-    m, sensors = measurements(spark, sf_dir), _sensors(spark, sf_dir)
+    m, sensors = gauges(spark, sf_dir), _sensors(spark, sf_dir)
     n = F.substring("station", 2, 2).cast("int")
     pending = m.select("station").distinct().where(n % 2 == 0).withColumns({"proposed": F.lit("critique"), "provenance": F.lit("old")})
     diverging = state.divergence(state.station_state(sensors), _declared(spark, sf_dir))
@@ -245,17 +271,17 @@ def proposal_merge(spark, sf_dir):
 
 
 _STATUS = "['en_attente', 'confirme', 'repare', 'faux_positif', 'caduque']"
-_PROPOSALS = f"pp AS (SELECT event_id AS id, station, ts AS at_ts, {_STATUS}[(event_id % 5 + 1)::INT] AS status, ['marche', 'critique', 'arret'][(event_id % 3 + 1)::INT] AS state FROM m)"
+_PROPOSALS = f"pp AS (SELECT event_id AS id, station, ts AS at_ts, {_STATUS}[(event_id % 5 + 1)::INT] AS status, ['marche', 'critique', 'arret'][(event_id % 3 + 1)::INT] AS state, value AS high FROM m)"
 
 
-def _proposals(spark, sf_dir):
+def _proposals(spark, sf_dir, readings=measurements):
     pick = lambda names, k: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("event_id") % k + 1).cast("int"))
-    return measurements(spark, sf_dir).select(F.col("event_id").alias("id"), "station", F.col("ts").alias("at"), pick(("en_attente", "confirme", "repare", "faux_positif", "caduque"), 5).alias("status"), pick(state.STATES, 3).alias("state"))
+    return readings(spark, sf_dir).select(F.col("event_id").alias("id"), "station", F.col("ts").alias("at"), pick(("en_attente", "confirme", "repare", "faux_positif", "caduque"), 5).alias("status"), pick(state.STATES, 3).alias("state"), F.col("value").alias("high"))
 
 
 @query(f"WITH {M}, {_PROPOSALS}, k AS (SELECT *, row_number() OVER ({_BY} ORDER BY at_ts DESC, id DESC) AS rn FROM pp WHERE status = 'confirme') SELECT id, station, at_ts, status, state FROM k WHERE rn = 1")
 def latest_state(spark, sf_dir):
-    return state.latest_state(_proposals(spark, sf_dir).where("status = 'confirme'")).withColumnRenamed("at", "at_ts")
+    return state.latest_state(_proposals(spark, sf_dir).where("status = 'confirme'").drop("high")).withColumnRenamed("at", "at_ts")
 
 
 @query(f"WITH {M}, {_PROPOSALS} SELECT count(*) AS n, count(*) FILTER (WHERE status = 'en_attente') AS n_en_attente, count(*) FILTER (WHERE status = 'confirme') AS n_confirme, count(*) FILTER (WHERE status = 'repare') AS n_repare, count(*) FILTER (WHERE status = 'faux_positif') AS n_faux_positif, count(*) FILTER (WHERE status = 'caduque') AS n_caduque, round(100.0 * count(*) FILTER (WHERE status IN ('confirme', 'repare')) / nullif(count(*) FILTER (WHERE status IN ('confirme', 'repare', 'faux_positif')), 0), 4) AS precision_pct FROM pp")
@@ -274,24 +300,24 @@ def proposal_answers(spark, sf_dir):
     return rounded(state.answers(p).select("proposal_id", "station", "status", "n_late", "takes_effect"))
 
 
-@query(f"""{_STATE}, {_PROPOSALS}, k AS (SELECT *, row_number() OVER ({_BY} ORDER BY at_ts DESC, id DESC) AS rn FROM pp WHERE status = 'confirme' AND id % 11 = 0), pe AS (SELECT DISTINCT station FROM pp WHERE status = 'en_attente' AND id % 70 = 0)
+@query(f"""{_STATE}, {_PROPOSALS}, k AS (SELECT *, row_number() OVER ({_BY} ORDER BY at_ts DESC, id DESC) AS rn FROM pp WHERE status = 'confirme' AND high > 200), pe AS (SELECT DISTINCT station FROM pp WHERE status = 'en_attente' AND high > 200)
 SELECT dc.station, coalesce(k.state, declared) AS state, (k.state IS NOT NULL)::VARCHAR AS validated, (pe.station IS NOT NULL)::VARCHAR AS pending FROM dc LEFT JOIN k ON k.station = dc.station AND rn = 1 LEFT JOIN pe ON pe.station = dc.station""")
 def effective_states(spark, sf_dir):
-    p = _proposals(spark, sf_dir)
-    latest = state.latest_state(p.where("status = 'confirme' and id % 11 = 0"))
-    return rounded(state.effective_states(_declared(spark, sf_dir), latest, p.where("status = 'en_attente' and id % 70 = 0")))
+    p = _proposals(spark, sf_dir, gauges)
+    latest = state.latest_state(p.where("status = 'confirme' and high > 200"))
+    return rounded(state.effective_states(_declared(spark, sf_dir), latest, p.where("status = 'en_attente' and high > 200")))
 
 
-@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 150 = 0 AND l_suppkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def not_configured(spark, sf_dir):
-    seen = table(spark, sf_dir, "lineitem").where("l_orderkey % 150 = 0").select(F.col("l_suppkey").alias("s_suppkey"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey").join(seen, "s_suppkey", "left_anti")
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return listing.not_among(table(spark, sf_dir, "customer").select("c_custkey"), urgent, "c_custkey")
 
 
 @query(f"WITH {M}, {STATIONS} SELECT count(DISTINCT station) AS n FROM m WHERE station NOT IN (SELECT station FROM st WHERE altitude IS NOT NULL)")
 def no_provenance(spark, sf_dir):
     m = measurements(spark, sf_dir)
-    return m.join(stations_frame(m).where("altitude is not null"), "station", "left_anti").agg(F.count_distinct("station").alias("n"))
+    return listing.not_among(m, stations_frame(m).where("altitude is not null"), "station").agg(F.count_distinct("station").alias("n"))
 
 
 # Files
@@ -325,13 +351,51 @@ def parse_telemetry(spark, sf_dir):
     m = measurements(spark, sf_dir)
     silent = F.col("event_id") % 9 == 0
     sent = m.select("station", "sensor", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"), F.when(~silent, F.round("value", 2)).alias("value"), F.when(silent, (F.col("event_id") % 4).cast("string")).alias("code"))
-    files = telemetry.telemetry_lines(sent).select(F.col("station").alias("path"), "text")
+    files = telemetry.telemetry_lines(sent).select(F.concat_ws("/", "station", F.date_format("day", "yyyyMMdd")).alias("path"), "text")
     return telemetry.parse_telemetry(files).select("station", "sensor", "ts", "value", "code")
 
 
-@query(f"""WITH {M}, {EDGES}, {STATIONS}, bb AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM st), k AS (SELECT e.*, src AS s, dst AS d FROM e WHERE length < 14000 OR length > 20000)
+@query(f"""WITH {NODES}, {EDGES}, {STATIONS}, bb AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM st), k AS (SELECT e.*, src AS s, dst AS d FROM e WHERE obstacle IS DISTINCT FROM 'barrage')
 SELECT st.station AS node, x, y, (SELECT max(length) FROM k WHERE k.d = st.station) AS stream_order FROM st, bb WHERE station IN (SELECT d FROM k) AND station NOT IN (SELECT s FROM k) AND x > x0 + 3000 AND x < x1 - 3000 AND y > y0 + 3000 AND y < y1 - 3000""")
 def unexplained_stops(spark, sf_dir):
-    m = measurements(spark, sf_dir)
-    e = tree_edges(m).where("length < 14000 or length > 20000").withColumn("stream_order", F.col("length"))
+    m = nodes(spark, sf_dir)
+    e = tree_edges(m).where("obstacle is distinct from 'barrage'").withColumn("stream_order", F.col("length"))  # dams stop the river
     return graph.unexplained_stops(e, stations_frame(m).select(F.col("station").alias("node"), "x", "y"))
+
+
+# River map: a segment for each edge of the network, straight from node to node; the dams' edges are missing from the map.
+def _river(spark, sf_dir):
+    m = nodes(spark, sf_dir)
+    at = stations_frame(m).select("station", F.col("x"), F.col("y"))
+    end = lambda c: at.select(F.col("station").alias(c), F.struct("x", "y").alias(f"{c}_at"))
+    e = tree_edges(m).join(end("src"), "src").join(end("dst"), "dst")
+    return at.withColumnRenamed("station", "node"), e.where("obstacle is distinct from 'barrage'"), e.where("obstacle = 'barrage'")
+
+
+_SINKS = "k AS (SELECT * FROM e WHERE obstacle IS DISTINCT FROM 'barrage'), sk AS (SELECT DISTINCT dst AS node FROM k WHERE dst NOT IN (SELECT src FROM k)), so AS (SELECT DISTINCT src AS node FROM k WHERE src NOT IN (SELECT dst FROM k))"
+
+
+@query(f"""WITH {NODES}, {EDGES}, {STATIONS}, {_SINKS}, pl AS (SELECT DISTINCT floor(x / 50000)::BIGINT * 1000 + floor(y / 50000)::BIGINT AS poly_id, floor(x / 50000) * 50000 AS px, floor(y / 50000) * 50000 AS py FROM st),
+nn AS (SELECT station AS node, x, y FROM st WHERE station IN (SELECT src FROM k UNION SELECT dst FROM k)), ins AS (SELECT nn.node, pl.poly_id FROM nn JOIN pl ON x >= px + 400 AND x <= px + 49600 - 1 AND y >= py + 400 AND y <= py + 49600 - 1)
+SELECT a.node AS src, b.node AS dst, a.poly_id FROM (SELECT * FROM ins WHERE node IN (SELECT node FROM sk)) a JOIN (SELECT * FROM ins WHERE node IN (SELECT node FROM so)) b USING (poly_id) WHERE a.node <> b.node""")
+def reservoir_links(spark, sf_dir):
+    at, edges, _ = _river(spark, sf_dir)
+    used = at.join(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "node", "left_semi")
+    px, py = (F.floor(F.col(c) / 50_000) * 50_000 for c in "xy")
+    corner = lambda dx, dy: F.struct((F.col("px") + dx).cast("double").alias("x"), (F.col("py") + dy).cast("double").alias("y"))
+    # squares of 49.2 km less their buffer: coordinates are whole kilometres, so none lies on a border
+    polygons = at.select(px.alias("px"), py.alias("py")).distinct().select((F.col("px") / 50_000 * 1000 + F.col("py") / 50_000).cast("long").alias("poly_id"), F.lit("plan_eau").alias("kind"), F.lit(1).alias("rank"), F.array(corner(900, 900), corner(49_100, 900), corner(49_100, 49_100), corner(900, 49_100)).alias("ring"))
+    return graph.reservoir_links(edges, used, polygons).select("src", "dst", "poly_id")
+
+
+@query()
+def repair_gaps(spark, sf_dir):
+    at, edges, missing = _river(spark, sf_dir)
+    number = F.substring("src", 2, 9).cast("long")
+    segments = edges.select(number.alias("seg_id"), (number % 3).cast("string").alias("name"), F.array("src_at", "dst_at").alias("coords"), "dst")
+    # the lowest dams' nodes are the points that were checked
+    gaps = missing.select(number.alias("num"), (number % 3).cast("string").alias("name"), F.col("src_at.x").alias("x"), F.col("src_at.y").alias("y"), "src").orderBy("num")
+    keyed = at.withColumn("node", graph.node_key(F.col("x"), F.col("y")))
+    name = lambda c: graph.node_key(F.col(f"{c}_at.x"), F.col(f"{c}_at.y"))
+    named = edges.select(name("src").alias("src"), name("dst").alias("dst"))
+    return graph.repair_gaps(named, segments.withColumn("dst", graph.node_key(F.col("coords")[1]["x"], F.col("coords")[1]["y"])), keyed, gaps, same_name_m=20_000.0, other_m=8_000.0)

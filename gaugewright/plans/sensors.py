@@ -7,11 +7,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewright.functions.scalar import fold_accents, normalise_faults, split_faults, utm_to_latlon
+from gaugewright.functions.scalar import fold_accents, geographic, normalise_faults, split_faults
 from gaugewright.functions.stats import DAY, micros
-from gaugewright.operators import anomalies, instant, longterm, series
+from gaugewright.operators import anomalies, instant, listing, longterm, series
 from gaugewright.params import DEFAULTS
-from gaugewright.plans.registry import M, measurements, query, rounded, table
+from gaugewright.plans.registry import GAUGES, M, gauges, measurements, query, rounded, table
 
 BUCKET = "b AS (SELECT station, sensor, ts, floor(value / 20) AS value FROM m)"
 _BY = "PARTITION BY station, sensor"
@@ -38,13 +38,12 @@ def series_summary(spark, sf_dir):
 
 @query(f"WITH {M} SELECT DISTINCT station, sensor FROM m")
 def series_list(spark, sf_dir):
-    return measurements(spark, sf_dir).select("station", "sensor").distinct().orderBy("station", "sensor")
+    return listing.series_list(measurements(spark, sf_dir))
 
 
-@query(f"WITH {M} SELECT station, count(*) || '|' || strftime(max(ts), '%Y-%m-%d %H:%M:%S') || '|' || round(sum(value), 2)::DECIMAL(18, 2)::VARCHAR AS signature FROM m GROUP BY ALL")
+@query(f"WITH {M} SELECT station, count(*) || '|' || strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS signature FROM m GROUP BY ALL")
 def change_signature(spark, sf_dir):
-    m = measurements(spark, sf_dir)
-    return m.groupBy("station").agg(F.concat_ws("|", F.count("*").cast("string"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss"), F.round(F.sum("value"), 2).cast("decimal(18,2)").cast("string")).alias("signature"))
+    return listing.change_signature(measurements(spark, sf_dir), "station")
 
 
 def _limits(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -99,13 +98,14 @@ def silent_codes(spark, sf_dir):
     return instant.silent_codes(m)
 
 
-@query(f"WITH {M} SELECT station, sensor, count(*) AS n_points, min(ts) AS ts FROM m WHERE value < 1.5 GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT floor(value)) = 1")
+@query(f"WITH {M} SELECT station, sensor, strftime(ts::DATE, '%Y-%m-%d') AS day, count(*) AS n_points, min(ts) AS ts FROM m GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT floor(value / 60)) = 1")
 def flatline_full(spark, sf_dir):
-    m = measurements(spark, sf_dir).where("value < 1.5").withColumn("value", F.floor("value").cast("double"))
-    return instant.flatline_full(m, quiet_zero=()).select("station", "sensor", "n_points", "ts")
+    m = _bucketed(spark, sf_dir, 60.0).withColumn("day", F.to_date("ts"))
+    found = instant.flatline_full(m, keys=("station", "sensor", "day"), quiet_zero=())
+    return rounded(found.select("station", "sensor", F.to_date("ts").alias("day"), "n_points", "ts"))
 
 
-_RUNS = f"""{BUCKET}, c AS (SELECT *, CASE WHEN lag(value) OVER w IS NOT DISTINCT FROM value THEN 0 ELSE 1 END AS ch FROM b WINDOW w AS ({_BY} ORDER BY ts)),
+_RUNS = f"""{BUCKET}, c AS (SELECT *, CASE WHEN lag(value) OVER w IS NOT DISTINCT FROM value THEN 0 ELSE 1 END AS ch FROM b WINDOW w AS ({_BY} ORDER BY ts, value)),
 i AS (SELECT *, sum(ch) OVER ({_BY} ORDER BY ts) AS run FROM c), r AS (SELECT station, sensor, run, any_value(value) AS value, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 AS hours FROM i GROUP BY station, sensor, run)"""
 
 
@@ -123,8 +123,8 @@ def flatline_longest(spark, sf_dir):
 @query(f"WITH {M} SELECT station, sensor, strftime(ts::DATE, '%Y-%m-%d') AS day, count(*) AS n FROM m GROUP BY ALL HAVING bool_and(coalesce(floor(value / 20) = 0, false))")
 def all_zero_series(spark, sf_dir):
     m = _bucketed(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    found = m.groupBy("station", "sensor", "day").agg(F.bool_and(F.coalesce(F.col("value") == 0, F.lit(False))).alias("z"), F.count("*").alias("n"))
-    return rounded(found.where("z").drop("z"))
+    found = instant.all_zeros(m, ("station", "sensor", "day"))
+    return rounded(found.select("station", "sensor", F.to_date("ts").alias("day"), F.col("n_points").alias("n")))
 
 
 @query("SELECT l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_shipdate HAVING count(*) > 1")
@@ -187,11 +187,12 @@ def trend_r2(spark, sf_dir):
 r AS (SELECT *, rank() OVER (PARTITION BY station, sensor ORDER BY v) + (count(*) OVER (PARTITION BY station, sensor, v) - 1) / 2.0 AS rk, row_number() OVER ({_BY} ORDER BY day) AS t, count(*) OVER ({_BY}) AS n FROM d),
 u AS (SELECT *, 2 * sum(rk) OVER ({_BY} ORDER BY day) - t * (n + 1) AS u FROM r), b AS (SELECT *, row_number() OVER ({_BY} ORDER BY abs(u) DESC, t) AS rn FROM u WHERE t < n),
 c AS (SELECT station, sensor, n, t - 1 AS idx, day AS at_day, abs(u) AS k, least(1.0, 2 * exp(-6 * u * u / (n::DOUBLE ** 3 + n::DOUBLE ** 2))) AS p FROM b WHERE rn = 1 AND n >= 20),
-g AS (SELECT d.station, d.sensor, median(v) FILTER (WHERE day <= at_day) AS med1, median(v) FILTER (WHERE day > at_day) AS med2 FROM d JOIN c USING (station, sensor) GROUP BY ALL)
-SELECT station, sensor, n, idx, strftime(at_day, '%Y-%m-%d') AS at_day, round(k, 2) AS k, round(p, 6) AS p, round(med1, 4) AS med1, round(med2, 4) AS med2 FROM c JOIN g USING (station, sensor)""")
+g AS (SELECT d.station, d.sensor, median(v) FILTER (WHERE day <= at_day) AS med1, median(v) FILTER (WHERE day > at_day) AS med2, max(v) - min(v) AS range FROM d JOIN c USING (station, sensor) GROUP BY ALL),
+h AS (SELECT d.station, d.sensor, median(abs(v - med1)) FILTER (WHERE day <= at_day) AS mad1, median(abs(v - med2)) FILTER (WHERE day > at_day) AS mad2 FROM d JOIN c USING (station, sensor) JOIN g USING (station, sensor) GROUP BY ALL)
+SELECT station, sensor, n, idx, strftime(at_day, '%Y-%m-%d') AS at_day, round(k, 2) AS k, round(p, 6) AS p, round(med1, 4) AS med1, round(med2, 4) AS med2, (p < 0.2 AND idx >= 3 AND idx <= n - 3 AND abs(med2 - med1) > greatest((mad1 + mad2) * 1.4826 * 0.25, 0.05 * range))::VARCHAR AS rupture FROM c JOIN g USING (station, sensor) JOIN h USING (station, sensor)""")
 def mean_shift(spark, sf_dir):
-    s = longterm.mean_shift(measurements(spark, sf_dir), replace(DEFAULTS, shift_min_days=20, shift_margin_days=3))
-    return s.select("station", "sensor", "n", "idx", F.date_format("at", "yyyy-MM-dd").alias("at_day"), F.round("k", 2).alias("k"), F.round("p", 6).alias("p"), F.round("med1", 4).alias("med1"), F.round("med2", 4).alias("med2"))
+    s = longterm.mean_shift(measurements(spark, sf_dir), replace(DEFAULTS, shift_min_days=20, shift_margin_days=3, shift_p=0.2, mad_scale=1.4826 * 0.25))
+    return s.select("station", "sensor", "n", "idx", F.date_format("at", "yyyy-MM-dd").alias("at_day"), F.round("k", 2).alias("k"), F.round("p", 6).alias("p"), F.round("med1", 4).alias("med1"), F.round("med2", 4).alias("med2"), F.col("rupture").cast("string").alias("rupture"))
 
 
 @query(f"""WITH {M}, {_RECENT}, o AS (SELECT station, sensor, value, median(value) OVER ({_BY}) AS med FROM a WHERE age >= 86400000000), d AS (SELECT station, sensor, count(*) AS n_older, any_value(med) AS med, median(abs(value - med)) AS mad FROM o GROUP BY ALL),
@@ -239,7 +240,7 @@ def continuous_blocks(spark, sf_dir):
 @query(f"""WITH {M}, h AS (SELECT station, sensor, date_trunc('day', ts) + INTERVAL 6 HOUR * (hour(ts) // 6) AS ts, avg(value) AS value FROM m GROUP BY ALL), r AS (SELECT station, sensor, min(ts) AS a, max(ts) AS b FROM h GROUP BY ALL), g AS (SELECT station, sensor, unnest(generate_series(a, b, INTERVAL 6 HOUR)) AS ts FROM r),
 o AS (SELECT g.*, value FROM g LEFT JOIN h USING (station, sensor, ts)), w AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN ts END) OVER ({_BY} ORDER BY ts) AS p, min(CASE WHEN value IS NOT NULL THEN ts END) OVER ({_BY} ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nx FROM o),
 j AS (SELECT w.*, x.value AS pv, y.value AS nv FROM w LEFT JOIN h x ON x.station = w.station AND x.sensor = w.sensor AND x.ts = w.p LEFT JOIN h y ON y.station = w.station AND y.sensor = w.sensor AND y.ts = w.nx)
-SELECT station, sensor, ts, round(CASE WHEN value IS NULL AND epoch_us(nx) - epoch_us(p) <= 5 * 21600000000 THEN pv + (nv - pv) * (epoch_us(ts) - epoch_us(p)) / (epoch_us(nx) - epoch_us(p)) ELSE value END, 6) AS value, (value IS NULL AND epoch_us(nx) - epoch_us(p) <= 5 * 21600000000)::VARCHAR AS filled FROM j""")
+SELECT station, sensor, ts, round(CASE WHEN value IS NULL AND epoch_us(nx) - epoch_us(p) <= 5 * 21600000000 THEN pv + (nv - pv) * (epoch_us(ts) - epoch_us(p)) / (epoch_us(nx) - epoch_us(p)) ELSE value END, 6) AS value, (value IS NULL AND epoch_us(nx) - epoch_us(p) <= 5 * 21600000000)::VARCHAR AS filled FROM j WHERE value IS NOT NULL OR epoch_us(nx) - epoch_us(p) <= 5 * 21600000000""")
 def reconstruct(spark, sf_dir):
     six = F.timestamp_micros(F.floor(micros("ts") / 21_600_000_000) * 21_600_000_000).cast("timestamp_ntz")
     m = measurements(spark, sf_dir).groupBy("station", "sensor", six.alias("ts")).agg(F.avg("value").alias("value"))
@@ -259,7 +260,7 @@ def last_high_before(spark, sf_dir):
     return low.select("event_id", "station", "sensor", "ts").join(found, ["station", "sensor", "ts"]).select("event_id", "last_ts")
 
 
-@query(f"WITH {M} SELECT event_id, coalesce(lag(value, 3) OVER w, first_value(value) OVER w) AS lagged FROM m WINDOW w AS ({_BY} ORDER BY ts)")
+@query(f"WITH {M} SELECT event_id, coalesce(lag(value, 3) OVER w, first_value(value) OVER w) AS lagged FROM m WINDOW w AS ({_BY} ORDER BY ts, value)")
 def lagged_series(spark, sf_dir):
     return series.lagged(measurements(spark, sf_dir), 3).select("event_id", "lagged")
 
@@ -306,10 +307,10 @@ def value_counts(spark, sf_dir):
     return rounded(anomalies.count_by(measurements(spark, sf_dir), "sensor"), 6)
 
 
-@query(f"WITH {M} SELECT sensor, count(*) AS n, round(min(value), 4) AS low, round(median(value), 4) AS med, round(max(value), 4) AS high, round(quantile_cont(value, 0.95), 4) AS q95, count(*) FILTER (WHERE value >= 3) AS n_wet FROM m GROUP BY sensor")
+@query(f"""WITH {GAUGES}, x AS (SELECT station, sensor, count(*) AS n, min(value) AS low, median(value) AS med, max(value) AS high, quantile_cont(value, 0.95) AS q95, sum(value) AS total, count(*) FILTER (WHERE value > 0) AS wet FROM m GROUP BY ALL)
+SELECT station, sensor, n, round(low, 4) AS low, round(med, 4) AS med, round(high, 4) AS high, round(q95, 4) AS q95, round(high - low, 4) AS amplitude, CASE WHEN sensor = '0006' THEN round(total, 4) END AS rain_total, CASE WHEN sensor = '0006' THEN wet END AS n_wet FROM x""")
 def sensor_extremes(spark, sf_dir):
-    v = F.col("value")
-    return rounded(measurements(spark, sf_dir).groupBy("sensor").agg(F.count("*").alias("n"), F.min(v).alias("low"), F.percentile(v, F.lit(0.5)).alias("med"), F.max(v).alias("high"), F.percentile(v, F.lit(0.95)).alias("q95"), F.count_if(v >= 3).alias("n_wet")))
+    return rounded(listing.sensor_extremes(gauges(spark, sf_dir)))
 
 
 @query("WITH w AS (SELECT o_orderkey, unnest(string_split(o_orderpriority || ' + ' || o_orderstatus, '+')) AS f FROM orders) SELECT trim(f) AS fault, count(*) AS n FROM w WHERE trim(f) <> '' GROUP BY ALL")
@@ -325,25 +326,33 @@ def normalise_fault_names(spark, sf_dir):
     return c.select("c_custkey", F.array_join(normalise_faults(F.col("c_mktsegment"), names), " + ").alias("faults"), fold_accents(F.col("c_mktsegment")).alias("folded"))
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE contains(lower(s_name), '00001') OR contains(s_suppkey::VARCHAR, '7')")
+@query("SELECT s_suppkey::VARCHAR AS code_station, s_name AS nom FROM supplier WHERE regexp_matches(lower(s_name), '0{4}[1-3]') OR regexp_matches(s_suppkey::VARCHAR, '0{4}[1-3]')")
 def search_filter(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    return s.where(F.lower("s_name").contains("00001") | F.col("s_suppkey").cast("string").contains("7")).select("s_suppkey", "s_name")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("code_station"), F.col("s_name").alias("nom"))
+    return listing.search(s, " 0{4}[1-3] ")
+
+
+@query("SELECT c_custkey::VARCHAR AS code_station, c_name AS nom, c_mktsegment AS etat, c_nationkey::VARCHAR AS gouvernorat, contains(c_mktsegment, 'UILD') AS rain FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 7")
+def stations_in_state(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("code_station"), F.col("c_name").alias("nom"), F.col("c_mktsegment").alias("etat"), F.col("c_nationkey").cast("string").alias("gouvernorat"))
+    return listing.in_state(c, "BUILDING", "7").withColumn("rain", F.col("etat").contains("UILD"))
+
+
+@query(f"WITH {M} SELECT event_id, ts, value FROM m WHERE station = 'S07' AND sensor = 'view' AND ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'")
+def series_in_period(spark, sf_dir):
+    return listing.between_times(listing.series_scan(measurements(spark, sf_dir), "S07", "view"), "2024-01-05 00:00:00", "2024-01-20 12:00:00").select("event_id", "ts", "value")
 
 
-_UTM = "(500000 + s_suppkey * 137 % 200000)::DOUBLE AS x, (3500000 + s_suppkey * 911 % 600000)::DOUBLE AS y"
+# Scaled meridian arcs from the equator to whole degrees, in metres, from the numerical integral of the
+# meridian's radius of curvature: on the central meridian they are northings whose latitude is known without the projection.
+_ARCS = {5: 552664.2969, 10: 1105412.4913, 15: 1658325.9936, 20: 2211481.3077, 25: 2764947.7475, 30: 3318785.3526, 35: 3873043.0645, 40: 4427757.2187, 45: 4982950.4002, 50: 5538630.7029, 55: 6094791.421, 60: 6651411.1904}
 
 
-@query(f"""WITH c AS (SELECT s_suppkey, {_UTM}, 6378137.0::DOUBLE AS a, 0.0066943799901413165::DOUBLE AS e2, 0.9996::DOUBLE AS k0 FROM supplier),
-d AS (SELECT *, e2 / (1 - e2) AS ep2, (1 - sqrt(1 - e2)) / (1 + sqrt(1 - e2)) AS e1, y / k0 / (a * (1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * e2 * e2 * e2 / 256)) AS mu FROM c),
-f AS (SELECT *, mu + (3 * e1 / 2 - 27 * e1 ** 3 / 32) * sin(2 * mu) + (21 * e1 ** 2 / 16 - 55 * e1 ** 4 / 32) * sin(4 * mu) + (151 * e1 ** 3 / 96) * sin(6 * mu) + (1097 * e1 ** 4 / 512) * sin(8 * mu) AS p FROM d),
-g AS (SELECT *, ep2 * cos(p) ** 2 AS c1, tan(p) ** 2 AS t1, a / sqrt(1 - e2 * sin(p) ** 2) AS n1, a * (1 - e2) / (1 - e2 * sin(p) ** 2) ** 1.5 AS r1 FROM f), h AS (SELECT *, (x - 500000) / (n1 * k0) AS d FROM g)
-SELECT s_suppkey, round(degrees(p - n1 * tan(p) / r1 * (d ** 2 / 2 - (5 + 3 * t1 + 10 * c1 - 4 * c1 ** 2 - 9 * ep2) * d ** 4 / 24 + (61 + 90 * t1 + 298 * c1 + 45 * t1 ** 2 - 252 * ep2 - 3 * c1 ** 2) * d ** 6 / 720)), 6) AS lat,
-round(degrees((d - (1 + 2 * t1 + c1) * d ** 3 / 6 + (5 - 2 * c1 + 28 * t1 - 3 * c1 ** 2 + 8 * ep2 + 24 * t1 ** 2) * d ** 5 / 120) / cos(p)) + 9, 6) AS lon FROM h""")
+@query("SELECT s_suppkey, (5 * (s_suppkey % 12 + 1))::DOUBLE AS lat, 9.0::DOUBLE AS lon FROM supplier")
 def utm_coordinates(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    x, y = (500_000 + F.col("s_suppkey") * 137 % 200_000).cast("double"), (3_500_000 + F.col("s_suppkey") * 911 % 600_000).cast("double")
-    lat, lon = utm_to_latlon(x, y, zone=32)
+    arcs = F.create_map(*[F.lit(x) for pair in _ARCS.items() for x in pair])
+    lat, lon = geographic(F.lit(500_000.0), F.element_at(arcs, (5 * (F.col("s_suppkey") % 12 + 1)).cast("int")), zone=32)
     return s.select("s_suppkey", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
 
 

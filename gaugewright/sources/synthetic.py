@@ -66,3 +66,18 @@ def inject(m: DataFrame, journal: DataFrame) -> DataFrame:
     )
     lost = ((rule == "L3") & tail(3)) | ((rule == "R7") & (age > 10) & (age < 10.5))
     return joined.withColumn("value", value).where(~F.coalesce(lost, F.lit(False))).select("station", "sensor", "ts", "value")
+
+
+def inject_instant(m: DataFrame, seed: int = 1) -> DataFrame:
+    """Readings with faults of single rows, chosen by hash: no value but a code, rain and level out of bounds, repeated times. (SNK-04)
+
+    Rows: station, sensor, ts, value, code; ``write_telemetry`` makes files of them.
+    """
+    draw = F.abs(_noise(F.lit(seed), "station", "sensor", micros("ts")))
+    size = F.abs(_noise(F.lit(seed + 1), "station", "sensor", micros("ts")))
+    silent = draw < 0.004
+    value = F.when(silent, None).when((draw < 0.007) & (F.col("sensor") == RAIN), 26 + 19 * size).when((draw < 0.009) & (F.col("sensor") == LEVEL), -1 - 19 * size).otherwise(F.col("value"))
+    rows = m.withColumns({"value": value, "code": F.when(silent, "10")})
+    again = F.abs(_noise(F.lit(seed + 2), "station", "sensor", micros("ts"))) < 0.002
+    times = F.when(again, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.withColumn("_copy", F.explode(times)).select("station", "sensor", "ts", "value", "code")

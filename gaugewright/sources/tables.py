@@ -33,8 +33,18 @@ def station_label(code, name):
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A report as semicolon-separated CSV with a header. (SNK-05)"""
-    df.write.mode("overwrite").csv(path, sep=";", header=True)
+    """A report as semicolon-separated CSV with a byte-order mark and a header. (SNK-05)"""
+    first, *rest = df.columns
+    df.withColumnRenamed(first, "\ufeff" + first).select("\ufeff" + first, *rest).write.mode("overwrite").csv(path, sep=";", header=True, encoding="UTF-8")
+
+
+def context(stations: DataFrame, origins: DataFrame | None = None) -> DataFrame:
+    """What rules across stations need: station, x, y (both known), altitude (null if it is no number) and origin. (SRC-04)
+
+    ``stations`` has the columns of the station table; ``origins``, if given, station and origin.
+    """
+    found = stations.where("x is not null and y is not null").select(F.col("code_station").alias("station"), F.col("x").try_cast("double").alias("x"), F.col("y").try_cast("double").alias("y"), F.col("altitude_m").try_cast("double").alias("altitude"))
+    return found.join(origins.select("station", "origin"), "station", "left") if origins is not None else found.withColumn("origin", F.lit(None).cast("string"))
 
 
 def write_facts(m: DataFrame, path: str) -> None:

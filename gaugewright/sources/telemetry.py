@@ -10,14 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugewright.functions.scalar import file_date, file_station, number_or_null, state_code
+from gaugewright.functions.scalar import file_date, file_station, general_number, number_or_null, state_code
 from gaugewright.operators.series import insert_if_absent
+from gaugewright.session import checkpointed
+from gaugewright.sources.schemas import FACTS, JOURNAL, read_or_empty
 
 _HEADER = "<STATION>"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files named ``*.MIS`` in any case, below a folder: path, name, size, digest and text. (SRC-12, SRC-14)
+def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files named ``*.MIS`` in any case, below one folder or several: path, name, size, digest and text. (SRC-12, SRC-14, SRC-16)
 
     Spark's readers pass over files of no bytes, so these get no row.
     """
@@ -50,23 +52,40 @@ def parse_telemetry(files: DataFrame) -> DataFrame:
 
 
 def file_status(files: DataFrame, readings: DataFrame, journal: DataFrame, simulated: DataFrame | None = None) -> DataFrame:
-    """Each file's outcome in a campaign: vide, doublon, illisible, refuse_provenance or ingere. (ST-09, SRC-04)
+    """Each file's outcome in a campaign: instable, vide, doublon, illisible, refuse_provenance or ingere. (ST-09, SRC-04)
 
     ``journal`` has the digests of earlier campaigns. Of files with one content in a campaign the
     first by path is ingested. ``simulated`` (station) names stations that real files may not feed.
+    ``files`` may have ``size_now``, the size at a second look: a file that still grows is unstable,
+    gets no journal row and comes again.
     """
     first = Window.partitionBy("digest").orderBy("path")
+    growing = F.col("size") != F.col("size_now") if "size_now" in files.columns else F.lit(False)
     seen = journal.select("digest").distinct().withColumn("_seen", F.lit(True))
-    parsed = readings.groupBy("path").agg(F.count("*").alias("n_rows"), F.collect_set("station").alias("stations"))
-    s = files.withColumn("_rn", F.row_number().over(first)).join(seen, "digest", "left").join(parsed, "path", "left")
+    parsed = readings.groupBy("path").agg(F.count("*").alias("n_rows"))
+    s = files.withColumn("_grows", growing).withColumn("_rn", F.row_number().over(first)).join(seen, "digest", "left").join(parsed, "path", "left")
     refused = F.lit(False)
     if simulated is not None:
         bad = readings.join(simulated.select("station").distinct(), "station", "left_semi").select("path").distinct().withColumn("_sim", F.lit(True))
         s, refused = s.join(bad, "path", "left"), F.coalesce("_sim", F.lit(False))
-    status = F.when(F.col("size") == 0, "vide").when(F.col("_seen") | (F.col("_rn") > 1), "doublon").when(F.col("n_rows").isNull(), "illisible").when(refused, "refuse_provenance").otherwise("ingere")
+    status = F.when(F.col("_grows"), "instable").when(F.col("size") == 0, "vide").when(F.col("_seen") | (F.col("_rn") > 1), "doublon").when(F.col("n_rows").isNull(), "illisible").when(refused, "refuse_provenance").otherwise("ingere")
     return s.select("path", "name", "size", "digest", status.alias("status"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
+def latest_journal(journal: DataFrame) -> DataFrame:
+    """The last row of each digest in the append-only journal. (SNK-02)"""
+    order = Window.partitionBy("digest").orderBy(F.desc_nulls_last("seen_at"), F.desc("path"))
+    return journal.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+
+
+def quarantined(files: DataFrame, status: DataFrame) -> DataFrame:
+    """Files that could not be read or may not be taken, with the reason and their text: the table of rejects. (ST-09, STR-quarantine)"""
+    header = F.col("text").rlike("(?m)^[ \\t]*<STATION>")
+    reason = F.when(F.col("status") == "refuse_provenance", "a station of simulated data").when(F.col("text").isNull(), "no text").when(header, "a header without station or sensor, or no usable row").otherwise("no header")
+    bad = status.where("status in ('illisible', 'refuse_provenance')").select("path", "status")
+    return files.join(bad, "path").select("path", "name", "digest", reason.alias("reason"), "text")
+
+
 def prune_names(files: DataFrame, since=None, stations: list[str] | None = None, journal: DataFrame | None = None) -> DataFrame:
     """Files whose names and sizes don't rule them out before they are read; other names pass. (FLT-07)"""
     at, own = file_date(F.col("name")), file_station(F.col("name"))
@@ -79,43 +98,58 @@ def prune_names(files: DataFrame, since=None, stations: list[str] | None = None,
     return out.join(journal.select("name", "size").distinct(), ["name", "size"], "left_anti") if journal is not None else out
 
 
-def ingest(spark: SparkSession, path: str, facts_path: str, journal_path: str, since=None, stations: list[str] | None = None, simulated: DataFrame | None = None, dry_run: bool = False) -> DataFrame:
-    """A campaign: lists, prunes, parses, and appends new readings and journal rows. Returns the files' outcomes.
+def ingest(spark: SparkSession, path: str | list[str], facts_path: str, journal_path: str, since=None, stations: list[str] | None = None, simulated: DataFrame | None = None, dry_run: bool = False, rejects_path: str | None = None) -> DataFrame:
+    """A campaign over a folder or several uploads: lists, prunes, parses, and appends new readings, rejects and journal rows. Returns the files' outcomes.
 
     Running it again adds nothing: digests in the journal are duplicates, and keys in the fact table
-    never enter twice, the earliest file and line winning. Both tables are append-only Parquet.
+    never enter twice, the earliest file and line winning. Files are listed twice, so that one whose
+    size changes meanwhile is left for the next campaign. ``dry_run`` writes nothing.
     """
-    facts_schema = "station string, sensor string, ts timestamp_ntz, value double, code string, path string"
-    journal_schema = "path string, name string, size long, digest string, status string, n_rows long"
-    facts, journal = (_read_or_empty(spark, p, s) for p, s in ((facts_path, facts_schema), (journal_path, journal_schema)))
-    files = prune_names(read_files(spark, path), since, stations, journal)
-    readings = parse_telemetry(files)
-    status = file_status(files, readings, journal, simulated).persist()
-    if not dry_run:
-        good = readings.join(status.where("status = 'ingere'").select("path"), "path", "left_semi")
-        fresh = insert_if_absent(facts, good.withColumn("_o", F.struct("path", "line")), "_o")
-        fresh.select("station", "sensor", "ts", "value", "code", "path").write.mode("append").parquet(facts_path)
-        status.write.mode("append").parquet(journal_path)
-    return status
+    journal = read_or_empty(spark, journal_path, JOURNAL)
+    now = read_files(spark, path).select("path", F.col("size").alias("size_now"))
+    files = prune_names(read_files(spark, path), since, stations, journal).join(now, "path", "left")
+    return store(files, facts_path, journal_path, simulated, dry_run, rejects_path)
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    from pyspark.errors import AnalysisException
+def store(files: DataFrame, facts_path: str, journal_path: str, simulated: DataFrame | None = None, dry_run: bool = False, rejects_path: str | None = None) -> DataFrame:
+    """Judges files (path, name, size, digest, text) against the journal and stores what is new; returns their outcomes.
 
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    The order is facts, rejects, journal: if the last step is lost, the files come again and their
+    readings are found to be there. Facts lie in a folder for each sensor and day, and a batch is held
+    against its own sensors' and days' alone.
+    """
+    spark = files.sparkSession
+    journal = read_or_empty(spark, journal_path, JOURNAL)
+    readings = parse_telemetry(files)
+    status = checkpointed(file_status(files, readings, journal, simulated))
+    if dry_run:
+        return status
+    good = readings.join(status.where("status = 'ingere'").select("path"), "path", "left_semi").where("value is not null").withColumns({"_o": F.struct("path", "line"), "day": F.to_date("ts")})
+    touched = good.agg(F.collect_set("sensor").alias("sensors"), F.min("day").alias("a"), F.max("day").alias("b")).first()
+    if touched["sensors"]:
+        facts = read_or_empty(spark, facts_path, FACTS).where(F.col("sensor").isin(touched["sensors"]) & F.col("day").between(touched["a"], touched["b"]))
+        fresh = checkpointed(insert_if_absent(facts, good, "_o").select("station", "sensor", "ts", "value", "code", "path", "day"))
+        fresh.repartition("sensor", "day").write.mode("append").partitionBy("sensor", "day").parquet(facts_path)
+    if rejects_path:
+        quarantined(files, status).write.mode("append").parquet(rejects_path)
+    status.where("status <> 'instable'").withColumn("seen_at", F.current_timestamp().cast("timestamp_ntz")).write.mode("append").parquet(journal_path)
+    return status
 
 
 def telemetry_lines(m: DataFrame) -> DataFrame:
-    """Readings (station, sensor, ts, value, code) as file text, one row per station: name and text. (SNK-03)
+    """Readings (station, sensor, ts, value, code) as file text, one row per station and day: station, day and text. (SNK-03)
 
-    Lines of a series are sorted by time; a station's files stay as small as its readings.
+    A day's text has a block for each sensor, sorted by time. Numbers have six significant digits; a
+    row without a value shows its code. A text never grows beyond a day, however long the history.
     """
-    number = F.when(F.col("value") == F.floor("value"), F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string"))
-    shown = F.when(F.col("value").isNotNull(), number).otherwise(F.concat(F.lit("---/["), F.coalesce("code", F.lit("0")), F.lit("]")))
+    shown = F.when(F.col("value").isNotNull(), general_number(F.col("value"))).otherwise(F.concat(F.lit("---/["), F.coalesce("code", F.lit("0")), F.lit("]")))
     line = F.concat_ws(";", F.date_format("ts", "yyyyMMdd"), F.date_format("ts", "HH:mm:ss"), shown)
-    body = m.groupBy("station", "sensor").agg(F.array_sort(F.collect_list(F.struct("ts", line.alias("l")))).alias("rows"))
+    body = m.groupBy("station", "sensor", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", line.alias("l")))).alias("rows"))
     block = F.concat(F.lit("<STATION>"), F.col("station"), F.lit("</STATION><SENSOR>"), F.col("sensor"), F.lit("</SENSOR>\n"), F.array_join(F.transform("rows", lambda r: r["l"]), "\n"))
-    return body.groupBy("station").agg(F.array_join(F.array_sort(F.collect_list(block)), "\n").alias("text"))
+    return body.groupBy("station", "day").agg(F.array_join(F.array_sort(F.collect_list(block)), "\n").alias("text"))
+
+
+def write_telemetry(m: DataFrame, path: str) -> None:
+    """Telemetry text files, in a folder for each station and day. (SNK-03, SNK-04)"""
+    texts = telemetry_lines(m).withColumn("day", F.date_format("day", "yyyyMMdd"))
+    texts.repartition("station", "day").write.mode("overwrite").partitionBy("station", "day").text(path)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewright.sources.telemetry import parse_telemetry
+from gaugewright.session import checkpointed
+from gaugewright.sources.telemetry import ingest, store
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
@@ -14,21 +15,40 @@ def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: in
 
 
 def read_telemetry_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """New telemetry files as a stream of (path, text); parse each batch with ``parse_telemetry`` in foreachBatch."""
+    """New telemetry files as a stream of path, name, size, digest and text."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     raw = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.[Mm][Ii][Ss]").load(path)
-    return raw.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    return raw.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("digest"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
 
 
-def ingest_stream(files: DataFrame, facts_path: str, checkpoint: str):
-    """Appends each batch's readings; the checkpoint makes every file count once."""
+def ingest_stream(files: DataFrame, facts_path: str, journal_path: str, checkpoint: str, rejects_path: str | None = None, simulated: DataFrame | None = None, ignore_sizes: bool = False):
+    """Stores each batch as a campaign does: content once, a key's first value for good, rejects aside. (STR-once, STR-quarantine, STR-partial)
+
+    A batch that comes again after a lost commit finds its digests in the journal, or, if even that
+    was lost, its keys in the facts, and adds nothing. A file whose size on disk is no longer that of
+    its batch is still being written: it gets no journal row, and ``retry_unstable`` takes it later,
+    for a file source reads no file twice.
+    """
 
     def add(batch: DataFrame, _: int) -> None:
-        parse_telemetry(batch).where("value is not null").dropDuplicates(["station", "sensor", "ts"]).write.mode("append").parquet(facts_path)
+        spark = batch.sparkSession
+        batch = checkpointed(batch)
+        if batch.isEmpty():
+            return
+        if not ignore_sizes:
+            paths = [r["path"] for r in batch.select("path").collect()]  # maxFilesPerTrigger at most
+            now = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("size_now"))
+            batch = batch.join(now, "path", "left")
+        store(batch, facts_path, journal_path, simulated, rejects_path=rejects_path)
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def retry_unstable(spark: SparkSession, path: str, facts_path: str, journal_path: str, rejects_path: str | None = None) -> DataFrame:
+    """A campaign over the folder's files that the journal doesn't know: those that were still growing when the stream met them. (STR-partial)"""
+    return ingest(spark, path, facts_path, journal_path, rejects_path=rejects_path)
+
+
 def distinct_readings(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Without retransmissions that come within the lateness."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["station", "sensor", "ts", "value"])

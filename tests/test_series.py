@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewright.functions import scalar, stats
-from gaugewright.operators import anomalies, crossing, instant, interstation, longterm, series, state
+from gaugewright.operators import anomalies, crossing, instant, interstation, listing, longterm, series, state
 from gaugewright.params import BATTERY, DEFAULTS, DISCHARGE, LEVEL, RAIN
 from gaugewright.sources import synthetic
 
@@ -53,7 +53,7 @@ def test_dense_daily_fills_empty_days(spark):
 def test_reconstruct_fills_short_gaps_only(spark):
     m = make(spark, [0, 1]).union(make(spark, [4], start=T0 + timedelta(hours=4))).union(make(spark, [20], start=T0 + timedelta(hours=20)))
     got = {r["ts"].hour: r["value"] for r in series.reconstruct(m, stats.HOUR).collect()}
-    assert got[2] == pytest.approx(2) and got[3] == pytest.approx(3) and got[10] is None and len(got) == 21
+    assert got[2] == pytest.approx(2) and got[3] == pytest.approx(3) and 10 not in got and len(got) == 6
 
 
 def test_recursive_filter_over_blocks(spark):
@@ -168,14 +168,18 @@ def test_drought_and_high_water_abstain(spark):
 
 def test_neighbours_and_false_zeros(spark):
     rows = [("A", 0.0, 0.0, 100.0, "real"), ("B", 10e3, 0.0, 100.0, "real"), ("C", 0.0, 20e3, None, "real"), ("D", 15e3, 15e3, 90.0, "real"), ("E", 5e3, 5e3, 900.0, "real"), ("F", 500e3, 0.0, 100.0, "real")]
-    near = interstation.nearest_neighbours(spark.createDataFrame(rows, "station string, x double, y double, altitude double, origin string"))
+    stations = spark.createDataFrame(rows, "station string, x double, y double, altitude double, origin string")
+    near = interstation.nearest_neighbours(stations)
     assert [(r["neighbour"], r["km"]) for r in near.where("station = 'A'").orderBy("rank").collect()] == [("B", 10.0), ("C", 20.0), ("D", 21.2)]
     rain = make(spark, [0] * 72, station="A")
     for s in "BCD":
         rain = rain.union(make(spark, [1] * 48 + [0] * 24, station=s))
-    got = interstation.false_zero_episodes(rain.drop("sensor"), near).where("station = 'A'").collect()
-    assert len(got) == 1 and got[0]["n_days"] == 2 and got[0]["severity"] == "high"
-    assert tuple(interstation.false_zero_anomalies(rain.drop("sensor"), near).columns) == anomalies.COLUMNS
+    got = interstation.false_zero_episodes(rain.drop("sensor"), stations).where("station = 'A'").collect()
+    assert len(got) == 1 and got[0]["n_days"] == 2 and got[0]["severity"] == "high" and [w["neighbour"] for w in got[0]["wet"]] == ["B", "C", "D"]
+    assert tuple(interstation.false_zero_anomalies(rain.drop("sensor"), stations).columns) == anomalies.COLUMNS
+    # a silent gauge nearby takes no place among the neighbours
+    crowd = stations.union(spark.createDataFrame([(f"Z{i}", 100.0 * i, 50.0, 100.0, "real") for i in range(1, 9)], stations.schema))
+    assert interstation.false_zero_episodes(rain.drop("sensor"), crowd).where("station = 'A'").count() == 1
 
 
 def test_flood_propagation_verdicts(spark):
@@ -208,11 +212,126 @@ def test_scalars(spark):
     got = df.select(scalar.number_or_null(F.col("v")).alias("n"), scalar.state_code(F.col("v")).alias("c"), scalar.fold_accents(F.col("t")).alias("f"), scalar.split_faults(F.col("t")).alias("s")).collect()
     assert [(r["n"], r["c"]) for r in got] == [(12.5, None), (None, "12,5"), (None, "10"), (None, "1.5d")]
     assert got[1]["f"] == "a cote" and got[0]["s"] == ["Modem", "Batterie"]
-    lat, lon = scalar.utm_to_latlon(F.lit(500000.0), F.lit(4000000.0))
-    r = spark.range(1).select(lat.alias("lat"), lon.alias("lon"), scalar.excel_date(F.lit("45292")).alias("d")).first()
-    phi = math.radians(r["lat"])  # on the central meridian the northing is the scaled meridian arc
-    arc = 111132.954 * r["lat"] - 16038.509 * math.sin(2 * phi) + 16.833 * math.sin(4 * phi) - 0.022 * math.sin(6 * phi)
-    assert 0.9996 * arc == pytest.approx(4_000_000, abs=3) and r["lon"] == pytest.approx(9.0) and str(r["d"]) == "2024-01-01"
+    assert str(spark.range(1).select(scalar.excel_date(F.lit("45292")).alias("d")).first()["d"]) == "2024-01-01"
+    folded = spark.createDataFrame([("E\u0301te\u0301 Šž ő",)], "t string").select(scalar.fold_accents(F.col("t")).alias("f")).first()["f"]
+    assert folded == "ete sz o"
+
+
+def test_general_numbers_are_those_of_c(spark):
+    values = [0.0, 1.0, -3.0, 0.2, 245.3, 12.345678, 1234567.0, 999999.4, 999999.6, 1e-4, 9.99e-5, 1.5e-7, 100000.0, 1e6, -0.00012345678, 1e22]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", scalar.general_number(F.col("v")).alias("g")).collect()
+    assert {r["v"]: r["g"] for r in rows} == {v: "%g" % v for v in values}
+
+
+# Published check points of the projection on this ellipsoid (zone, easting, northing, latitude, longitude), to a metre.
+POINTS = [(31, 448251.8, 5411932.7, 48.8582, 2.2945), (18, 583960.0, 4507523.0, 40.713, -74.0059 + 0.0)]
+
+
+def test_geographic_coordinates(spark):
+    for zone, east, north, lat, lon in POINTS:
+        a, b = scalar.geographic(F.lit(east), F.lit(north), zone)
+        r = spark.range(1).select(a.alias("a"), b.alias("b")).first()
+        assert r["a"] == pytest.approx(lat, abs=2e-3) and r["b"] == pytest.approx(lon, abs=2e-3)
+    # on the central meridian the northing is the scaled meridian arc, by numerical integration
+    e2, deg, n = 0.0066943799901413165, 37.0, 4000
+    radius = lambda p: 6378137.0 * (1 - e2) / (1 - e2 * math.sin(p) ** 2) ** 1.5
+    h = math.radians(deg) / n
+    arc = 0.9996 * h * sum(radius((i + 0.5) * h) for i in range(n))
+    a, b = scalar.geographic(F.lit(500_000.0), F.lit(arc), 32)
+    r = spark.range(1).select(a.alias("a"), b.alias("b")).first()
+    assert r["a"] == pytest.approx(deg, abs=1e-7) and r["b"] == pytest.approx(9.0, abs=1e-9)
+    south, _ = scalar.geographic(F.lit(500_000.0), F.lit(10_000_000.0 - arc), 32, south=True)
+    assert spark.range(1).select(south.alias("a")).first()["a"] == pytest.approx(-deg, abs=1e-7)
+
+
+def test_series_of_fewer_than_three_readings_are_not_judged(spark):
+    two = make(spark, [5, 5], minutes=6000)
+    assert rules(longterm.long_term_anomalies(two)) == []
+    assert rules(longterm.long_term_anomalies(make(spark, [5, None, 5], minutes=6000))) == []
+    assert rules(longterm.long_term_anomalies(make(spark, [5, 5, 5], minutes=6000))) == ["L1"]
+
+
+def test_runs_of_equal_times_are_determined(spark):
+    rows = [("A", LEVEL, T0, 2.0), ("A", LEVEL, T0, 1.0), ("A", LEVEL, T0 + timedelta(hours=1), 2.0), ("A", LEVEL, T0 + timedelta(hours=1), 1.0)]
+    m = spark.createDataFrame(rows, SCHEMA)
+    assert series.trailing_run(m).first()["value"] == 2.0 and series.trailing_run(m).first()["n"] == 1
+    assert sorted((r["value"], r["n"]) for r in series.value_runs(m.repartition(3)).collect()) == [(1.0, 1), (1.0, 1), (2.0, 1), (2.0, 1)]
+
+
+def test_recursive_filter_against_a_loop(spark):
+    import random
+
+    rng = random.Random(5)
+    values = [rng.uniform(-20, 40) if rng.random() < 0.3 else 0.0 for _ in range(3000)]
+    for a, b in ((0.9, 0.5), (0.99, -0.2), (0.5, 0.0)):
+        q, want = None, []
+        for v in values:
+            q = v if q is None else max(v, a * q + b)
+            want.append(q)
+        got = [r["filtered"] for r in series.recursive_filter(make(spark, values), a, b).orderBy("ts").collect()]
+        assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_suppression_against_a_loop(spark):
+    import random
+
+    rng = random.Random(6)
+    hours, at = [], 0.0
+    for _ in range(200):
+        at += rng.choice([0.5, 3, 10, 35, 36, 40, 100])
+        hours.append(at)
+    signals = spark.createDataFrame([("A", T0 + timedelta(hours=h)) for h in hours], "station string, ts timestamp_ntz")
+    kept = []
+    for h in hours:
+        if not kept or h - kept[-1] >= 36:
+            kept.append(h)
+    assert [r["ts"] for r in crossing.suppress(signals, 36).orderBy("ts").collect()] == [T0 + timedelta(hours=h) for h in kept]
+
+
+def test_lists_and_filters(spark):
+    rows = [("0001", "Oued Béja", "marche", "B"), ("0002", "oued A", "arret", "A"), ("0010", "Mejerda", "arret", "A"), ("0011", None, "arret", None)]
+    st = spark.createDataFrame(rows, "code_station string, nom string, etat string, gouvernorat string")
+    assert [r["code_station"] for r in listing.search(st, " OUED ").orderBy("code_station").collect()] == ["0001", "0002"]
+    assert [r["code_station"] for r in listing.search(st, "^001").orderBy("code_station").collect()] == ["0010", "0011"] and listing.search(st, " ").count() == 4
+    assert [r["nom"] for r in listing.in_state(st, "arret", "A").collect()] == ["Mejerda", "oued A"] and listing.in_state(st).count() == 4
+    kinds = spark.createDataFrame([("Pluviométrique",), ("Hydrométrique",), (None,)], "k string").select(*[c.alias(f"c{i}") for i, c in enumerate(listing.measures(F.col("k")))]).collect()
+    assert [tuple(r) for r in kinds] == [(True, False), (False, True), (None, None)]
+    alt = spark.createDataFrame([("0001", 12.0)], "code_station string, altitude_m double")
+    assert {r["code_station"]: r["altitude_m"] for r in listing.with_altitude(st, alt).collect()} == {"0001": 12.0, "0002": None, "0010": None, "0011": None}
+    m = make(spark, range(5)).union(make(spark, [0, 2, 1], RAIN))
+    assert listing.between_times(m, T0 + timedelta(hours=1), T0 + timedelta(hours=2)).count() == 4 and listing.between_times(m, end=T0).count() == 2
+    assert [r["value"] for r in listing.series_scan(m, "A", LEVEL).collect()] == [0, 1, 2, 3, 4]
+    ext = {r["sensor"]: (r["amplitude"], r["rain_total"], r["n_wet"]) for r in listing.sensor_extremes(m).collect()}
+    assert ext == {LEVEL: (4.0, None, None), RAIN: (2.0, 3.0, 2)}
+    lags = spark.createDataFrame([("A", "1", 2.0), ("A", "2", 2.0), ("B", "1", 0.0)], "station string, sensor string, lag_h double")
+    assert sorted((r["station"], r["sensor"]) for r in listing.worst_sensors(lags).collect()) == [("A", "1"), ("B", "1")]
+
+
+def test_battery_details_are_ten_at_most(spark):
+    m = make(spark, [10.5] * 15 + [12], BATTERY).union(make(spark, [10.5, 7.0], BATTERY, station="B"))
+    got = instant.battery_details(m).collect()
+    assert len(got) == 10 and {r["station"] for r in got} == {"A"} and sorted(r["rank"] for r in got) == list(range(1, 11))
+
+
+def proposal(spark, rows):
+    base = spark.createDataFrame(rows, "id string, station string, proposed string, provenance string, created_at timestamp_ntz, status string, sensors map<string,string>")
+    extra = {c: F.lit(None).cast("string") for c in ("declared", "reason", "rules", "answered_by", "comment")} | {c: F.lit(None).cast("timestamp_ntz") for c in ("updated_at", "answered_at")}
+    return base.withColumns(extra)
+
+
+def test_proposals_are_synchronised(spark):
+    t = lambda h: T0 + timedelta(hours=h)
+    log = proposal(spark, [("p1", "A", "critique", "real", t(1), "en_attente", {"0001": "old"}), ("p2", "A", "arret", None, t(2), "en_attente", None), ("p3", "B", "arret", "real", t(3), "en_attente", None), ("p4", "C", "arret", None, t(0), "confirme", None)])
+    detected = spark.createDataFrame([("A", "arret", "marche", True, "why", {"0001": "new"}, "L1", None), ("B", "marche", "marche", False, None, None, None, None), ("D", "critique", "marche", True, "new", {}, "L3", "real"), ("E", "marche", "arret", False, None, None, None, None)], "station string, state string, declared string, justified boolean, reason string, sensors map<string,string>, rules string, provenance string")
+    now = F.lit(t(9)).cast("timestamp_ntz")
+    assert {r["station"]: r["action"] for r in state.synchronise(log, detected, now, dry_run=True).collect()} == {"A": "enrich", "B": "close", "D": "open", "E": "ignore"}
+    after = state.synchronise(log, detected, now)
+    got = {r["id"] if r["station"] != "D" else "new": (r["station"], r["proposed"], r["status"], r["provenance"]) for r in after.collect()}
+    assert got == {"p1": ("A", "arret", "en_attente", "real"), "p2": ("A", "arret", "caduque", None), "p3": ("B", "arret", "caduque", "real"), "p4": ("C", "arret", "confirme", None), "new": ("D", "critique", "en_attente", "real")}
+    assert {r["action"] for r in state.synchronise(after, detected, now, dry_run=True).where("station in ('A', 'D')").collect()} == {"enrich"}
+    waiting = state.pending_proposals(state.encoded(after)).collect()
+    assert [(r["station"], r["sensors"], r["status_label"]) for r in waiting] == [("A", {"0001": "new"}, "En attente de vérification"), ("D", {}, "En attente de vérification")]
+    assert [r["id"] for r in state.proposal_journal(after, "A").collect()] == ["p2", "p1"] and state.proposal_journal(after, limit=2).count() == 2
 
 
 def test_history_rules_give_one_schema(spark):
