@@ -197,11 +197,11 @@ def base_rule(min_words: int = 10, repeat_percent: int = 20) -> Rule:
     return Rule("base", lambda t: (t.n_words < min_words) | (100 * t.n_repeat_words > repeat_percent * t.n_words))
 
 
-def default_rules() -> list[Rule]:
+def default_rules(dup_percent: int = 30) -> list[Rule]:
     """Thresholds in the manner of published rule sets for web text; all are shares of words or lines."""
     return [
         Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
-        Rule("dup_lines", lambda t: 10 * t.n_dup_lines > 3 * t.n_lines),
+        Rule("dup_lines", lambda t: 100 * t.n_dup_lines > dup_percent * t.n_lines),
         Rule("stutter", lambda t: 10 * t.n_stutters > 3 * t.n_words),
         Rule("word_length", lambda t: (t.word_chars < 2 * t.n_words) | (t.word_chars > 14 * t.n_words)),
         Rule("letters", lambda t: 10 * t.n_letter_words < 6 * t.n_words),

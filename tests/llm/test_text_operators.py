@@ -69,11 +69,11 @@ def brute_quality(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
 
 
-def brute_kept(text):
+def brute_kept(text, min_words=10, repeat_percent=20, dup_percent=30):
     n, chars, symbols, dups, repeats = brute_quality(text)
     w, t = SPACE_WORDS.findall(text or ""), text or ""
     lines = [x for x in t.split("\n") if SPACE_WORDS.search(x)]
-    if n < 10 or 100 * repeats > 20 * n or 10 * symbols > n or 10 * dups > 3 * len(lines):
+    if n < min_words or 100 * repeats > repeat_percent * n or 10 * symbols > n or 100 * dups > dup_percent * len(lines):
         return False
     if 10 * sum(a == b for a, b in zip(w, w[1:])) > 3 * n or not 2 * n <= chars <= 14 * n:
         return False

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import regex
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -107,6 +108,13 @@ def test_pipeline_on_odd_documents(spark):
     assert sorted(r["doc_id"] for r in docs.collect()) == [1, 7, 7]
 
 
+def test_pipeline_keeps_clean_documents(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    kept = corpus_pipeline.quality_rules(spark, docs, SF).select("doc_id").withColumn("kept", F.lit(True))
+    share = {r["quality"]: r["s"] for r in labels.join(docs, "doc_id", "left_semi").join(kept, "doc_id", "left").groupBy("quality").agg(F.avg(F.coalesce("kept", F.lit(False)).cast("int")).alias("s")).collect()}
+    assert share[1] > 0.95 and share[0] < 0.02
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
@@ -116,7 +124,7 @@ def test_pipeline_of_nothing(spark):
 
 def brute_pipeline(docs, bench):
     """doc_id -> text of what the four filtering stages leave, by plain loops."""
-    left = [(i, t, s) for i, t, s in docs if brute_kept(t)]
+    left = [(i, t, s) for i, t, s in docs if brute_kept(t, 3, 50, 50)]
     lines = brute_lines(left, linededup.MIN_SITES)
     left = [(i, lines[i][2], s) for i, _, s in left if not lines[i][1] or re.search(r"[^ \t\n\r]", lines[i][2])]
     found = brute_components([t for _, t, _ in left], 80)
