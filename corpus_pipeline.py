@@ -13,8 +13,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
-    return quality.keep_good(docs).select(COLUMNS)
+    """Documents that no quality rule rejects; short ones and those of a few repeated lines are no junk by that alone."""
+    return quality.keep_good(docs, quality.default_rules(dup_percent=50), quality.base_rule(min_words=3, repeat_percent=50)).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("decontamination", decontamination), ("packing", pack)]
 
-#: Packing and min-max hashing have no form in SQL; tests compare the stages with brute force.
+#: Packing and min-max hashing have no form in SQL; a test compares the whole run with a brute-force version.
 ORACLE_SQL = None
 
 
