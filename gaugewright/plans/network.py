@@ -10,7 +10,8 @@ from gaugewright.functions.stats import HOUR
 from gaugewright.operators import crossing, graph, interstation, listing, state
 from gaugewright.params import DEFAULTS
 from gaugewright.plans.registry import EDGES, GAUGES, NODES, STATIONS, M, gauges, measurements, nodes, query, rounded, stations_frame, table, tree_edges
-from gaugewright.sources import telemetry
+from gaugewright.session import checkpointed, shared_path
+from gaugewright.sources import schemas, telemetry
 
 _BY = "PARTITION BY station"
 
@@ -355,6 +356,19 @@ def parse_telemetry(spark, sf_dir):
     return telemetry.parse_telemetry(files).select("station", "sensor", "ts", "value", "code")
 
 
+@query(f"""WITH {M}, r AS (SELECT station, sensor, date_trunc('second', ts) AS ts, round(value, 2) AS value FROM m WHERE event_id % 9 <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY station, sensor, ts ORDER BY value) AS rn FROM r)
+SELECT station, sensor, ts, value FROM k WHERE rn = 1""")
+def ingest_campaign(spark, sf_dir):
+    m = measurements(spark, sf_dir)
+    sent = m.select("station", "sensor", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"), F.when(F.col("event_id") % 9 != 0, F.round("value", 2)).alias("value"), F.lit("10").alias("code"))
+    name = F.concat(F.col("station"), F.lit("_"), F.date_format("day", "yyyyMMdd"), F.lit("000000.MIS"))
+    files = checkpointed(telemetry.telemetry_lines(sent).select(name.alias("path"), name.alias("name"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("digest"), "text"))
+    facts, journal = shared_path(spark, "facts"), shared_path(spark, "journal")
+    for _ in range(2):  # the second campaign finds everything done
+        telemetry.store(files, facts, journal)
+    return schemas.read_facts(spark, facts).select("station", "sensor", "ts", "value")
+
+
 @query(f"""WITH {NODES}, {EDGES}, {STATIONS}, bb AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM st), k AS (SELECT e.*, src AS s, dst AS d FROM e WHERE obstacle IS DISTINCT FROM 'barrage')
 SELECT st.station AS node, x, y, (SELECT max(length) FROM k WHERE k.d = st.station) AS stream_order FROM st, bb WHERE station IN (SELECT d FROM k) AND station NOT IN (SELECT s FROM k) AND x > x0 + 3000 AND x < x1 - 3000 AND y > y0 + 3000 AND y < y1 - 3000""")
 def unexplained_stops(spark, sf_dir):
