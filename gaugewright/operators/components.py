@@ -45,10 +45,10 @@ def _digest(pairs: DataFrame) -> tuple:
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
-    """Each larger neighbour of a node moves to the smallest of that node and its neighbours."""
-    both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    """Each larger neighbour of a node moves to the smallest of that node and its neighbours. Pairs may repeat."""
+    both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
