@@ -7,12 +7,11 @@ candidates, and every candidate link is confirmed on full sets.
 
 Documents of equal sets are one class from the start, so copies never meet as pairs. Buckets with
 the same members are one. A bucket of more than one block's size is first held against single
-members: in each of a few rounds all of it meets one member that the rest isn't linked with yet, so
-that a large group of near copies falls into one component after work in proportion to its size. Two
-members of one component need no further link. What is left of the bucket, those outside its largest
-component, are dealt into blocks of bounded size, and a pair of blocks is a task's unit of work: it
-counts all intersections by a product of incidence matrices and gives a spanning forest of the
-confirmed links, never the pairs themselves.
+members, so that most of a large group of near copies is known to be one component after work in
+proportion to its size. Two members of one component need no further link. Those outside it meet all
+others in blocks of bounded size, and a pair of blocks is a task's unit of work: it counts all
+intersections by a product of incidence matrices and gives a spanning forest of the confirmed links,
+never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ BLOCK_DOCS, BLOCK_SHINGLES = 1024, 400_000
 #: Ids (some 20 bytes each) up to which a filter of the documents is broadcast.
 BROADCAST_IDS = 1_000_000
 #: Rounds in which a large bucket is held against single members before pairs of blocks.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 #: Rows from which a class of equal sets counts as hot; its rows get their result by broadcast.
 HOT_ROWS = 500
 
@@ -201,34 +200,53 @@ def _links(units: DataFrame, sets: DataFrame, numerator: int, denominator: int)
     return map_batches(dealt.select("x1", "x2", "lo", "hi", "key", "block", "shingles"), _confirm(numerator, denominator), "src binary, dst binary")
 
 
-def _grouped(members: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """members with the component that links give them, and of each bucket its largest component and how many there are."""
-    own = members.withColumn("component", F.col("key"))
-    if links is not None:
-        found = connected_components(links).withColumnRenamed("node", "key").withColumnRenamed("component", "_c")
-        own = members.join(found, "key", "left").withColumn("component", F.coalesce("_c", "key")).drop("_c")
-    own = checkpointed(own)
-    parts = own.groupBy("x1", "x2", "component").agg(F.count("*").alias("c"))
-    return own, parts.groupBy("x1", "x2").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.max("c").alias("n_major"), F.sum("c").alias("n_all"), F.count("*").alias("n_components"))
+def _star(numerator: int, denominator: int):
+    """Rows sorted by bucket and part, each part's centre first -> the members linked with it; two sets are held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = key_of = None
+        for batch in batches:
+            out = []
+            columns = [batch.column(n).to_pylist() for n in ("x1", "x2", "key", "block", "shingles")]
+            for x1, x2, key, block, data in zip(*columns, strict=True):
+                own = np.frombuffer(data, dtype=np.uint64)
+                if block < 0:
+                    centre, key_of = own, key
+                else:
+                    at = np.minimum(np.searchsorted(centre, own), len(centre) - 1)
+                    both = np.count_nonzero(centre[at] == own)
+                    if denominator * both >= numerator * (len(own) + len(centre) - both):
+                        out.append((x1, x2, key_of, key))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=pa.int64() if i < 2 else pa.binary()) for i in range(4)], names=["x1", "x2", "src", "dst"])
+
+    return run
 
 
-def _stars(members: DataFrame, sets: DataFrame, rounds: int, block_docs: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame | None]:
-    """Large buckets' members with their components after some rounds against single members, and the links found."""
-    links: DataFrame | None = None
+def _stars(large: DataFrame, sets: DataFrame, rounds: int, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame | None]:
+    """Large buckets' members with ``inside``, and the links found.
+
+    In every round all of a bucket meets one member that is not inside yet. Those linked with the first
+    such member are inside, and later those of a member that is linked with any of them, so that all
+    that is inside belongs to one component.
+    """
+    own, found = large.select("key", "x1", "x2", "blocks", F.lit(False).alias("inside")), None
     for turn in range(rounds):
-        own, groups = _grouped(members, links)
-        open_ = groups.where("n_components > 1")
-        if open_.isEmpty():
-            break
-        outside = own.join(open_, ["x1", "x2"]).withColumn("outside", F.col("component") != F.col("major"))
-        centre = outside.where("outside").groupBy("x1", "x2").agg(F.min_by(F.struct("key", "component"), F.xxhash64("key", F.lit(turn))).alias("centre"))
-        parts = F.ceil(F.col("n_all") / block_docs).cast("int")
-        dealt = outside.join(centre, ["x1", "x2"]).where(F.col("component") != F.col("centre.component"))
-        dealt = dealt.select("x1", "x2", F.pmod(F.xxhash64("key", F.lit(3)), parts).cast("int").alias("lo"), F.lit(-1).alias("hi"), "key", F.lit(0).alias("block"))
-        single = open_.join(centre, ["x1", "x2"]).select("x1", "x2", F.explode(F.sequence(F.lit(0), parts - 1)).alias("lo"), F.lit(-1).alias("hi"), F.col("centre.key").alias("key"), F.lit(-1).alias("block"))
-        found = checkpointed(_links(dealt.unionByName(single), sets, numerator, denominator))
-        links = found if links is None else links.unionByName(found)
-    return members, links
+        centre = own.where("not inside").groupBy("x1", "x2").agg(F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("centre"))
+        met = own.join(centre, ["x1", "x2"])
+        part = F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int")
+        dealt = met.where("key <> centre").select("x1", "x2", part.alias("lo"), "key", F.lit(0).alias("block"))
+        single = met.where("key = centre").select("x1", "x2", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("lo"), "key", F.lit(-1).alias("block"))
+        units = dealt.unionByName(single).join(sets, "key").repartition("x1", "x2", "lo").sortWithinPartitions("x1", "x2", "lo", "block")
+        links = checkpointed(map_batches(units.select("x1", "x2", "key", "block", "shingles"), _star(numerator, denominator), "x1 long, x2 long, src binary, dst binary"))
+        found = links if found is None else found.unionByName(links)
+        joined = met.join(links.select("x1", "x2", F.col("dst").alias("key"), F.lit(True).alias("_linked")), ["x1", "x2", "key"], "left").withColumn("_linked", F.coalesce("_linked", F.col("key") == F.col("centre")))
+        if turn == 0:
+            own = checkpointed(joined.select("key", "x1", "x2", "blocks", F.col("_linked").alias("inside")))
+        else:
+            touches = joined.groupBy("x1", "x2").agg(F.bool_or(F.col("_linked") & F.col("inside")).alias("_touches"))
+            now = own.join(joined.where("_linked").select("x1", "x2", "key", "_linked"), ["x1", "x2", "key"], "left").join(touches, ["x1", "x2"], "left")
+            own = checkpointed(now.select("key", "x1", "x2", "blocks", (F.col("inside") | F.coalesce(F.col("_linked") & F.col("_touches"), F.lit(False))).alias("inside")))
+    return own, found
 
 
 def _classes(docs: DataFrame, numerator: int, denominator: int, shingle_words: int, permutations: int, band_values: int, block_docs: int, block_shingles: int, broadcast_ids: int, star_rounds: int) -> DataFrame:
@@ -246,21 +264,20 @@ def _classes(docs: DataFrame, numerator: int, denominator: int, shingle_words: i
     members = checkpointed(banded.join(buckets, ["band", "bucket"]).select("key", "rep", "x1", "x2", "docs", "blocks"))
     large, links = members.where("blocks > 1"), None
     sets = _sets_of(docs, members, shingle_words, broadcast_ids)
-    if star_rounds and not large.isEmpty():
+    judged = members.where("blocks = 1").select("key", "x1", "x2", F.lit(False).alias("inside"), F.lit(1).alias("n_out"), F.lit(0).alias("n_in"))
+    if not large.isEmpty():
         sets = checkpointed(sets)
-        large, links = _stars(large, sets, star_rounds, block_docs, numerator, denominator)
-    own, groups = _grouped(large, links)
-    # those outside the largest component meet all; those inside it meet only those outside
-    share = lambda part: F.ceil(F.col("blocks") * F.col(part) / F.col("n_all")).cast("int")
-    judged = own.join(groups.where("n_components > 1"), ["x1", "x2"]).withColumn("_n_out", F.col("n_all") - F.col("n_major")).withColumns({"inside": F.col("component") == F.col("major"), "n_out": share("_n_out"), "n_in": share("n_major")})
-    whole = members.where("blocks = 1").select("key", "x1", "x2", F.lit(False).alias("inside"), F.lit(1).alias("n_out"), F.lit(0).alias("n_in"))
-    judged = judged.select(whole.columns).unionByName(whole)
+        own, links = _stars(large, sets, star_rounds, numerator, denominator)
+        # those outside meet all; those inside, one component, meet only those outside
+        sizes = own.groupBy("x1", "x2").agg(F.count("*").alias("n"), F.count_if("inside").alias("_in")).where("_in < n")
+        share = lambda part: F.ceil(F.col("blocks") * part / F.col("n")).cast("int")
+        judged = judged.unionByName(own.join(sizes, ["x1", "x2"]).select("key", "x1", "x2", "inside", share(F.col("n") - F.col("_in")).alias("n_out"), share(F.col("_in")).alias("n_in")))
     salt = F.xxhash64("key", F.lit(3))
     block = F.when(F.col("inside"), F.col("n_out") + F.pmod(salt, F.col("n_in"))).otherwise(F.pmod(salt, F.col("n_out"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("n_out") - 1).otherwise(F.col("n_out") + F.col("n_in") - 1)))
     units = judged.select("key", "x1", "x2", block.alias("block"), other.alias("other")).select("key", "x1", "x2", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     found = _links(units, sets, numerator, denominator)
-    found = connected_components(found if links is None else found.unionByName(links))
+    found = connected_components(found if links is None else found.unionByName(links.select("src", "dst")))
     joined = classes.select("key", "rep").join(found.withColumnRenamed("node", "key"), "key")
     least = joined.groupBy("component").agg(F.min("rep").alias("least"))
     moved = joined.join(least, "component").select("key", "least")
