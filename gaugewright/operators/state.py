@@ -168,8 +168,8 @@ def synchronise(proposals: DataFrame, detected: DataFrame, now: Column, dry_run:
 
     ``detected``: station, state, declared, justified, reason, sensors (map), rules, provenance. A
     justified divergence opens a proposal or enriches the station's pending one, which keeps its
-    date and, where nothing new is known, its provenance; a pending one without it becomes void. At
-    most one proposal of a station is pending afterwards.
+    date and whatever nothing new is known of; a pending one without it becomes void. At most one
+    proposal of a station is pending afterwards.
     """
     proposals = one_pending(proposals)
     pending = proposals.where(F.col("status") == PENDING)
@@ -182,7 +182,7 @@ def synchronise(proposals: DataFrame, detected: DataFrame, now: Column, dry_run:
     enriched, closed = mine & (F.col("action") == "enrich"), mine & (F.col("action") == "close")
     new = {"proposed": "_state", "declared": "_declared", "reason": "_reason", "sensors": "_sensors", "rules": "_rules"}
     kept = proposals.join(told, "station", "left").withColumns(
-        {c: F.when(enriched, F.col(x)).otherwise(F.col(c)) for c, x in new.items()}
+        {c: F.when(enriched, F.coalesce(x, c)).otherwise(F.col(c)) for c, x in new.items()}
         | {"provenance": F.when(enriched, F.coalesce("_provenance", "provenance")).otherwise(F.col("provenance")), "updated_at": F.when(enriched | closed, now).otherwise(F.col("updated_at")), "status": F.when(closed, VOID).otherwise(F.col("status"))}
     )
     opened = told.where("action = 'open'").select(
