@@ -21,11 +21,11 @@ import numpy as np
 
 MAGIC = b"RPG1"
 #: log2 of the table that ranks pairs, at most; a block of few ids has a smaller one.
-_SLOT_BITS = 21
+_SLOT_BITS = 20
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
-def compress(ids: np.ndarray, doc_tokens: np.ndarray, min_count: int = 4, max_rounds: int = 64, least_gain: float = 0.001):
+def compress(ids: np.ndarray, doc_tokens: np.ndarray, min_count: int = 4, max_rounds: int = 16, least_gain: float = 0.01):
     """Returns symbols, symbols of each document, left and right of each rule, rules of each round and terminals."""
     terminals = int(ids.max()) + 1 if len(ids) else 1
     symbols = ids.astype(np.uint32)
