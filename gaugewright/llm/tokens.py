@@ -3,9 +3,10 @@
 Most of a tokenizer's time goes into merging the pieces of words that it has met before. Here numpy
 cuts a batch of texts at the same places as the tokenizer's own pre-tokenizer, the library encodes
 each distinct piece once per worker process, and the ids are then laid out by indexing. Pieces are
-known by a 64-bit hash (see ``words.span_hashes``; two of a million pieces share one with a chance
-below 1e-4). Texts with any character outside well-settled ranges, or with a special token's string, are encoded whole by
-the library. For tokenizer files with another pre-tokenizer every text is.
+looked up by a 64-bit hash and compared byte by byte with the piece remembered, so that two pieces of
+one hash keep their own ids. Texts with any character outside well-settled ranges, or with a special
+token's string, are encoded whole by the library. For tokenizer files with another pre-tokenizer
+every text is.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ import os
 import numpy as np
 import regex
 
-from gaugewright.llm.words import span_hashes
+from gaugewright.llm.words import FIRST_BYTES, byte_words, span_hashes
 
-#: Distinct pieces that a worker process remembers (about 60 bytes each) before it starts again.
+#: Distinct pieces that a worker process remembers (about 80 bytes each) before it starts again.
 MEMORY_PIECES = 2_000_000
 
 #: Pieces given to the library in one call.
@@ -84,6 +85,7 @@ class Encoder:
         self.keys = np.zeros(1 << 16, dtype=np.uint64)  # open addressing; 0 is an empty slot
         self.numbers = np.zeros(1 << 16, dtype=np.int32)
         self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes, self.place, self.size = np.zeros(8, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the pieces themselves, with room for one look beyond
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of the texts in their order, and where each text's begin (and the end)."""
@@ -116,7 +118,8 @@ class Encoder:
         places = np.concatenate(([0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800))))
         data = codes.tobytes().decode("utf-32-le").encode("utf-8")
         begins, stops = places[starts], places[ends]
-        hashes = span_hashes(np.frombuffer(data, dtype=np.uint8), begins, stops) | np.uint64(1)
+        text = np.frombuffer(data, dtype=np.uint8)
+        hashes = span_hashes(text, begins, stops) | np.uint64(1)
         numbers = self._find(hashes)
         if len(missing := np.flatnonzero(numbers < 0)):
             if len(self.start) + len(missing) > MEMORY_PIECES:
@@ -124,8 +127,10 @@ class Encoder:
                 missing = np.arange(len(hashes))
             new, first = np.unique(hashes[missing], return_index=True)
             at = missing[first]
-            self._learn(new, [data[a:b].decode() for a, b in zip(begins[at].tolist(), stops[at].tolist(), strict=True)])
+            self._learn([data[a:b].decode() for a, b in zip(begins[at].tolist(), stops[at].tolist(), strict=True)], new)
             numbers = self._find(hashes)
+        if len(others := self._unlike(numbers, text, begins, stops)):  # another piece has this hash
+            numbers[others] = self._learn([data[a:b].decode() for a, b in zip(begins[others].tolist(), stops[others].tolist(), strict=True)])
         lengths = self.length[numbers]
         done = np.concatenate(([0], np.cumsum(lengths)))
         at = np.repeat(self.start[numbers] - done[:-1], lengths)
@@ -190,8 +195,20 @@ class Encoder:
             open_ = open_[~hit & (found != 0)]
         return out
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        """Encodes new pieces and remembers them."""
+    def _unlike(self, numbers: np.ndarray, text: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Which spans differ in some byte from the remembered pieces of these numbers."""
+        left = stops - begins
+        differ = self.size[numbers] != left
+        here, there = byte_words(text), np.ndarray((len(self.bytes) - 7,), dtype="<u8", buffer=self.bytes, strides=(1,))
+        live, k = np.flatnonzero(~differ), 0
+        while len(live):
+            differ[live] = ((here[begins[live] + k] ^ there[self.place[numbers[live]] + k]) & FIRST_BYTES[np.minimum(left[live] - k, 8)]) != 0
+            k += 8
+            live = live[~differ[live] & (left[live] > k)]
+        return np.flatnonzero(differ)
+
+    def _learn(self, pieces: list[str], hashes: np.ndarray | None = None) -> np.ndarray:
+        """Encodes new pieces, remembers them under their hashes, if given, and returns their numbers."""
         order = np.arange(len(pieces))
         if self.kind == "byte":  # in a row, pieces of a space and letters stay apart, and their first ids show it
             joins = np.array([p[0] == " " and p[1:].isalpha() for p in pieces], dtype=bool)
@@ -212,19 +229,29 @@ class Encoder:
             found = [x.ids for x in self.tokenizer.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False)]
             lengths[part] = [len(x) for x in found]
             flat.append(np.array([i for x in found for i in x], dtype=np.uint32))
-        order = np.concatenate((joined, alone))
-        hashes, lengths = hashes[order], lengths[order]
+        order = np.concatenate((joined, alone)).astype(np.int64)
+        lengths = lengths[order]
         at = len(self.start)
+        own = [pieces[i].encode() for i in order.tolist()]
+        sizes = np.array([len(p) for p in own], dtype=np.int64)
+        self.place = np.append(self.place, len(self.bytes) - 8 + np.cumsum(sizes) - sizes)
+        self.size = np.append(self.size, sizes)
+        self.bytes = np.concatenate([self.bytes[:-8], np.frombuffer(b"".join(own) + bytes(8), dtype=np.uint8)])
         self.start = np.append(self.start, len(self.flat) + np.cumsum(lengths) - lengths)
         self.length = np.append(self.length, lengths)
         self.flat = np.concatenate([self.flat, *flat])
+        numbers = np.empty(len(pieces), dtype=np.int32)
+        numbers[order] = np.arange(at, at + len(pieces))
+        if hashes is None:
+            return numbers
         if 2 * len(self.start) > len(self.keys):
             kept = self.keys != 0
-            keys, numbers = self.keys[kept], self.numbers[kept]
+            known = self.keys[kept], self.numbers[kept]
             size = 1 << (4 * len(self.start)).bit_length()
             self.keys, self.numbers = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int32)
-            self._insert(keys, numbers)
-        self._insert(hashes, np.arange(at, at + len(hashes), dtype=np.int32))
+            self._insert(*known)
+        self._insert(hashes, numbers)
+        return numbers
 
     def _insert(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
         mask = np.uint64(len(self.keys) - 1)
