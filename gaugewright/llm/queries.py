@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewright.llm import decontam, langid, licenses, linededup, neardup, packing, quality, sharding, tokenfiles, urlfilter
+from gaugewright.llm import decontam, divergence, langid, lattice, licenses, linededup, neardup, packing, quality, sharding, tokenfiles, urlfilter, whiten
 from gaugewright.session import shared_path
 
 #: The rules that pages are judged by: verdict, host, path.
@@ -73,4 +73,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_token_files, op4_pack_sequences, op5_shard_by_bytes, op6_near_duplicates, op7_url_filter, op8_decontaminate, op9_quality_cascade, op10_line_dedup)}
+def op11_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    scored = lattice.score_documents(_read(spark, sf_dir, "documents"), lattice.from_vocabulary(public_tokenizers.path("piece_bpe_32k.model")), learned)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_token_files, op4_pack_sequences, op5_shard_by_bytes, op6_near_duplicates, op7_url_filter, op8_decontaminate, op9_quality_cascade, op10_line_dedup, op11_subword_lattice, op12_whitening, op13_source_divergence)}

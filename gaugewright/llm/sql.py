@@ -1,13 +1,13 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
-Language identification, token files, packing and sharding have no such form: tests hold them
-against held-out accuracy, round trips and their laws. These texts say what the results are, by
+Language identification, token files, packing, sharding, language-model scores and whitening have no
+such form: tests hold them against held-out accuracy, round trips, brute force and their laws. These texts say what the results are, by
 plain joins and counts, and nothing of how the operators find them.
 """
 
 from __future__ import annotations
 
-from gaugewright.llm import licenses, linededup
+from gaugewright.llm import divergence, licenses, linededup
 from gaugewright.llm.queries import URL_RULES
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -85,6 +85,16 @@ s AS (SELECT line, min({{'doc_id': doc_id, 'pos': pos}}) AS first FROM k GROUP B
 o AS (SELECT l.doc_id, count(*) AS n_lines, count(x.pos) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY l.pos) FILTER (WHERE x.pos IS NULL), '') AS text FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.pos = l.pos GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN o.text END AS text FROM d LEFT JOIN o USING (doc_id)"""
 
+_DIVERGENCE = rf"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_FOLDED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d), k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= {divergence.MIN_DOCS}), g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL), v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang), x AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + {divergence.SCALE}::HUGEINT * (coalesce(n, 0) + 2) // (coalesce(total, 0) + 2 * v) AS p FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN x ON x.lang = g.lang AND x.source = g.source),
+q AS (SELECT lang, term, 1 + {divergence.SCALE}::HUGEINT * (sum(n) + 2) // (sum(sum(n)) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q FROM c GROUP BY lang, term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+UNION ALL SELECT p.lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f) WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": _license_scan(),
     "op6_near_duplicates": _NEAR_DUPLICATES,
@@ -92,4 +102,5 @@ ORACLES: dict[str, str] = {
     "op8_decontaminate": _DECONTAMINATE,
     "op9_quality_cascade": _QUALITY,
     "op10_line_dedup": _LINE_DEDUP,
+    "op13_source_divergence": _DIVERGENCE,
 }
