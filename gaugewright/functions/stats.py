@@ -33,17 +33,6 @@ def lowest_mode(value: Column | str) -> Column:
     return F.mode(value, True)
 
 
-def with_median_mad(df: DataFrame, keys: Sequence[str], value: str = "value", prefix: str = "") -> DataFrame:
-    """Median and median absolute deviation of each group, beside its rows. (AGG-07)
-
-    Two aggregates and two joins on the same keys, so one exchange of the rows serves them all.
-    """
-    med, mad = f"{prefix}med", f"{prefix}mad"
-    centred = df.join(df.groupBy(*keys).agg(exact_median(value).alias(med)), list(keys), "left")
-    spread = centred.groupBy(*keys).agg(exact_median(F.abs(F.col(value) - F.col(med))).alias(mad))
-    return centred.join(spread, list(keys), "left")
-
-
 def slope(x: Column, y: Column) -> Column:
     """Least-squares slope of y over x. (AGG-13)"""
     return F.regr_slope(y, x)

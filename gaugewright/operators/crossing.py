@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugewright.functions.selection import exact_median_of
 from gaugewright.functions.stats import DAY, HOUR, exact_median, micros
 from gaugewright.operators.anomalies import anomaly
 from gaugewright.operators.intervals import interval_join
+from gaugewright.operators.pieces import meet
+from gaugewright.operators.series import last_before, rolling_sum
 from gaugewright.params import DEFAULTS, Params
 
 
@@ -19,13 +22,15 @@ def response_candidates(rain: DataFrame, level: DataFrame, params: Params = DEFA
     after it, and a level that is already high.
     """
     window = params.response_rain_h * HOUR
-    u = micros("ts")
-    frame = Window.partitionBy("station").orderBy(u)
-    wet = rain.withColumns({"u": u, "mm": F.sum("value").over(frame.rangeBetween(-window + 1, 0)), "last_wet": F.max(F.when(F.col("value") > 0, u)).over(frame.rangeBetween(Window.unboundedPreceding, -window - 1))})
+    wet = rolling_sum(rain, params.response_rain_h, ["station"], "mm").withColumn("u", micros("ts"))
     enough = rain.groupBy("station").agg(F.count("*").alias("n")).where(F.col("n") >= min_rain).select("station")
-    stats = level.groupBy("station").agg(F.count("*").alias("n"), exact_median("value").alias("med"), F.min("value").alias("low")).where(F.col("n") >= min_level).drop("n")
+    stats = level.groupBy("station").agg(F.count("*").alias("_n"), F.min("value").alias("low")).where(F.col("_n") >= min_level).drop("_n")
+    stats = meet(stats, exact_median_of(level, ["station"], "value", "med").drop("n"), ["station"])
     heavy = wet.where(F.round("mm", 9) >= params.response_rain_mm).join(enough, "station", "left_semi").join(stats, "station")
-    heavy = heavy.select("station", "ts", "mm", "med", "low", "u", (F.col("u") - window).alias("d"), "last_wet")
+    # the last rain before a window is looked for from its start
+    begins = heavy.select("station", F.timestamp_micros(F.col("u") - window).cast("timestamp_ntz").alias("ts")).distinct()
+    last = last_before(begins, rain.select("station", "ts", "value"), F.col("value") > 0, ["station"]).select("station", micros("ts").alias("d"), micros("last_ts").alias("last_wet"))
+    heavy = heavy.select("station", "ts", "mm", "med", "low", "u", (F.col("u") - window).alias("d")).join(last, ["station", "d"], "left")
     heavy = heavy.withColumns({"a": F.col("d") - 12 * HOUR, "b": F.col("u") + params.response_h * HOUR})
     near = interval_join(heavy.select("station", "ts", "u", "d", "a", "b"), level, ["station"], "a", "b")
     before, after = F.col("r_us") <= F.col("d"), F.col("r_us") > F.col("d")

@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.functions.stats import exact_median, lowest_mode
+from gaugewright.functions.selection import exact_median_of, lowest_mode_of
 from gaugewright.operators.anomalies import anomaly
+from gaugewright.operators.pieces import meet
 from gaugewright.operators.series import SERIES, out_of_range, value_runs, with_step
 from gaugewright.params import DEFAULTS, Params
 
@@ -46,7 +47,8 @@ def correct(m: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """
     bad = out_of_range() & F.coalesce(F.col("corrects"), F.lit(False))
     flagged = m.withColumn("_bad", bad)
-    valid = flagged.groupBy(*keys).agg(exact_median(F.when(~F.col("_bad"), F.col("value"))).alias("_med"), F.count_if(~F.col("_bad")).alias("_others"))
+    others = flagged.groupBy(*keys).agg(F.count_if(~F.col("_bad")).alias("_others"))
+    valid = meet(others, exact_median_of(flagged.where("not _bad"), keys, "value", "_med").drop("n"), keys)
     replacement = F.when(F.col("_others") == 0, F.lit(0.0)).otherwise(F.bround("_med", 2))
     joined = flagged.join(valid, list(keys))
     return joined.withColumnRenamed("value", "value_raw").withColumns({"value": F.when(F.col("_bad"), replacement).otherwise(F.col("value_raw")), "corrected": F.col("_bad")}).drop("_bad", "_med", "_others")
@@ -110,7 +112,7 @@ def duplicate_timestamps(m: DataFrame, keys: Sequence[str] = SERIES) -> DataFram
 def steps_against_mode(m: DataFrame, factor: float = 1.5, keys: Sequence[str] = SERIES) -> DataFrame:
     """Rows with step_s, the series' mode step and ``kind``: irregular (R6), gap (R7) or null. (AGG-09)"""
     stepped = with_step(m, keys)
-    usual = stepped.groupBy(*keys).agg(lowest_mode("step_s").alias("mode_s"), F.count("*").alias("_n"))
+    usual = meet(stepped.groupBy(*keys).agg(F.count("*").alias("_n")), lowest_mode_of(stepped, keys, "step_s", "mode_s"), keys)
     far = F.col("step_s") > factor * F.col("mode_s")
     kind = F.when(F.col("_n") > 2, F.when(far, "gap").when(F.col("step_s") != F.col("mode_s"), "irregular"))
     return stepped.join(usual, list(keys)).withColumn("kind", kind).drop("_n")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.functions.stats import HOUR, exact_median, first_few, inverse_square, micros, weighted_mean, with_median_mad
+from gaugewright.functions.selection import exact_median_of, with_median_mad
+from gaugewright.functions.stats import HOUR, exact_median, first_few, inverse_square, micros, weighted_mean
+from gaugewright.operators import pieces
 from gaugewright.operators.anomalies import anomaly
 from gaugewright.operators.intervals import interval_join
 from gaugewright.operators.series import dense_daily, predicate_runs
 from gaugewright.params import DEFAULTS, Params
+from gaugewright.session import checkpointed
 
 
 def nearest_neighbours(stations: DataFrame, params: Params = DEFAULTS, among: DataFrame | None = None) -> DataFrame:
@@ -88,11 +91,11 @@ def flood_propagation(level: DataFrame, pairs: DataFrame, params: Params = DEFAU
     a whole pair), verdict, reason, lag_h, peak, threshold. The order of the guards decides which
     reason is given, so they are one chain of conditions and no filters.
     """
-    stats = level.groupBy("station").agg(F.count("*").alias("n"), exact_median("value").alias("med"), F.min("value").alias("low"))
-    at = micros("ts")
-    steps = level.withColumn("_s", at - F.lag(at).over(Window.partitionBy("station").orderBy("ts"))).groupBy("station").agg(exact_median("_s").alias("step_us"))
-    stats = stats.join(steps, "station")
-    floods = flood_events(level, params)
+    stats = level.groupBy("station").agg(F.count("*").alias("n"), F.min("value").alias("low"))
+    stats = pieces.meet(stats, exact_median_of(level, ["station"], "value", "med").drop("n"), ["station"])
+    stepped = pieces.with_previous(pieces.cut(level), ["station"], micros("ts"), "_was").withColumn("_s", micros("ts") - F.col("_was"))
+    stats = checkpointed(pieces.meet(stats, exact_median_of(stepped, ["station"], "_s", "step_us").drop("n"), ["station"]))  # a row a station
+    floods = checkpointed(flood_events(level, params))
     count = floods.groupBy("station").agg(F.count("*").alias("n_floods"))
     up = stats.join(count, "station", "left").select(F.col("station").alias("up"), F.col("n").alias("n_up"), "n_floods")
     down = stats.select(F.col("station").alias("down"), F.col("n").alias("n_down"), "med", "low", "step_us")
@@ -149,7 +152,8 @@ def decline_reasons(declines: DataFrame, text: str = "reason") -> DataFrame:
 
 def peak_lag(level: DataFrame, pairs: DataFrame) -> DataFrame:
     """Peaks of two stations' series compared: lag, relative amplitudes over their medians, and a verdict in four. (AGG-33)"""
-    peaks = level.groupBy("station").agg(F.max(F.struct("value", (-micros("ts")).alias("back"))).alias("t"), exact_median("value").alias("med"))
+    peaks = level.groupBy("station").agg(F.max(F.struct("value", (-micros("ts")).alias("back"))).alias("t"))
+    peaks = pieces.meet(peaks, exact_median_of(level, ["station"], "value", "med").drop("n"), ["station"])
     one = lambda side: peaks.select(F.col("station").alias(side), (-F.col("t.back")).alias(f"{side}_us"), ((F.col("t.value") - F.col("med")) / F.nullif(F.abs("med"), F.lit(0.0))).alias(f"{side}_amp"))
     s = pairs.select("up", "down").join(one("up"), "up").join(one("down"), "down").withColumn("lag_h", (F.col("down_us") - F.col("up_us")) / float(HOUR))
     verdict = F.when(F.col("lag_h") < 0, "before").when(F.col("down_amp") < 0.1 * F.col("up_amp"), "flat").when(F.col("lag_h") > 72, "late").otherwise("follows")

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.functions.stats import DAY, HOUR, micros, pettitt, r_squared, slope, with_median_mad
+from gaugewright.functions.selection import median_mad_of, with_median_mad
+from gaugewright.functions.stats import DAY, HOUR, micros, pettitt, r_squared, slope
 from gaugewright.operators.anomalies import anomaly
-from gaugewright.operators.series import SERIES, daily_median, last_days, trailing_run
+from gaugewright.operators.pieces import meet
+from gaugewright.operators.series import SERIES, daily_median, last_days, trailing_run, with_last
 from gaugewright.params import DEFAULTS, Params
 from gaugewright.session import checkpointed
 
 
 def _recent(m: DataFrame, span_us: int, keys: Sequence[str], open_start: bool = False) -> DataFrame:
     """Rows with ``age_us`` before the series' last and ``recent``: within the span, its start included or not. (FLT-04)"""
-    age = F.max(micros("ts")).over(Window.partitionBy(*keys)) - micros("ts")
-    aged = m.withColumn("age_us", age)
+    aged = with_last(m, keys).withColumn("age_us", F.col("_last") - micros("ts")).drop("_last")
     return aged.withColumn("recent", F.col("age_us") < span_us if open_start else F.col("age_us") <= span_us)
 
 
@@ -75,7 +76,8 @@ def silent_series(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] =
 def recent_outliers(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = SERIES, recent_h: float = 24.0) -> DataFrame:
     """The most extreme recent value far from the history's median, in scaled MADs. (L4, AGG-07)"""
     rows = _recent(m, int(recent_h * HOUR), keys, open_start=True)
-    older = with_median_mad(rows.where("not recent"), keys).groupBy(*keys).agg(F.count("*").alias("n_older"), F.first("med").alias("med"), F.first("mad").alias("mad"))
+    old = rows.where("not recent")
+    older = meet(old.groupBy(*keys).agg(F.count("*").alias("n_older")), median_mad_of(old, keys), keys)
     far = rows.where("recent").join(older.where((F.col("n_older") >= params.outlier_min_rows) & (F.col("mad") > 0)), list(keys)).withColumn("off", F.abs(F.col("value") - F.col("med"))).where(F.col("off") > params.outlier_k * params.mad_scale * F.col("mad"))
     s = far.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ts").alias("at"), F.max_by("value", F.struct("off", (-micros("ts")).alias("back"))).alias("extreme"), F.first("med").alias("med"))
     return anomaly(s, "L4", "valeur_inhabituelle", "medium", F.col("at"), F.col("n"), F.col("extreme"), F.col("med"))
@@ -86,7 +88,8 @@ def trend(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = SERIES)
     rows = _recent(m, params.drift_window_days * DAY, keys)
     x, v = -F.col("age_us") / float(DAY), F.col("value")
     now = rows.where("recent").groupBy(*keys).agg(F.count("*").alias("n"), (F.max("age_us") / float(DAY)).alias("span_days"), slope(x, v).alias("slope"), r_squared(x, v).alias("r2"), F.min("ts").alias("at"))
-    older = with_median_mad(rows.where("not recent"), keys).groupBy(*keys).agg(F.count("*").alias("n_older"), F.first("mad").alias("mad"), (F.max("value") - F.min("value")).alias("range"))
+    old = rows.where("not recent")
+    older = meet(old.groupBy(*keys).agg(F.count("*").alias("n_older"), (F.max("value") - F.min("value")).alias("range")), median_mad_of(old, keys), keys)
     return now.join(older, list(keys))
 
 
@@ -137,7 +140,7 @@ def long_term_anomalies(m: DataFrame, params: Params = DEFAULTS, keys: Sequence[
     written once, for five rules read it.
     """
     tail = last_days(m, params.history_days, keys).where("value is not null")
-    tail = checkpointed(tail.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("_n") >= params.history_min_rows).drop("_n"))
+    tail = checkpointed(meet(tail, tail.groupBy(*keys).agg(F.count("*").alias("_n")), keys).where(F.col("_n") >= params.history_min_rows).drop("_n"))
     enough = tail.select(*keys).distinct()
     water = F.col("sensor").isin(params.level, params.discharge)
     power = tail.where(F.col("sensor") == params.battery)

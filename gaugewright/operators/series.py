@@ -1,7 +1,7 @@
 """Primitives on series: rows (station, sensor, ts, value) keyed by station and sensor.
 
-Every function takes and returns DataFrames and partitions by the series key alone, so that steps
-after one another reuse one exchange.
+Every function takes and returns DataFrames. What looks along a series works on its pieces (see
+``operators.pieces``), so that no task needs to hold or sort a whole one; ``width`` is a piece's span.
 """
 
 from __future__ import annotations
@@ -12,16 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.functions.stats import DAY, HOUR, exact_median, lowest_mode, micros
+from gaugewright.functions.selection import exact_median_of, lowest_mode_of
+from gaugewright.functions.stats import DAY, HOUR, exact_median, micros
+from gaugewright.operators import pieces
 from gaugewright.params import DEFAULTS, Params
+from gaugewright.session import checkpointed
 
 SERIES = ("station", "sensor")
 
 
-def _by(keys: Sequence[str], *order: str):
-    return Window.partitionBy(*keys).orderBy(*order)
-
-
 def daily_median(m: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Exact median of each series and day. (AGG-06)"""
     return m.groupBy(*keys, F.to_date("ts").alias("day")).agg(exact_median("value").alias("median_value"), F.count("*").alias("n"))
@@ -38,23 +37,26 @@ def series_summary(m: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     return m.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), (span / F.nullif(F.count("*") - 1, F.lit(0))).alias("step_min"))
 
 
+def with_last(m: DataFrame, keys: Sequence[str] = SERIES, name: str = "_last") -> DataFrame:
+    """Rows with the microseconds of their series' last time."""
+    return pieces.meet(m, m.groupBy(*keys).agg(F.max(micros("ts")).alias(name)), keys)
+
+
 def last_days(m: DataFrame, days: int, keys: Sequence[str] = SERIES) -> DataFrame:
     """The rows of each series in the days up to its own last one, bounds included. (SRC-09, SRC-10)"""
-    last = F.max(micros("ts")).over(Window.partitionBy(*keys))
-    return m.withColumn("_last", last).where(micros("ts") >= F.col("_last") - days * DAY).drop("_last")
+    return with_last(m, keys).where(micros("ts") >= F.col("_last") - days * DAY).drop("_last")
 
 
-def with_step(m: DataFrame, keys: Sequence[str] = SERIES, name: str = "step_s") -> DataFrame:
+def with_step(m: DataFrame, keys: Sequence[str] = SERIES, name: str = "step_s", width: int = pieces.WIDTH) -> DataFrame:
     """Seconds since the previous row of the series. (WIN-01)"""
-    at = micros("ts")
-    return m.withColumn(name, (at - F.lag(at).over(_by(keys, "ts", "value"))) / F.lit(1e6))
+    told = pieces.with_previous(pieces.cut(m, width), keys, micros("ts"), "_before_us")
+    return told.withColumn(name, (micros("ts") - F.col("_before_us")) / F.lit(1e6)).drop("_before_us", "_piece")
 
 
-def value_runs(m: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+def value_runs(m: DataFrame, keys: Sequence[str] = SERIES, width: int = pieces.WIDTH) -> DataFrame:
     """Maximal runs of equal consecutive values: value, n, first_ts, last_ts and hours. A null belongs to none. (WIN-03)"""
-    order = _by(keys, "ts", "value")
-    change = F.when(F.lag("value").over(order).eqNullSafe(F.col("value")) & F.col("value").isNotNull(), 0).otherwise(1)
-    runs = m.withColumn("_c", change).withColumn("_run", F.sum("_c").over(order)).where("value is not null")
+    other = lambda p, c: ~(p["value"].eqNullSafe(c["value"]) & c["value"].isNotNull())
+    runs = pieces.run_numbers(pieces.cut(m, width), keys, ["value"], other).where("value is not null")
     out = runs.groupBy(*keys, "_run").agg(F.first("value").alias("value"), F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     return out.withColumn("hours", (micros("last_ts") - micros("first_ts")) / float(HOUR)).drop("_run")
 
@@ -74,29 +76,29 @@ def trailing_run(m: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     return out.withColumn("hours", (micros("last_ts") - micros("first_ts")) / float(HOUR))
 
 
-def predicate_runs(df: DataFrame, predicate: Column, keys: Sequence[str] = SERIES, aggregates: Sequence[Column] = ()) -> DataFrame:
+def predicate_runs(df: DataFrame, predicate: Column, keys: Sequence[str] = SERIES, aggregates: Sequence[Column] = (), width: int = pieces.WIDTH) -> DataFrame:
     """Maximal runs of consecutive rows that satisfy a predicate: first_ts, last_ts, n and further aggregates. (WIN-05)"""
-    order = _by(keys, "ts", "value")
-    flagged = df.withColumn("_in", F.coalesce(predicate, F.lit(False)))
-    starts = (F.col("_in") & ~F.coalesce(F.lag("_in").over(order), F.lit(False))).cast("int")
-    return flagged.withColumn("_s", starts).withColumn("_run", F.sum("_s").over(order)).where("_in").groupBy(*keys, "_run").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"), *aggregates).drop("_run")
+    flagged = pieces.cut(df.withColumn("_in", F.coalesce(predicate, F.lit(False))), width)
+    runs = pieces.run_numbers(flagged, keys, ["_in"], lambda p, c: c["_in"] & ~p["_in"]).where("_in")
+    return runs.groupBy(*keys, "_run").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"), *aggregates).drop("_run")
 
 
-def continuous_blocks(m: DataFrame, factor: float = 1.5, keys: Sequence[str] = SERIES, step: str = "median") -> DataFrame:
+def continuous_blocks(m: DataFrame, factor: float = 1.5, keys: Sequence[str] = SERIES, step: str = "median", width: int = pieces.WIDTH) -> DataFrame:
     """Blocks between gaps larger than factor times the series' usual step: first_ts, last_ts, n. (WIN-06)"""
-    stepped = with_step(m, keys)
-    usual = exact_median("step_s") if step == "median" else lowest_mode("step_s")
-    typical = stepped.where("step_s is not null").groupBy(*keys).agg(usual.alias("_usual"))
-    order = _by(keys, "ts", "value")
-    gap = F.coalesce((F.col("step_s") > factor * F.col("_usual")).cast("int"), F.lit(0))
-    blocks = stepped.join(typical, list(keys), "left").withColumn("_g", gap).withColumn("block", F.sum("_g").over(order))
+    steps = with_step(m, keys, width=width).where("step_s is not null")
+    usual = exact_median_of(steps, keys, "step_s", name="_usual") if step == "median" else lowest_mode_of(steps, keys, "step_s", "_usual")
+    usual = checkpointed(usual)  # a row a series
+    rows = pieces.cut(pieces.meet(m, usual.select(*keys, "_usual"), keys), width).withColumn("_u", micros("ts"))
+    gap = lambda p, c: (c["_u"] - p["_u"]) / F.lit(1e6) > factor * c["_usual"]
+    blocks = pieces.run_numbers(rows, keys, ["_u", "_usual"], gap, "block").withColumn("block", F.col("block") - 1)
     return blocks.groupBy(*keys, "block").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
 
 
-def rolling_sum(m: DataFrame, hours: float, keys: Sequence[str] = SERIES, name: str = "rolling") -> DataFrame:
+def rolling_sum(m: DataFrame, hours: float, keys: Sequence[str] = SERIES, name: str = "rolling", width: int = pieces.WIDTH) -> DataFrame:
     """Sum over the half-open time frame (ts - hours, ts]. (WIN-08)"""
-    frame = Window.partitionBy(*keys).orderBy(micros("ts")).rangeBetween(-int(hours * HOUR) + 1, 0)
-    return m.withColumn(name, F.sum("value").over(frame))
+    reach = int(hours * HOUR) - 1
+    frame = Window.partitionBy(*keys, "_piece").orderBy(micros("ts")).rangeBetween(-reach, 0)
+    return pieces.widened_by_time(m, reach, width).withColumn(name, F.sum("value").over(frame)).where("_own").drop("_piece", "_own")
 
 
 def dense_daily(m: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
@@ -146,7 +148,7 @@ def insert_if_absent(facts: DataFrame, batch: DataFrame, ordinal: str, keys: Seq
     return fresh.join(facts.select(*keys), list(keys), "left_anti")
 
 
-def reconstruct(m: DataFrame, step_us: int, max_steps: int = DEFAULTS.max_filled_steps, keys: Sequence[str] = SERIES) -> DataFrame:
+def reconstruct(m: DataFrame, step_us: int, max_steps: int = DEFAULTS.max_filled_steps, keys: Sequence[str] = SERIES, width: int = pieces.WIDTH) -> DataFrame:
     """The series on a regular grid from its first point: value, and filled where it was interpolated. (WIN-16, WIN-17)
 
     Points off the grid are dropped (Q-24); gaps of up to ``max_steps`` grid points are filled by
@@ -154,11 +156,15 @@ def reconstruct(m: DataFrame, step_us: int, max_steps: int = DEFAULTS.max_filled
     """
     at = m.select(*keys, micros("ts").alias("u"), "value").groupBy(*keys, "u").agg(F.first("value").alias("value"))
     ends = at.groupBy(*keys).agg(F.min("u").alias("a"), F.max("u").alias("b"))
-    grid = ends.select(*keys, F.explode(F.sequence("a", "b", F.lit(step_us))).alias("u"))
-    on = grid.join(at, [*keys, "u"], "left")
-    back, ahead = _by(keys, "u").rowsBetween(Window.unboundedPreceding, 0), _by(keys, "u").rowsBetween(0, Window.unboundedFollowing)
-    known = F.when(F.col("value").isNotNull(), F.struct("u", "value"))
-    near = on.withColumns({"_p": F.last(known, True).over(back), "_n": F.first(known, True).over(ahead)})
+    spans = ends.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("a") / width).cast("long"), F.floor(F.col("b") / width).cast("long"))))
+    first = F.col("a") + F.ceil(F.greatest(F.col("_piece") * width - F.col("a"), F.lit(0)) / step_us) * step_us
+    spans = spans.withColumn("_from", first.cast("long")).withColumn("_to", F.least("b", (F.col("_piece") + 1) * width - 1)).where("_from <= _to")
+    grid = spans.select(*keys, "_piece", F.explode(F.sequence("_from", "_to", F.lit(step_us))).alias("u"))
+    on = grid.join(at, [*keys, "u"], "left").withColumn("_known", F.when(F.col("value").isNotNull(), F.struct("u", "value")))
+    told = pieces.handed_on(on, keys, {"_last": F.max("_known"), "_first": F.min("_known")}, {"_p0": lambda w: F.last("_last", True).over(pieces.before(w)), "_n0": lambda w: F.first("_first", True).over(pieces.after(w))})
+    rows = pieces.within(keys, "u")
+    back, ahead = rows.rowsBetween(Window.unboundedPreceding, 0), rows.rowsBetween(0, Window.unboundedFollowing)
+    near = told.withColumns({"_p": F.coalesce(F.last("_known", True).over(back), F.col("_p0")), "_n": F.coalesce(F.first("_known", True).over(ahead), F.col("_n0"))})
     missing = (F.col("_n.u") - F.col("_p.u")) / step_us - 1
     line = F.col("_p.value") + (F.col("_n.value") - F.col("_p.value")) * (F.col("u") - F.col("_p.u")) / (F.col("_n.u") - F.col("_p.u"))
     filled = F.col("value").isNull() & F.coalesce(missing <= max_steps, F.lit(False))
@@ -174,37 +180,55 @@ def common_window(m: DataFrame, keys: Sequence[str] = SERIES, group: str = "stat
     return out.withColumns({"start_ts": F.when(~empty, F.col("start_ts")), "end_ts": F.when(~empty, F.col("end_ts"))})
 
 
-def last_before(events: DataFrame, m: DataFrame, predicate: Column, keys: Sequence[str] = SERIES) -> DataFrame:
+def last_before(events: DataFrame, m: DataFrame, predicate: Column, keys: Sequence[str] = SERIES, width: int = pieces.WIDTH) -> DataFrame:
     """As-of backward: the last time strictly before each event's ts at which the predicate held. (JN-11)"""
     marks = m.where(predicate).select(*keys, "ts", F.lit(0).alias("_e"))
-    both = events.select(*keys, "ts", F.lit(1).alias("_e")).unionByName(marks)
-    frame = Window.partitionBy(*keys).orderBy(micros("ts")).rangeBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("last_ts", F.max(F.when(F.col("_e") == 0, F.col("ts"))).over(frame)).where("_e = 1").drop("_e")
+    both = pieces.cut(events.select(*keys, "ts", F.lit(1).alias("_e")).unionByName(marks), width)
+    mark = F.when(F.col("_e") == 0, F.col("ts"))
+    told = pieces.handed_on(both, keys, {"_marks": F.max(mark)}, {"_before": lambda w: F.max("_marks").over(pieces.before(w))})
+    frame = Window.partitionBy(*keys, "_piece").orderBy(micros("ts")).rangeBetween(Window.unboundedPreceding, -1)
+    return told.withColumn("last_ts", F.coalesce(F.max(mark).over(frame), F.col("_before"))).where("_e = 1").drop("_e", "_before", "_piece")
 
 
-def lagged(m: DataFrame, steps: int, keys: Sequence[str] = SERIES) -> DataFrame:
+def lagged(m: DataFrame, steps: int, keys: Sequence[str] = SERIES, width: int = pieces.WIDTH) -> DataFrame:
     """The value of ``steps`` rows before, the series' first value where there is none. (WIN-19)"""
-    order = _by(keys, "ts", "value")
-    return m.withColumn("lagged", F.coalesce(F.lag("value", steps).over(order), F.first("value").over(order)))
+    first = m.groupBy(*keys).agg(F.min_by(F.struct("value"), F.struct("ts", "value"))["value"].alias("_first"))
+    wide = pieces.widened_by_rows(pieces.cut(m, width), keys, back=steps).withColumn("lagged", F.lag("value", steps).over(pieces.within(keys)))
+    return pieces.meet(wide.where("_own"), first, keys).withColumn("lagged", F.coalesce("lagged", "_first")).drop("_first", "_own", "_piece")
 
 
-def recursive_filter(m: DataFrame, a: float, b: float, keys: Sequence[str] = SERIES) -> DataFrame:
+def _falling_greatest(fall: float, over: Column, position: Column) -> tuple[Column, Column, Column]:
+    """For the greatest of over[s] * a**(position - s), as aggregates of logarithms: what lies over 0, at 0 and under it."""
+    log = F.ln(F.abs(over)) - position * fall
+    return F.max(F.when(over > 0, log)), F.max(F.when(over == 0, F.lit(1))), F.min(F.when(over < 0, log))
+
+
+def recursive_filter(m: DataFrame, a: float, b: float, keys: Sequence[str] = SERIES, width: int = pieces.WIDTH) -> DataFrame:
     """q[t] = max(value[t], a * q[t - 1] + b) along each series, for a between 0 and 1. (WIN-20)
 
     The linear recession makes it a running maximum, which a window can say: with c = b / (1 - a),
     q[t] = c + the greatest (value[s] - c) * a**(t - s) for s up to t. The powers are taken as
     logarithms, so that a long series keeps its numbers in range; what lies under c counts only while
-    nothing has reached it.
+    nothing has reached it. A piece hands on its row count and its own last q.
     """
     c, fall = b / (1 - a), math.log(a)
-    so_far = _by(keys, "ts", "value").rowsBetween(Window.unboundedPreceding, 0)
-    n = m.withColumns({"_t": F.row_number().over(_by(keys, "ts", "value")), "_over": F.col("value") - c})
-    n = n.withColumn("_log", F.ln(F.abs("_over")) - F.col("_t") * fall)
-    over, at, under = F.max(F.when(F.col("_over") > 0, F.col("_log"))), F.max(F.when(F.col("_over") == 0, F.lit(1))), F.min(F.when(F.col("_over") < 0, F.col("_log")))
-    n = n.withColumns({"_up": over.over(so_far), "_at": at.over(so_far), "_down": under.over(so_far)})
-    grown = lambda x: F.exp(F.col(x) + F.col("_t") * fall)
-    above = F.when(F.col("_up").isNotNull(), grown("_up")).when(F.col("_at").isNotNull(), 0.0).otherwise(-grown("_down"))
-    return n.withColumn("filtered", c + above).drop("_t", "_over", "_log", "_up", "_at", "_down")
+    order = pieces.within(keys)
+    n = pieces.cut(m, width).withColumns({"_t": F.row_number().over(order), "_over": F.col("value") - c})
+
+    def greatest(df: DataFrame, over: str, at: str, window, now: Column) -> DataFrame:
+        up, flat, down = (x.over(window) for x in _falling_greatest(fall, F.col(over), F.col(at)))
+        df = df.withColumns({"_up": up, "_at": flat, "_down": down})
+        grown = lambda x: F.exp(F.col(x) + now * fall)
+        return df.withColumn("_q", F.when(F.col("_up").isNotNull(), grown("_up")).when(F.col("_at").isNotNull(), F.lit(0.0)).otherwise(-grown("_down"))).drop("_up", "_at", "_down")
+
+    local = greatest(n, "_over", "_t", order.rowsBetween(Window.unboundedPreceding, 0), F.col("_t"))
+    by = [*keys, "_piece"]
+    ends = local.groupBy(*by).agg(F.max("_t").alias("_rows"), F.max_by("_q", "_t").alias("_end"))
+    scan = pieces.along(keys)
+    ends = ends.withColumn("_upto", F.sum("_rows").over(scan.rowsBetween(Window.unboundedPreceding, 0)))
+    told = greatest(ends, "_end", "_upto", pieces.before(scan), F.col("_upto") - F.col("_rows")).select(*by, F.col("_q").alias("_in"))
+    out = pieces.meet(local, told, by)
+    return out.withColumn("filtered", c + F.greatest(F.col("_q"), F.col("_in") * F.exp(F.col("_t") * fall))).drop("_t", "_over", "_q", "_in", "_piece")
 
 
 def usable_share(m: DataFrame, keys: Sequence[str] = SERIES, tail_h: float = 1.0) -> DataFrame:
@@ -220,19 +244,20 @@ def limits_frame(spark, params: Params = DEFAULTS) -> DataFrame:
     return spark.createDataFrame([(s, lo, hi, fix) for s, (lo, hi, fix) in params.limits.items()], "sensor string, d_low double, d_high double, corrects boolean")
 
 
-def centred_mean(m: DataFrame, rows: int = 72, keys: Sequence[str] = SERIES) -> DataFrame:
+def centred_mean(m: DataFrame, rows: int = 72, keys: Sequence[str] = SERIES, width: int = pieces.WIDTH) -> DataFrame:
     """Mean over a centred frame of rows, as many as there are at the ends; an even frame leans back. (WIN-09)"""
-    frame = _by(keys, "ts", "value").rowsBetween(-(rows // 2), rows - rows // 2 - 1)
-    return m.withColumn("centred", F.avg("value").over(frame))
+    back, ahead = rows // 2, rows - rows // 2 - 1
+    wide = pieces.widened_by_rows(pieces.cut(m, width), keys, back, ahead)
+    return wide.withColumn("centred", F.avg("value").over(pieces.within(keys).rowsBetween(-back, ahead))).where("_own").drop("_own", "_piece")
 
 
-def convolve(m: DataFrame, kernel: Sequence[float], keys: Sequence[str] = SERIES) -> DataFrame:
+def convolve(m: DataFrame, kernel: Sequence[float], keys: Sequence[str] = SERIES, width: int = pieces.WIDTH) -> DataFrame:
     """The series' past weighted by a kernel of fixed length: sum of kernel[k] * value[t - k]. (WIN-21)"""
-    order = _by(keys, "ts", "value")
+    order = pieces.within(keys)
     total = F.lit(0.0)
     for k, weight in enumerate(kernel):
         total = total + F.lit(float(weight)) * F.coalesce(F.lag("value", k).over(order) if k else F.col("value"), F.lit(0.0))
-    return m.withColumn("convolved", total)
+    return pieces.widened_by_rows(pieces.cut(m, width), keys, back=len(kernel) - 1).withColumn("convolved", total).where("_own").drop("_own", "_piece")
 
 
 def split_at(m: DataFrame, day: str) -> dict[str, DataFrame]:
