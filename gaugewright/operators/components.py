@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.session import checkpointed
+from gaugewright.session import checkpointed, stored
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Alternates the large-star and small-star steps of Kiveris et al. (2014). A node's minimum comes
     from a partial aggregation and goes back to its edges by a join, so no neighbour list is ever
     collected and a node with very many edges is split like any skewed join. Edges never outnumber
-    those given. Every round is checkpointed; the loop ends when a round changes nothing.
+    those given. Every round is written to the shared folder; the loop ends when a round changes nothing.
 
     Edges with a null end are dropped; self loops give a component of one node; an empty edge list
     gives no rows. Any orderable type can name the nodes.
@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     now = given.where("u <> v")
     before = _digest(now)
     for _ in range(max_rounds if before[0] else 0):
-        now = checkpointed(_small_star(_large_star(now)))
+        now = stored(_small_star(_large_star(now)), now)
         after = _digest(now)
         if after == before:
             break

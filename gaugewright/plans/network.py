@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from gaugewright.functions.stats import HOUR
-from gaugewright.operators import crossing, graph, interstation, listing, state
+from gaugewright.operators import crossing, forest, graph, interstation, listing, state
 from gaugewright.params import DEFAULTS
 from gaugewright.plans.registry import EDGES, GAUGES, NODES, STATIONS, M, gauges, measurements, nodes, query, rounded, stations_frame, table, tree_edges
 from gaugewright.session import checkpointed, shared_path
@@ -190,8 +190,29 @@ def components(spark, sf_dir):
 
 @query(f"{_PATHS} SELECT dst AS down, count(DISTINCT src) AS n_up FROM r GROUP BY dst")
 def upstream_count(spark, sf_dir):
-    paths = graph.reachable(tree_edges(nodes(spark, sf_dir)))
-    return graph.upstream_count(paths.select(F.col("src").alias("up"), F.col("dst").alias("down")))
+    m = nodes(spark, sf_dir)
+    return graph.upstream_count(tree_edges(m), m.select("station", F.col("station").alias("node")).distinct())
+
+
+# every station's way to the one of a third of its number, if its water goes there
+_ASKED = "k AS (SELECT DISTINCT station AS a, 'S' || lpad((substr(station, 2)::INT // 4 + substr(station, 2)::INT % 3)::VARCHAR, 6, '0') AS b FROM m)"
+
+
+@query(f"{_PATHS}, {_ASKED} SELECT a, b, r.src IS NOT NULL AS leads, round(r.length, 2) AS length, r.hops::BIGINT AS hops FROM k LEFT JOIN r ON r.src = a AND r.dst = b")
+def leads_to(spark, sf_dir):
+    m = nodes(spark, sf_dir)
+    n = F.substring("station", 2, 9).cast("int")
+    asked = m.select(F.col("station").alias("a"), F.concat(F.lit("S"), F.lpad((F.floor(n / 4) + n % 3).cast("string"), 6, "0")).alias("b")).distinct()
+    return forest.leads_to(asked, forest.forest_index(tree_edges(m))).withColumn("length", F.round("length", 2))
+
+
+@query(f"{_PATHS} SELECT 'up' AS way, src AS node, round(length, 2) AS length, hops::BIGINT AS hops FROM r WHERE dst = 'S000003' UNION ALL SELECT 'down', dst, round(length, 2), hops::BIGINT FROM r WHERE src = (SELECT max(src) FROM e)")
+def upstream_and_downstream(spark, sf_dir):
+    edges = tree_edges(nodes(spark, sf_dir))
+    index = forest.forest_index(edges)
+    last = edges.agg(F.max("src")).first()[0]
+    both = forest.upstream_of(index, "S000003").select(F.lit("up").alias("way"), "*").unionByName(forest.downstream_of(index, last).select(F.lit("down").alias("way"), "*"))
+    return both.withColumn("length", F.round("length", 2))
 
 
 @query(f"WITH RECURSIVE {NODES}, {EDGES}, l AS (SELECT src AS node, 0 AS level FROM e UNION SELECT dst, level + 1 FROM l JOIN e ON l.node = e.src) SELECT node, max(level)::BIGINT AS level FROM l GROUP BY node")

@@ -47,6 +47,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """The same rows, written once as Parquet in the shared folder and read from there; for the state of a loop.
+
+    A checkpoint keeps the size that was estimated for its plan, and the estimate of a join is the
+    product of its sides, so that in a loop of joins it grows to a number of astronomical length. Of a
+    written table the size is known. ``instead_of``, the state of the round before, is deleted then.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "rounds")
+    df.write.parquet(path)
+    if (old := getattr(instead_of, "stored_at", None)) is not None:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder for a written table."""
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"

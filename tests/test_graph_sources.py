@@ -111,11 +111,6 @@ def test_a_repair_sees_those_before_it(spark):
     assert got == {1: ("300_0", None), 2: (None, "cycle")}
 
 
-def test_upstream_and_downstream(spark):
-    paths = spark.createDataFrame([("a", "c", 3.0), ("b", "c", 1.0), ("a", "b", 2.0)], "src string, dst string, length double")
-    assert [r["station"] for r in graph.upstream_of(paths, "c").collect()] == ["b", "a"] and [r["station"] for r in graph.downstream_of(paths, "a").collect()] == ["b", "c"]
-
-
 TEXT = """20260830;09:00:00;1.5
 <STATION>1000000001</STATION><SENSOR>0006</SENSOR>
 20260831;10:00:00;0.20
