@@ -167,9 +167,11 @@ def synchronise(proposals: DataFrame, detected: DataFrame, now: Column, dry_run:
     """What a comparison with the network does to the proposals: the actions (dry run), or the table after them. (ST-03, ST-04, ST-07)
 
     ``detected``: station, state, declared, justified, reason, sensors (map), rules, provenance. A
-    justified divergence opens a proposal or enriches the station's pending one, which keeps its
-    date and whatever nothing new is known of; a pending one without it becomes void. At most one
-    proposal of a station is pending afterwards.
+    justified divergence opens a proposal or enriches the station's pending one; a pending one without
+    it becomes void. At most one proposal of a station is pending afterwards. What is enriched takes
+    the new state, reason, sensors and rules, even where these say nothing (no sensors are an empty
+    map, no rules an empty text); it keeps its date, the state declared when it was opened, and its
+    provenance unless there is a new one. A justified state that isn't one of ``STATES`` is an error.
     """
     proposals = one_pending(proposals)
     pending = proposals.where(F.col("status") == PENDING)
@@ -177,12 +179,15 @@ def synchronise(proposals: DataFrame, detected: DataFrame, now: Column, dry_run:
     if dry_run:
         return actions
     d = detected.select("station", *[F.col(c).alias(f"_{c}") for c in ("state", "declared", "reason", "sensors", "rules", "provenance")])
-    told = actions.select("station", "action").join(d, "station", "left")
+    acts = F.col("action").isin("open", "enrich")
+    strange = F.raise_error(F.concat(F.lit("unknown state: "), F.coalesce("_state", F.lit("none")))).cast("string")
+    known = F.when(acts & ~F.coalesce(F.col("_state").isin(*STATES), F.lit(False)), strange).otherwise(F.col("_state"))
+    told = actions.select("station", "action").join(d, "station", "left").withColumns({"_state": known, "_sensors": F.coalesce("_sensors", F.create_map().cast("map<string,string>")), "_rules": F.coalesce("_rules", F.lit(""))})
     mine = F.col("status") == PENDING
     enriched, closed = mine & (F.col("action") == "enrich"), mine & (F.col("action") == "close")
-    new = {"proposed": "_state", "declared": "_declared", "reason": "_reason", "sensors": "_sensors", "rules": "_rules"}
+    new = {"proposed": "_state", "reason": "_reason", "sensors": "_sensors", "rules": "_rules"}
     kept = proposals.join(told, "station", "left").withColumns(
-        {c: F.when(enriched, F.coalesce(x, c)).otherwise(F.col(c)) for c, x in new.items()}
+        {c: F.when(enriched, F.col(x)).otherwise(F.col(c)) for c, x in new.items()}
         | {"provenance": F.when(enriched, F.coalesce("_provenance", "provenance")).otherwise(F.col("provenance")), "updated_at": F.when(enriched | closed, now).otherwise(F.col("updated_at")), "status": F.when(closed, VOID).otherwise(F.col("status"))}
     )
     opened = told.where("action = 'open'").select(

@@ -94,21 +94,24 @@ def marked_dams(spark, sf_dir):
 
 
 # Proposals: high readings of the past opened some, the network's state of today decides on them.
-_OPEN = "po AS (SELECT event_id, station, ts, CASE WHEN event_id % 2 = 0 THEN 'en_attente' ELSE 'confirme' END AS status FROM m WHERE sensor = '0002' AND value > 150 AND substr(station, 2, 2)::INT % 4 <> 1)"
+_OPEN = "po AS (SELECT event_id, station, ts, CASE WHEN event_id % 2 = 0 AND substr(station, 2, 2)::INT % 4 <> 1 THEN 'en_attente' ELSE 'confirme' END AS status FROM m WHERE sensor = '0002' AND value > 150)"
 
 
 @query(f"""{_STATE}, cv AS (SELECT m.station, (epoch_us(max(m.ts)) - epoch_us(min(m.ts))) / 3.6e9 AS hours FROM m JOIN z ON z.station = m.station AND z.sensor = m.sensor AND z.state <> 'muet', c WHERE epoch_us(m.ts) >= epoch_us(now) - 604800000000 GROUP BY m.station), {_OPEN},
 j AS (SELECT t.station, t.state, coalesce(t.state <> declared, false) AND (list_position(['marche', 'critique', 'arret'], t.state) >= list_position(['marche', 'critique', 'arret'], declared) OR coalesce(hours, 0) >= 24) AS wanted FROM t LEFT JOIN dc USING (station) LEFT JOIN cv USING (station)),
-op AS (SELECT *, CASE WHEN status = 'en_attente' AND row_number() OVER (PARTITION BY station, status ORDER BY ts, event_id) > 1 THEN 'caduque' ELSE status END AS now_status FROM po)
-SELECT station, CASE WHEN now_status = 'en_attente' AND wanted THEN j.state ELSE 'critique' END AS proposed, CASE WHEN now_status = 'en_attente' AND NOT coalesce(wanted, false) THEN 'caduque' ELSE now_status END AS status, json_object('0002', event_id::VARCHAR)::VARCHAR AS sensors FROM op LEFT JOIN j USING (station)
-UNION ALL SELECT station, j.state, 'en_attente', '{{}}' FROM j WHERE wanted AND station NOT IN (SELECT station FROM op WHERE now_status = 'en_attente')""")
+op AS (SELECT *, CASE WHEN status = 'en_attente' AND row_number() OVER (PARTITION BY station, status ORDER BY ts, event_id) > 1 THEN 'caduque' ELSE status END AS now_status FROM po),
+told AS (SELECT *, CASE WHEN substr(station, 2, 2)::INT % 2 = 0 THEN '{{}}' ELSE json_object('station', state)::VARCHAR END AS said, CASE WHEN substr(station, 2, 2)::INT % 3 = 0 THEN 'seen as ' || state END AS why FROM j LEFT JOIN dc USING (station)), ev AS (SELECT op.*, coalesce(now_status = 'en_attente' AND wanted, false) AS enriched, told.* EXCLUDE (station) FROM op LEFT JOIN told USING (station))
+SELECT station, 'old' AS declared, CASE WHEN enriched THEN state ELSE 'critique' END AS proposed, CASE WHEN now_status = 'en_attente' AND NOT coalesce(wanted, false) THEN 'caduque' ELSE now_status END AS status, CASE WHEN enriched THEN why ELSE 'high' END AS reason, CASE WHEN enriched THEN said ELSE json_object('0002', event_id::VARCHAR)::VARCHAR END AS sensors, CASE WHEN enriched THEN '' ELSE 'BAT' END AS rules FROM ev
+UNION ALL SELECT station, declared, state, 'en_attente', why, said, '' FROM told WHERE wanted AND station NOT IN (SELECT station FROM op WHERE now_status = 'en_attente')""")
 def synchronised_proposals(spark, sf_dir):
     g, sensors = gauges(spark, sf_dir), _sensors(spark, sf_dir)
-    old = g.where((F.col("sensor") == "0002") & (F.col("value") > 150) & (F.substring("station", 2, 2).cast("int") % 4 != 1))
-    none = {c: F.lit(None).cast("string") for c in ("declared", "reason", "rules", "provenance")}
-    log = old.select(F.col("event_id").cast("string").alias("id"), "station", F.lit("critique").alias("proposed"), F.create_map(F.lit("0002"), F.col("event_id").cast("string")).alias("sensors"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), F.when(F.col("event_id") % 2 == 0, "en_attente").otherwise("confirme").alias("status")).withColumns(none)
+    n = F.substring("station", 2, 2).cast("int")
+    old = g.where((F.col("sensor") == "0002") & (F.col("value") > 150))
+    open_ = (F.col("event_id") % 2 == 0) & (n % 4 != 1)
+    log = old.select(F.col("event_id").cast("string").alias("id"), "station", F.lit("old").alias("declared"), F.lit("critique").alias("proposed"), F.lit("high").alias("reason"), F.create_map(F.lit("0002"), F.col("event_id").cast("string")).alias("sensors"), F.lit("BAT").alias("rules"), F.lit(None).cast("string").alias("provenance"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), F.when(open_, "en_attente").otherwise("confirme").alias("status"))
     found = state.justified(state.divergence(state.station_state(sensors), _declared(spark, sf_dir)), state.active_coverage(g, sensors))
-    # nothing is told of the sensors here, so that a proposal that is enriched keeps what it had
-    detected = found.select("station", "state", "declared", "justified", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("map<string,string>").alias("sensors"), F.lit(None).cast("string").alias("rules"), F.lit(None).cast("string").alias("provenance"))
+    # of some stations nothing is told: an enriched proposal loses what it had
+    told = F.when(n % 2 == 1, F.create_map(F.lit("station"), F.col("state")))
+    detected = found.select("station", "state", "declared", "justified", F.when(n % 3 == 0, F.concat(F.lit("seen as "), "state")).alias("reason"), told.alias("sensors"), F.lit(None).cast("string").alias("rules"), F.lit(None).cast("string").alias("provenance"))
     after = state.synchronise(log, detected, F.expr("timestamp_ntz'2024-02-01 00:00:00'"))
-    return after.select("station", "proposed", "status", F.coalesce(F.to_json("sensors"), F.lit("{}")).alias("sensors"))
+    return after.select("station", "declared", "proposed", "status", "reason", F.to_json("sensors").alias("sensors"), "rules")

@@ -159,6 +159,25 @@ def test_growing_files_wait(spark):
     assert {r["path"]: r["status"] for r in telemetry.file_status(files, readings, journal).collect()} == {"a": "instable", "b": "ingere", "c": "vide"}
 
 
+def test_a_late_holder_leaves_its_successor_alone(spark, tmp_path):
+    lock = str(tmp_path / "lock")
+    first, second, third = campaign.campaign_lock(spark, lock), campaign.campaign_lock(spark, lock, expiry_h=0.0), campaign.campaign_lock(spark, lock)
+    assert first.__enter__() and second.__enter__()
+    first.__exit__(None, None, None)
+    assert (tmp_path / "lock").exists() and not third.__enter__()
+    third.__exit__(None, None, None)
+    second.__exit__(None, None, None)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == []
+
+
+def test_outdated_results_are_removed(spark, tmp_path):
+    facts = spark.createDataFrame([("A", "0001", 1.0)], "station string, sensor string, value double").withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    kept = campaign.KeptResults(str(tmp_path / "kept"), keep_s=0.0, size=1)
+    for name, df in (("n", facts), ("n", facts.union(facts)), ("other", facts)):
+        kept.get(name, df, lambda m: m.groupBy("station").count())
+        assert len(list((tmp_path / "kept").glob("*"))) == 1
+
+
 def test_lock_snapshot_and_kept_results(spark, tmp_path):
     lock = str(tmp_path / "lock")
     with campaign.campaign_lock(spark, lock) as mine:

@@ -334,6 +334,19 @@ def test_proposals_are_synchronised(spark):
     assert [r["id"] for r in state.proposal_journal(after, "A").collect()] == ["p2", "p1"] and state.proposal_journal(after, limit=2).count() == 2
 
 
+def test_what_is_enriched_takes_what_is_new_even_nothing(spark):
+    t = lambda h: T0 + timedelta(hours=h)
+    log = proposal(spark, [("p1", "A", "critique", "real", t(1), "en_attente", {"0001": "old"})]).withColumns({"declared": F.lit("marche"), "reason": F.lit("old"), "rules": F.lit("L1")})
+    kind = "station string, state string, declared string, justified boolean, reason string, sensors map<string,string>, rules string, provenance string"
+    now = F.lit(t(9)).cast("timestamp_ntz")
+    after = state.synchronise(log, spark.createDataFrame([("A", "arret", "critique", True, None, None, None, None)], kind), now).first()
+    assert (after["proposed"], after["declared"], after["reason"], after["sensors"], after["rules"], after["provenance"], after["created_at"]) == ("arret", "marche", None, {}, "", "real", t(1))
+    strange = spark.createDataFrame([("A", "panne", "marche", True, None, None, None, None)], kind)
+    with pytest.raises(Exception, match="unknown state: panne"):
+        state.synchronise(log, strange, now).collect()
+    assert state.synchronise(log, strange.withColumn("justified", F.lit(False)), now).first()["status"] == "caduque"
+
+
 def test_history_rules_give_one_schema(spark):
     out = longterm.long_term_anomalies(make(spark, [1] + [2] * 80), replace(DEFAULTS, shift_min_days=2))
     assert tuple(out.columns) == anomalies.COLUMNS and "L1" in rules(out)
