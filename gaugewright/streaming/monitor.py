@@ -64,3 +64,20 @@ def sessions(stream: DataFrame, gap: str = "6 hours", late: str = "1 day") -> Da
     """Continuous stretches of each series: a stretch that has ended is a silence of at least the gap."""
     w = stream.withWatermark("ts", late).groupBy("station", "sensor", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return w.select("station", "sensor", F.col("w.start").alias("start_ts"), F.col("w.end").alias("silent_from"), "n")
+
+
+def sessions_by_step(stream: DataFrame, usual: DataFrame, factor: float = 1.5, late: str | None = "1 day") -> DataFrame:
+    """Continuous stretches of each series, a stretch ending at a gap larger than factor times the series' own usual step. (STR-session, WIN-06)
+
+    ``usual``: station, sensor and usual_s, the series' most frequent step so far, such as
+    ``lowest_mode_of`` gives over the facts; a series without one has sessions of single times. Rows:
+    station, sensor, first_ts, last_ts, n; each once its end has passed. On a whole history they are
+    the blocks of ``continuous_blocks``. late is None on a table or where the stream has its watermark.
+    """
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = (timed.withWatermark("ts", late) if late else timed).join(usual.select("station", "sensor", "usual_s"), ["station", "sensor"], "left")
+    # a session ends before ts + gap: a microsecond more keeps a gap of exactly the factor inside
+    gap = F.concat((F.floor(F.coalesce("usual_s", F.lit(0.0)) * (factor * 1e6)) + 1).cast("long").cast("string"), F.lit(" microseconds"))
+    w = rows.groupBy("station", "sensor", F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
+    plain = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return w.select("station", "sensor", plain("first_ts"), plain("last_ts"), "n")
