@@ -97,6 +97,33 @@ def marked_dams(spark, sf_dir):
 _OPEN = "po AS (SELECT event_id, station, ts, CASE WHEN event_id % 2 = 0 AND substr(station, 2, 2)::INT % 4 <> 1 THEN 'en_attente' ELSE 'confirme' END AS status FROM m WHERE sensor = '0002' AND value > 150)"
 
 
+# every order is a proposal for its customer; those that are open wait
+_ORDERS = "SELECT o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS station, o_orderdate::TIMESTAMP AS created_at, CASE o_orderstatus WHEN 'O' THEN 'en_attente' WHEN 'P' THEN 'caduque' ELSE 'confirme' END AS status, json_object('0001', o_orderpriority)::VARCHAR AS sensors FROM orders"
+
+
+def _orders(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "O", "en_attente").when(F.col("o_orderstatus") == "P", "caduque").otherwise("confirme")
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("station"), F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"), status.alias("status"), F.to_json(F.create_map(F.lit("0001"), F.col("o_orderpriority"))).alias("sensors"))
+
+
+def _shown(df):
+    return df.select("id", "station", "created_at", "status_label", F.col("sensors")["0001"].alias("sensor"))
+
+
+_LABEL = "CASE status WHEN 'en_attente' THEN 'En attente de vérification' WHEN 'caduque' THEN 'Sans objet (problème disparu)' ELSE status END AS status_label, json_extract_string(sensors, '$.0001') AS sensor"
+
+
+@query(f"SELECT id, station, created_at, {_LABEL} FROM ({_ORDERS}) WHERE status = 'en_attente'")
+def waiting_proposals(spark, sf_dir):
+    return _shown(state.pending_proposals(_orders(spark, sf_dir)))
+
+
+@query(f"SELECT id, station, created_at, {_LABEL} FROM ({_ORDERS}) ORDER BY created_at DESC, id DESC LIMIT 200")
+def proposal_journal(spark, sf_dir):
+    return _shown(state.proposal_journal(_orders(spark, sf_dir)))
+
+
 @query(f"""{_STATE}, cv AS (SELECT m.station, (epoch_us(max(m.ts)) - epoch_us(min(m.ts))) / 3.6e9 AS hours FROM m JOIN z ON z.station = m.station AND z.sensor = m.sensor AND z.state <> 'muet', c WHERE epoch_us(m.ts) >= epoch_us(now) - 604800000000 GROUP BY m.station), {_OPEN},
 j AS (SELECT t.station, t.state, coalesce(t.state <> declared, false) AND (list_position(['marche', 'critique', 'arret'], t.state) >= list_position(['marche', 'critique', 'arret'], declared) OR coalesce(hours, 0) >= 24) AS wanted FROM t LEFT JOIN dc USING (station) LEFT JOIN cv USING (station)),
 op AS (SELECT *, CASE WHEN status = 'en_attente' AND row_number() OVER (PARTITION BY station, status ORDER BY ts, event_id) > 1 THEN 'caduque' ELSE status END AS now_status FROM po),

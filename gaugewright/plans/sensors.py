@@ -332,10 +332,19 @@ def search_filter(spark, sf_dir):
     return listing.search(s, " 0{4}[1-3] ")
 
 
-@query("SELECT c_custkey::VARCHAR AS code_station, c_name AS nom, c_mktsegment AS etat, c_nationkey::VARCHAR AS gouvernorat, contains(c_mktsegment, 'UILD') AS rain FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 7")
+@query("SELECT c_custkey::VARCHAR AS code_station, c_name AS nom, c_mktsegment AS etat, c_nationkey::VARCHAR AS gouvernorat, c_custkey % 3 <> 1 AS rain, c_custkey % 3 > 0 AS levels FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 7")
 def stations_in_state(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("code_station"), F.col("c_name").alias("nom"), F.col("c_mktsegment").alias("etat"), F.col("c_nationkey").cast("string").alias("gouvernorat"))
-    return listing.in_state(c, "BUILDING", "7").withColumn("rain", F.col("etat").contains("UILD"))
+    n = F.col("code_station").cast("long") % 3
+    rain, levels = listing.measures(F.when(n == 0, "Pluviométrique").when(n == 1, "Hydrométrique").otherwise("Pluvio-hydrométrique"))
+    return listing.in_state(c, "BUILDING", "7").withColumns({"rain": rain, "levels": levels})
+
+
+@query("SELECT s_suppkey::VARCHAR AS code_station, s_nationkey AS etat, CASE WHEN p_partkey IS NOT NULL THEN p_size::DOUBLE END AS altitude_m FROM supplier LEFT JOIN part ON p_partkey = s_suppkey AND p_size > 25")
+def altitudes_of_states(spark, sf_dir):
+    states = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("code_station"), F.col("s_nationkey").alias("etat"))
+    known = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").cast("string").alias("code_station"), F.col("p_size").cast("double").alias("altitude_m"))
+    return listing.with_altitude(states, known)
 
 
 @query(f"WITH {M} SELECT event_id, ts, value FROM m WHERE station = 'S07' AND sensor = 'view' AND ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'")
