@@ -135,6 +135,13 @@ def flood_propagation(spark, sf_dir):
     return rounded(found.select("up", "down", "first_ts", "verdict", "reason", "lag_h", "peak", "threshold"))
 
 
+# downstream has to rise so much that some floods don't pass on
+@query(_PROPAGATION.replace("greatest(5, 0.1 * rise)", "greatest(150, 0.1 * rise)").replace("SELECT up, down, NULL::TIMESTAMP", "SELECT count(*) AS n, verdict, max(peak) AS peak FROM (SELECT up, down, NULL::TIMESTAMP") + ") GROUP BY verdict")
+def flood_verdicts(spark, sf_dir):
+    found = interstation.flood_propagation(_level(spark, sf_dir), _pairs(spark, sf_dir), replace(DEFAULTS, flood_rise_down=150.0))
+    return rounded(found.groupBy("verdict").agg(F.count("*").alias("n"), F.max("peak").alias("peak")))
+
+
 @query("""WITH r AS (SELECT CASE WHEN l_quantity < 10 THEN 'rows missing du order' || (l_orderkey % 7) WHEN l_quantity < 30 THEN 'distance : ' || (l_orderkey % 5) ELSE 'no level' END AS reason FROM lineitem),
 q AS (SELECT replace(reason, 'missing du', 'missing du ') AS reason FROM r) SELECT split_part(split_part(reason, ' du ', 1), ' : ', 1) AS kind, count(*) AS n, min(reason) AS example FROM q GROUP BY ALL""")
 def decline_reasons(spark, sf_dir):
