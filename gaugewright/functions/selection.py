@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewright.operators.pieces import meet
-from gaugewright.session import checkpointed
+from gaugewright.session import stored
 
 #: A sketch's ranks are off by less than one in this many rows.
 ACCURACY = 10_000
@@ -34,7 +34,7 @@ def exact_quantile_of(df: DataFrame, keys: Sequence[str], value: str, p: float =
     known = df.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile_approx(F.col(value).cast("double"), at, F.lit(accuracy)).alias("_b"), F.min(F.col(value).cast("double")).alias("_lo"), F.max(F.col(value).cast("double")).alias("_hi"))
     # the sketch's error and the margin leave room for the neighbours from some 3 / error rows on; fewer are all counted
     few = F.col("n") <= 4 * accuracy
-    known = known.select(*keys, "n", F.when(few, F.col("_lo")).otherwise(F.col("_b")[0]).alias("_lo"), F.when(few, F.col("_hi")).otherwise(F.col("_b")[1]).alias("_hi"))
+    known = stored(known.select(*keys, "n", F.when(few, F.col("_lo")).otherwise(F.col("_b")[0]).alias("_lo"), F.when(few, F.col("_hi")).otherwise(F.col("_b")[1]).alias("_hi")))  # a row a group: Spark knows its size and broadcasts it if it is small
     # the quantile lies between the ranks floor and ceil of (n - 1) * p, counted from 0
     placed = meet(rows, known, keys).where("_v <= _hi or isnan(_hi)")
     inside = F.when(F.col("_v") < F.col("_lo"), F.lit(None)).otherwise(F.col("_v"))
@@ -57,7 +57,7 @@ def exact_median_of(df: DataFrame, keys: Sequence[str], value: str, name: str =
 
 def median_mad_of(df: DataFrame, keys: Sequence[str], value: str = "value", accuracy: int = ACCURACY) -> DataFrame:
     """The keys, ``med`` and ``mad``, the median absolute deviation, of each group. (AGG-07)"""
-    med = checkpointed(exact_median_of(df, keys, value, "med", accuracy).drop("n"))  # a row a group
+    med = stored(exact_median_of(df, keys, value, "med", accuracy).drop("n"))  # a row a group
     off = meet(df.select(*keys, value), med, keys).withColumn("_off", F.abs(F.col(value) - F.col("med")))
     return meet(med, exact_median_of(off, keys, "_off", "mad", accuracy).drop("n"), keys)
 

@@ -12,7 +12,7 @@ from gaugewright.operators.anomalies import anomaly
 from gaugewright.operators.intervals import interval_join
 from gaugewright.operators.series import dense_daily, predicate_runs
 from gaugewright.params import DEFAULTS, Params
-from gaugewright.session import checkpointed
+from gaugewright.session import stored
 
 
 def nearest_neighbours(stations: DataFrame, params: Params = DEFAULTS, among: DataFrame | None = None) -> DataFrame:
@@ -94,8 +94,8 @@ def flood_propagation(level: DataFrame, pairs: DataFrame, params: Params = DEFAU
     stats = level.groupBy("station").agg(F.count("*").alias("n"), F.min("value").alias("low"))
     stats = pieces.meet(stats, exact_median_of(level, ["station"], "value", "med").drop("n"), ["station"])
     stepped = pieces.with_previous(pieces.cut(level), ["station"], micros("ts"), "_was").withColumn("_s", micros("ts") - F.col("_was"))
-    stats = checkpointed(pieces.meet(stats, exact_median_of(stepped, ["station"], "_s", "step_us").drop("n"), ["station"]))  # a row a station
-    floods = checkpointed(flood_events(level, params))
+    stats = stored(pieces.meet(stats, exact_median_of(stepped, ["station"], "_s", "step_us").drop("n"), ["station"]))  # a row a station
+    floods = stored(flood_events(level, params))
     count = floods.groupBy("station").agg(F.count("*").alias("n_floods"))
     up = stats.join(count, "station", "left").select(F.col("station").alias("up"), F.col("n").alias("n_up"), "n_floods")
     down = stats.select(F.col("station").alias("down"), F.col("n").alias("n_down"), "med", "low", "step_us")

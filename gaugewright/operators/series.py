@@ -16,7 +16,7 @@ from gaugewright.functions.selection import exact_median_of, lowest_mode_of
 from gaugewright.functions.stats import DAY, HOUR, exact_median, micros
 from gaugewright.operators import pieces
 from gaugewright.params import DEFAULTS, Params
-from gaugewright.session import checkpointed
+from gaugewright.session import stored
 
 SERIES = ("station", "sensor")
 
@@ -87,7 +87,7 @@ def continuous_blocks(m: DataFrame, factor: float = 1.5, keys: Sequence[str] = S
     """Blocks between gaps larger than factor times the series' usual step: first_ts, last_ts, n. (WIN-06)"""
     steps = with_step(m, keys, width=width).where("step_s is not null")
     usual = exact_median_of(steps, keys, "step_s", name="_usual") if step == "median" else lowest_mode_of(steps, keys, "step_s", "_usual")
-    usual = checkpointed(usual)  # a row a series
+    usual = stored(usual)  # a row a series
     rows = pieces.cut(pieces.meet(m, usual.select(*keys, "_usual"), keys), width).withColumn("_u", micros("ts"))
     gap = lambda p, c: (c["_u"] - p["_u"]) / F.lit(1e6) > factor * c["_usual"]
     blocks = pieces.run_numbers(rows, keys, ["_u", "_usual"], gap, "block").withColumn("block", F.col("block") - 1)
