@@ -16,13 +16,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from gaugewright.llm.words import map_batches
+from gaugewright.llm.words import fresh, map_batches
 from gaugewright.session import checkpointed
 
 #: Distinct sites from which a line counts as boilerplate.
@@ -34,7 +35,7 @@ LG_K = 12
 #: Estimates within this share of the threshold (and one site) are checked exactly: six standard errors.
 NEAR = 0.1
 
-#: Lines (some 100 bytes each) up to which they are sent to every task.
+#: Lines up to which they are sent to every task, as sorted arrays of 37 bytes a line (18 MB in all).
 BROADCAST_LINES = 500_000
 
 _BLANK = " \t\r\x0b\x0c"
@@ -68,9 +69,11 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "
 
 def _in_place(docs: DataFrame, found: DataFrame, keep_first: bool) -> DataFrame:
     """Lines taken out by the task that reads the row."""
-    rows = found.select("h", "g", "first.doc_id", "first.pos", "first.th").collect()  # their number was checked
-    known = docs.sparkSession.sparkContext.broadcast({(r["h"], r["g"]): (r["doc_id"], r["pos"], r["th"]) for r in rows})
-    heads = docs.sparkSession.sparkContext.broadcast({r["h"] for r in rows})
+    rows = found.select("h", "g", "first.doc_id", "first.pos", "first.th").toArrow()  # their number was checked
+    plain = lambda name, kind: rows.column(name).fill_null(0).to_numpy().astype(kind)
+    lines = [plain("h", np.int64), plain("g", np.uint32), plain("doc_id", np.int64), plain("pos", np.int32), plain("th", np.int64), rows.column("doc_id").is_null().to_numpy()]
+    order = np.lexsort((lines[1], lines[0]))
+    known = docs.sparkSession.sparkContext.broadcast([c[order] for c in lines])
     at = docs.columns.index("text")
     blank = _BLANK.encode()
 
@@ -81,13 +84,23 @@ def _in_place(docs: DataFrame, found: DataFrame, keep_first: bool) -> DataFrame:
     def clean(doc_id: int | None, text: str | None) -> tuple[str | None, int, int]:
         if text is None:
             return None, 0, 0
-        data, gone = text.encode(), set()
+        heads, marks, ids, places, texts, none = known.value
+        data, gone, own = text.encode(), set(), None
         lines = data.split(b"\n")
-        for pos, line in enumerate(lines):
-            line = line.strip(blank)
-            if line and (h := signed(line)) in heads.value and (first := known.value.get((h, zlib.crc32(line)))):
-                if not keep_first or first != (doc_id, pos, signed(data)):
-                    gone.add(pos)
+        stripped = [line.strip(blank) for line in lines]
+        hashes = np.array([signed(line) if line else 0 for line in stripped], dtype=np.int64)
+        left, right = np.searchsorted(heads, hashes, "left"), np.searchsorted(heads, hashes, "right")
+        for pos in np.flatnonzero(right > left).tolist():
+            if not (line := stripped[pos]):
+                continue
+            for k in range(left[pos], right[pos]):
+                if marks[k] != zlib.crc32(line):
+                    continue
+                if keep_first and places[k] == pos and (doc_id is None if none[k] else doc_id == ids[k]):
+                    own = signed(data) if own is None else own
+                    if own == texts[k]:
+                        continue
+                gone.add(pos)
         return (b"\n".join(x for i, x in enumerate(lines) if i not in gone).decode() if gone else text), len(lines), len(gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,15 +115,16 @@ def _in_place(docs: DataFrame, found: DataFrame, keep_first: bool) -> DataFrame:
 
 def _by_join(docs: DataFrame, found: DataFrame, site: str, min_words: int, keep_first: bool) -> DataFrame:
     """Lines taken out by joins on the line, then on the row's doc_id and text."""
+    own_id, own_th, out = fresh("id", "th", "gone")
     at = _lines(docs, site, min_words).join(found.select("h", "g", "first"), ["h", "g"])
     if keep_first:
         at = at.where(~F.struct("doc_id", "pos", "th").eqNullSafe(F.col("first")))
-    gone = at.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_gone")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (_text_hash() == F.col("_th")), "left")
-    lines, removed = F.split("text", "\n"), F.coalesce(F.size("_gone"), F.lit(0))
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(removed).cast("long")}
-    return joined.withColumns(counts).withColumn("text", F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text"))).drop("_id", "_th", "_gone")
+    gone = at.groupBy("doc_id", "th").agg(F.collect_set("pos").alias(out)).select(F.col("doc_id").alias(own_id), F.col("th").alias(own_th), out)
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(own_id)) & (_text_hash() == F.col(own_th)), "left")
+    lines, removed = F.split("text", "\n"), F.coalesce(F.size(out), F.lit(0))
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col(out), i)), "\n")
+    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": F.when(F.col(out).isNull(), 0).otherwise(removed).cast("long")}
+    return joined.withColumns(counts).withColumn("text", F.when(F.col(out).isNotNull(), kept).otherwise(F.col("text"))).drop(own_id, own_th, out)
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", min_words: int = 1, keep_first: bool = True, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:

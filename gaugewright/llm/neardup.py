@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.llm.words import ASCII_SPACE, binary_column, list_column, map_batches, map_chunks, mix, seeds, shingles, span_hashes, spans, unique_runs
+from gaugewright.llm.words import ASCII_SPACE, binary_column, fresh, list_column, map_batches, map_chunks, mix, seeds, shingles, span_hashes, spans, unique_runs
 from gaugewright.operators.components import connected_components
 from gaugewright.session import checkpointed
 
@@ -179,8 +179,9 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _among(df: DataFrame, rows: DataFrame, how: str, limit: int) -> DataFrame:
     """Rows of df (with doc_id and text) that are, or aren't, among rows (doc_id and th); a null id is a value like others."""
-    named = rows.select(F.col("doc_id").alias("_nd_id"), F.col("th").alias("_nd_th")).distinct()
-    return df.join(_broadcast(named, limit), df["doc_id"].eqNullSafe(F.col("_nd_id")) & (F.xxhash64(df["text"]) == F.col("_nd_th")), how)
+    own_id, own_th = fresh("id", "th")
+    named = rows.select(F.col("doc_id").alias(own_id), F.col("th").alias(own_th)).distinct()
+    return df.join(_broadcast(named, limit), df["doc_id"].eqNullSafe(F.col(own_id)) & (F.xxhash64(df["text"]) == F.col(own_th)), how)
 
 
 def _broadcast(df: DataFrame, limit: int) -> DataFrame:

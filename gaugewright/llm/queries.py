@@ -25,7 +25,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     fold = langid.fold_of(F.col("doc_id"))
-    dictionaries = langid.learn_dictionaries(docs.where(fold != 1).select("doc_id", "text", "lang"))
+    dictionaries = langid.learn_dictionaries(docs.where(fold != 1).select("text", "lang"))
     found = langid.identify(docs, dictionaries)
     return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "rejected")
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugewright.llm.words import fresh
 from gaugewright.session import checkpointed
 
 LOW, HALF, WIDE = 0, 1 << 63, 1 << 64
@@ -147,24 +148,48 @@ def shard(df: DataFrame, size: Column, group: Column, tie: Column, shards: int =
     Shards' total sizes differ from an equal share by the tolerance (a part of a share) and what
     one indivisible row weighs. ``group`` is a 64-bit hash of what is to stay together, ``tie`` a
     long that orders a group's rows; ``size`` a non-negative long. Null size counts as 0, null group
-    or tie as the smallest. Rows equal in group and tie can't be told apart by a boundary and share
-    a shard. An empty table gives no rows; columns of df named shard or slot are replaced.
+    or tie as the smallest. Rows equal in group and tie share a shard unless they are too many for
+    that; then rows are written once with an ordinal, whose hash takes the place of the tie, and cut
+    by it. An empty table gives no rows; columns of df named shard or slot are replaced, all others
+    may have any name.
     """
-    own = df.drop("shard", "slot").withColumns({"_h": F.coalesce(group.cast("long"), F.lit(-HALF)), "_i": F.coalesce(tie.cast("long"), F.lit(-HALF)), "_size": F.coalesce(size.cast("long"), F.lit(0))})
-    keys = checkpointed(own.select("_h", "_i", "_size"))
-    splitters = find_splitters(keys, shards, tolerance, probes)
-    edges, parts = set(splitters), -(-keys.count() // PART_ROWS)
-    if parts > 1:
-        edges |= set(find_splitters(keys.withColumn("_size", F.lit(1).cast("long")), parts, 0.25, 4))
-    edges = sorted(edges)
+    h, i, s, p = fresh("h", "i", "size", "p")
+    own = df.drop("shard", "slot").withColumns({h: F.coalesce(group.cast("long"), F.lit(-HALF)), i: F.coalesce(tie.cast("long"), F.lit(-HALF)), s: F.coalesce(size.cast("long"), F.lit(0))})
+
+    def search(rows: DataFrame) -> tuple[list[int], list[int], Histogram, bool]:
+        """Splitters, all boundaries, the counts between these, and whether rows of one key weigh on a boundary."""
+        keys = checkpointed(rows.select(F.col(h).alias("_h"), F.col(i).alias("_i"), F.col(s).alias("_size")))
+        splitters = find_splitters(keys, shards, tolerance, probes)
+        edges, parts = set(splitters), -(-keys.count() // PART_ROWS)
+        if parts > 1:
+            edges |= set(find_splitters(keys.withColumn("_size", F.lit(1).cast("long")), parts, 0.25, 4))
+        edges = sorted(edges)
+        # the one key on either side of each boundary is counted by itself
+        fine = sorted({e + d for e in edges for d in (-1, 0, 1) if 0 <= e + d < WIDE * WIDE})
+        counts = _histogram(keys, fine)
+        share = sum(c[0] for c in counts) / shards
+        alone = [counts[k + 1] for k in range(len(fine) - 1) if fine[k + 1] - fine[k] == 1]
+        heavy = any(n > 1 and (size > tolerance * share or n > PART_ROWS // 4) for size, n, _, _ in alone)
+        merged: Histogram = []
+        for k, c in enumerate(counts):
+            if not k or fine[k - 1] in edges:
+                merged.append(c)
+            else:
+                merged[-1] = (merged[-1][0] + c[0], merged[-1][1] + c[1], None, None)
+        return splitters, edges, merged, heavy
+
+    splitters, edges, counts, heavy = search(own)
+    if heavy:
+        own = checkpointed(own.withColumn(i, F.xxhash64(i, F.monotonically_increasing_id())))
+        splitters, edges, counts, _ = search(own)
     shard_of, first, seen = [], [], 0
-    for k, (_, rows, _, _) in enumerate(_histogram(keys, edges)):
+    for k, (_, rows, _, _) in enumerate(counts):
         if k and edges[k - 1] in splitters:
             seen = 0
         shard_of.append(bisect_right(splitters, edges[k - 1]) if k else 0)
         first.append(seen)
         seen += rows
-    numbered = own.withColumn("_p", _placed(edges, shard_of, first)(F.col("_h"), F.col("_i")))
-    order = Window.partitionBy("_p.part").orderBy("_h", "_i", "_size")
-    numbered = numbered.withColumns({"shard": F.col("_p.shard"), "slot": F.row_number().over(order) - 1 + F.col("_p.first")})
-    return numbered.drop("_h", "_i", "_size", "_p")
+    numbered = own.withColumn(p, _placed(edges, shard_of, first)(F.col(h), F.col(i)))
+    order = Window.partitionBy(f"{p}.part").orderBy(h, i, s)
+    numbered = numbered.withColumns({"shard": F.col(f"{p}.shard"), "slot": F.row_number().over(order) - 1 + F.col(f"{p}.first")})
+    return numbered.drop(h, i, s, p)

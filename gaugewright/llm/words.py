@@ -5,6 +5,7 @@ All functions work on one batch inside a task. A null text counts as an empty on
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,6 +60,12 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> I
         row = to
 
 
+def fresh(*names: str) -> list[str]:
+    """Names for helper columns that no caller's column has."""
+    mark = uuid.uuid4().hex[:12]
+    return [f"_{name}_{mark}" for name in names]
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with batches of bounded bytes, so that what a task holds doesn't grow with the length of its texts.
 
