@@ -12,6 +12,7 @@ from gaugewright.params import DEFAULTS
 from gaugewright.plans.registry import EDGES, GAUGES, NODES, STATIONS, M, gauges, measurements, nodes, query, rounded, stations_frame, table, tree_edges
 from gaugewright.session import checkpointed, shared_path
 from gaugewright.sources import schemas, telemetry
+from gaugewright.sources.geometry import polygons_from, with_wkb
 
 _BY = "PARTITION BY station"
 
@@ -441,3 +442,22 @@ def repair_gaps(spark, sf_dir):
     name = lambda c: graph.node_key(F.col(f"{c}_at.x"), F.col(f"{c}_at.y"))
     named = edges.select(name("src").alias("src"), name("dst").alias("dst"))
     return graph.repair_gaps(named, segments.withColumn("dst", graph.node_key(F.col("coords")[1]["x"], F.col("coords")[1]["y"])), keyed, gaps, same_name_m=20_000.0, other_m=8_000.0)
+
+
+@query(
+    """WITH p AS (SELECT s_suppkey AS poly_id, (s_suppkey * 37 % 100 * 700)::DOUBLE AS px, (s_suppkey * 61 % 100 * 700)::DOUBLE AS py FROM supplier),
+n AS (SELECT c_custkey AS node, c_custkey * 7919 % 70000 + 0.25 AS x, c_custkey * 10473 % 70000 + 0.25 AS y FROM customer)
+SELECT poly_id::BIGINT AS poly_id, count(*)::BIGINT AS n_nodes, min(node)::BIGINT AS first_node, max(node)::BIGINT AS last_node FROM p JOIN n ON x BETWEEN px AND px + 4000 AND y BETWEEN py AND py + 4000
+WHERE NOT (x BETWEEN px + 1000 AND px + 3000 AND y BETWEEN py + 1000 AND py + 3000) OR (x BETWEEN px + 1500 AND px + 2500 AND y BETWEEN py + 1500 AND py + 2500) GROUP BY poly_id"""
+)
+def nodes_in_wkb_polygons(spark, sf_dir):
+    """Nodes inside polygons that come as binary geometry, each with a hole and an island in it. (SRC-07, JN-15)"""
+    k = F.col("s_suppkey").cast("long")
+    at = table(spark, sf_dir, "supplier").select(k.alias("poly_id"), (k * 37 % 100 * 700).cast("double").alias("px"), (k * 61 % 100 * 700).cast("double").alias("py"))
+    corner = lambda dx, dy: F.struct((F.col("px") + dx).alias("x"), (F.col("py") + dy).alias("y"))
+    ring = lambda a, b: F.array(corner(a, a), corner(b, a), corner(b, b), corner(a, b), corner(a, a))
+    blobs = with_wkb(at.select("poly_id", F.array(F.array(ring(0.0, 4000.0), ring(1000.0, 3000.0)), F.array(ring(1500.0, 2500.0))).alias("parts")))
+    c = F.col("c_custkey").cast("long")
+    points = table(spark, sf_dir, "customer").select(c.alias("node"), (c * 7919 % 70000 + 0.25).cast("double").alias("x"), (c * 10473 % 70000 + 0.25).cast("double").alias("y"))
+    inside = graph.in_polygons(points, polygons_from(blobs), 0.0)
+    return inside.groupBy("poly_id").agg(F.count("*").alias("n_nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
