@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewright.llm.words import map_batches
+from gaugewright.session import checkpointed
 
-#: The bound of the labelled sample: texts of a language, bytes of a dictionary, languages.
-SAMPLE_DOCS, DICTIONARY_BYTES, MAX_LANGUAGES = 120, 64 << 10, 512
+#: The bound of the labelled sample: documents of a language, characters of each, bytes of a dictionary, languages.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, MAX_LANGUAGES = 120, 4000, 64 << 10, 512
 
 #: Bytes encoded at a time; short blocks keep the dictionary at work throughout a long text.
 BLOCK_BYTES = 4000
@@ -34,37 +35,35 @@ _SEARCH = {"strategy": 5, "min_match": 4, "search_log": 6, "hash_log": 16, "chai
 _FOLD = {c: " " for c in range(128) if not chr(c).isalpha()}
 
 
-def learn_dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
+def learn_dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dictionary_bytes: int = DICTIONARY_BYTES, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
     """A dictionary for each non-null lang of ``labelled`` (text, lang; other columns are not looked at).
 
-    The sample is of distinct texts, by the least hash, so it depends neither on ids nor on the order or
-    the partitions of rows. Of a language's first ``sample_docs`` texts those go into its dictionary,
-    whole and in that order, that still find room in it; a text longer than a whole dictionary comes
-    after all others, and only as the only one. Texts are chosen by hash and length and fetched
-    afterwards; a language's hot share never meets in one task, for each task passes on its own least
-    ones only. More than ``max_languages`` labels are an error: the sample is bounded.
+    The sample is each language's ``sample_docs`` distinct texts of the least hash, so it
+    depends neither on ids nor on the order or the partitions of rows. Rows are chosen without their texts; a language's hot share never meets in one
+    task, for each task passes on its own least ones only. Every chosen text gives an equal share of
+    the dictionary, so that all of the sample is learned from; what short ones leave goes to the
+    others. More than ``max_languages`` labels are an error: the sample is bounded.
     """
-    usable = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("_h"), F.hash("text").alias("_g"))
-    order = Window.partitionBy("lang").orderBy(F.col("_n") > dictionary_bytes, F.when(F.col("_n") > dictionary_bytes, F.col("_n")), "_h", "_g")
-    texts = usable.select("lang", "_h", "_g", F.octet_length("text").alias("_n")).distinct()
-    ranked = texts.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= sample_docs).orderBy("lang", "_rn")
-    left: dict[str, int] = {}
-    chosen: list[tuple[str, int, int, int]] = []
-    for r in ranked.collect():  # at most sample_docs hashes a language
-        room = left.setdefault(r["lang"], dictionary_bytes)
-        if r["_n"] < room or r["_rn"] == 1:
-            left[r["lang"]] = max(0, room - r["_n"] - 1)
-            chosen.append((r["lang"], r["_h"], r["_g"], r["_rn"]))
-    if len(left) > max_languages:
-        raise ValueError(f"{len(left)} languages; max_languages is {max_languages}")
-    if not chosen:
-        return {}
-    wanted = labelled.sparkSession.createDataFrame(chosen, "lang string, _h long, _g int, _rn int")
-    found = usable.join(F.broadcast(wanted), ["lang", "_h", "_g"]).dropDuplicates(["lang", "_h", "_g"]).select("lang", "_rn", "text")
+    row = (F.xxhash64("text"), F.hash("text"))
+    usable = labelled.where("lang is not null and text is not null").select("lang", "text", row[0].alias("_h"), row[1].alias("_g"))
+    order = Window.partitionBy("lang").orderBy("_h", "_g")
+    chosen = checkpointed(usable.select("lang", "_h", "_g").distinct().withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample_docs).select("lang", "_h", "_g"))
+    if (found := chosen.select("lang").distinct().count()) > max_languages:
+        raise ValueError(f"{found} languages; max_languages is {max_languages}")
+    texts = usable.join(F.broadcast(chosen), ["lang", "_h", "_g"], "left_semi").select("lang", "_h", "_g", F.substring("text", 1, sample_chars).alias("text")).distinct()
     content: dict[str, list[bytes]] = {}
-    for r in sorted(found.collect(), key=lambda r: (r["lang"], r["_rn"])):  # dictionary_bytes a language, or one text
+    for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["_h"], r["_g"])):  # at most sample_docs texts a language
         content.setdefault(r["lang"], []).append(_fold(r["text"]) + b" ")
-    return {lang: b"".join(own) for lang, own in content.items()}
+    return {lang: _shared(own, dictionary_bytes) for lang, own in content.items()}
+
+
+def _shared(texts: list[bytes], total: int) -> bytes:
+    """The beginnings of texts, of equal length but for texts that are shorter, of ``total`` bytes in all at most."""
+    left, out = total, []
+    for k, text in enumerate(sorted(texts, key=len)):
+        out.append(text[: left // (len(texts) - k)])
+        left -= len(out[-1])
+    return b"".join(out)
 
 
 def _fold(text: str) -> bytes:
