@@ -139,12 +139,12 @@ def store(files: DataFrame, facts_path: str, journal_path: str, simulated: DataF
 def telemetry_lines(m: DataFrame) -> DataFrame:
     """Readings (station, sensor, ts, value, code) as file text, one row per station and day: station, day and text. (SNK-03)
 
-    A day's text has a block for each sensor, sorted by time. Numbers have six significant digits; a
+    A day's text has a block for each sensor, sorted by time, at one time by value as numbers. Numbers have six significant digits; a
     row without a value shows its code. A text never grows beyond a day, however long the history.
     """
     shown = F.when(F.col("value").isNotNull(), general_number(F.col("value"))).otherwise(F.concat(F.lit("---/["), F.coalesce("code", F.lit("0")), F.lit("]")))
     line = F.concat_ws(";", F.date_format("ts", "yyyyMMdd"), F.date_format("ts", "HH:mm:ss"), shown)
-    body = m.groupBy("station", "sensor", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", line.alias("l")))).alias("rows"))
+    body = m.groupBy("station", "sensor", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "value", line.alias("l")))).alias("rows"))
     block = F.concat(F.lit("<STATION>"), F.col("station"), F.lit("</STATION><SENSOR>"), F.col("sensor"), F.lit("</SENSOR>\n"), F.array_join(F.transform("rows", lambda r: r["l"]), "\n"))
     return body.groupBy("station", "day").agg(F.array_join(F.array_sort(F.collect_list(block)), "\n").alias("text"))
 

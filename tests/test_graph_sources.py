@@ -274,3 +274,11 @@ def test_facts_written_without_a_journal_are_found_again(spark, tmp_path):
     for k in range(2):  # the journal of the first run is lost
         telemetry.store(files, str(tmp_path / "facts"), str(tmp_path / f"journal{k}"))
     assert spark.read.parquet(str(tmp_path / "facts")).count() == 3
+
+
+def test_readings_of_one_second_are_written_by_value(spark, tmp_path):
+    m = spark.createDataFrame([("S1", "10", v, "0") for v in (100.5, 20.25, None, 3.0)], "station string, sensor string, value double, code string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    files = telemetry.telemetry_lines(m).select(F.lit("a").alias("path"), F.lit("a").alias("name"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("digest"), "text")
+    assert [r["value"] for r in telemetry.parse_telemetry(files).orderBy("line").collect()] == [None, 3.0, 20.25, 100.5]
+    telemetry.store(files, str(tmp_path / "facts"), str(tmp_path / "journal"))
+    assert [r["value"] for r in schemas.read_facts(spark, str(tmp_path / "facts")).collect()] == [3.0]  # as text, 100.5 came first
