@@ -459,5 +459,5 @@ def nodes_in_wkb_polygons(spark, sf_dir):
     blobs = with_wkb(at.select("poly_id", F.array(F.array(ring(0.0, 4000.0), ring(1000.0, 3000.0)), F.array(ring(1500.0, 2500.0))).alias("parts")))
     c = F.col("c_custkey").cast("long")
     points = table(spark, sf_dir, "customer").select(c.alias("node"), (c * 7919 % 70000 + 0.25).cast("double").alias("x"), (c * 10473 % 70000 + 0.25).cast("double").alias("y"))
-    inside = graph.in_polygons(points, polygons_from(blobs), 0.0)
-    return inside.groupBy("poly_id").agg(F.count("*").alias("n_nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
+    counts = graph.count_in_polygons(points, polygons_from(blobs), 0.0)
+    return counts.groupBy("poly_id").agg(F.sum("n_nodes").alias("n_nodes"), F.min("first_node").alias("first_node"), F.max("last_node").alias("last_node"))

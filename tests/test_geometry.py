@@ -102,3 +102,15 @@ def test_polygons_written_and_read_again(spark):
     df = spark.createDataFrame(rows, "id int, parts array<array<array<struct<x:double,y:double>>>>")
     got = {r["id"]: (r["shape"], [[tuple(q) for q in p] for p in r["rings"]]) for r in geometry.with_geometry(geometry.with_wkb(df)).collect()}
     assert got == {1: (3, rows[0][1][0]), 2: (6, rows[1][1][0] + rows[1][1][1]), 3: (6, []), 4: (None, [])}
+
+
+def test_copies_of_nodes_and_polygons_are_counted_not_paired(spark):
+    rings = "array(array(struct(0d as x, 0d as y), struct(900d as x, 0d as y), struct(900d as x, 900d as y), struct(0d as x, 900d as y)), array(struct(200d as x, 200d as y), struct(400d as x, 200d as y), struct(400d as x, 400d as y), struct(200d as x, 400d as y)))"
+    polygons = spark.range(30_000).select(F.col("id").alias("poly_id"), F.expr(rings).alias("rings"))
+    nodes = spark.range(60_000).select(F.col("id").alias("node"), F.when(F.col("id") % 2 == 0, 300.5).otherwise(100.5).alias("x"), F.lit(300.5).alias("y"))
+    got = graph.count_in_polygons(nodes, polygons, 0.0)  # 900 million pairs
+    assert got.agg(F.count("*"), F.min("n_nodes"), F.max("n_nodes"), F.min("first_node"), F.max("last_node")).first() == (30_000, 30_000, 30_000, 1, 59_999)
+    few = polygons.where("poly_id < 3").unionByName(polygons.where("poly_id = 0"))  # a repeated id is a row of its own
+    pairs = graph.in_polygons(nodes.where("node < 100"), few, 0.0).groupBy("poly_id").agg(F.count("*").alias("n"))
+    assert {(r["poly_id"], r["n"]) for r in pairs.collect()} == {(0, 100), (1, 50), (2, 50)}
+    assert sorted((r["poly_id"], r["n_nodes"]) for r in graph.count_in_polygons(nodes.where("node < 100"), few, 0.0).collect()) == [(0, 50), (0, 50), (1, 50), (2, 50)]
