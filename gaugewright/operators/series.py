@@ -95,10 +95,35 @@ def continuous_blocks(m: DataFrame, factor: float = 1.5, keys: Sequence[str] = S
 
 
 def rolling_sum(m: DataFrame, hours: float, keys: Sequence[str] = SERIES, name: str = "rolling", width: int = pieces.WIDTH) -> DataFrame:
-    """Sum over the half-open time frame (ts - hours, ts]. (WIN-08)"""
-    reach = int(hours * HOUR) - 1
-    frame = Window.partitionBy(*keys, "_piece").orderBy(micros("ts")).rangeBetween(-reach, 0)
-    return pieces.widened_by_time(m, reach, width).withColumn(name, F.sum("value").over(frame)).where("_own").drop("_piece", "_own")
+    """Sum over the half-open time frame (ts - hours, ts]. (WIN-08)
+
+    Series are cut into buckets of a 24th of the frame at most. A frame is the end of the bucket that
+    it begins in, whole buckets, and the start of its row's own: the two ends are running sums within a
+    bucket and the middle is summed over buckets, so that a row costs the same however many its frame
+    holds. Nothing is subtracted. Rows without a time are one frame.
+    """
+    keys, reach = list(keys), int(hours * HOUR) - 1
+    bucket = max(1, min(width, (reach + 1) // 24))
+    many = reach // bucket  # a frame begins so many buckets before its row's, or one more
+    by, kept = [*keys, "_bucket"], list(m.columns)
+    rows = m.withColumn("_u", micros("ts")).withColumn("_bucket", F.floor(F.col("_u") / bucket).cast("long"))
+    along = Window.partitionBy(*keys).orderBy("_bucket")
+    middle = lambda n: F.sum("_sum").over(along.rangeBetween(-n, -1)) if n > 0 else F.lit(None).cast("double")
+    buckets = rows.where("_bucket is not null").groupBy(*by).agg(F.sum("value").alias("_sum"))
+    # a bucket's own row comes before all others in it
+    heads = buckets.select(*by, middle(many - 1).alias("_less"), middle(many).alias("_more"), F.lit(-(1 << 62)).alias("_u"))
+    upto = Window.partitionBy(*by).orderBy("_u").rangeBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("_row", F.lit(True)).unionByName(heads, allowMissingColumns=True)
+    placed = placed.withColumns({"_start": F.sum(F.when(F.col("_row"), F.col("value"))).over(upto), "_less": F.max("_less").over(upto), "_more": F.max("_more").over(upto)}).where("_row")
+    begin = F.floor((F.col("_u") - reach) / bucket).cast("long")
+    placed = placed.withColumn("_mid", F.when(F.col("_bucket") - begin > many, F.col("_more")).otherwise(F.col("_less"))).drop("_less", "_more")
+    asked = placed.withColumns({"_bucket": begin, "_u": F.col("_u") - reach})
+    ends = rows.where("_bucket is not null").select(*by, "_u", F.col("value").alias("_end"))
+    down = Window.partitionBy(*by).orderBy(F.desc("_u")).rangeBetween(Window.unboundedPreceding, 0)
+    told = asked.unionByName(ends, allowMissingColumns=True).withColumn("_end", F.sum("_end").over(down)).where("_row")
+    parts = [F.col(c) for c in ("_end", "_mid", "_start")]
+    known = F.coalesce(*parts).isNotNull()
+    return told.select(*[c for c in kept if c != name], F.when(known, sum((F.coalesce(c, F.lit(0.0)) for c in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))).alias(name))
 
 
 def dense_daily(m: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:

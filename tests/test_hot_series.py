@@ -178,3 +178,11 @@ def test_only_a_bracket_is_counted_by_value(spark):
             exact_median_of(df, ["k"], "value").collect()
         finally:
             selection.F.percentile_approx = real
+
+
+def test_a_frame_of_very_many_rows_costs_no_more_a_row(spark):
+    rows = spark.range(200_000).select(F.lit("a").alias("station"), F.lit("s").alias("sensor"), F.timestamp_micros(F.col("id") * 360_000).cast("timestamp_ntz").alias("ts"), F.lit(1.0).alias("value"), "id")
+    got = series.rolling_sum(rows, 24).where("rolling <> id + 1")  # a row every 0.36 s: the frame holds all before
+    assert got.count() == 0
+    hour = series.rolling_sum(rows, 1).where("rolling <> least(id + 1, 10000)")
+    assert hour.count() == 0
