@@ -1,6 +1,8 @@
 """Series primitives and rules on hand-made series with known results."""
 
 import math
+import random
+import statistics
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -8,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewright.functions import scalar, stats
+from gaugewright.functions.stats import HOUR, micros
 from gaugewright.operators import anomalies, crossing, instant, interstation, listing, longterm, series, state
 from gaugewright.params import BATTERY, DEFAULTS, DISCHARGE, LEVEL, RAIN
 from gaugewright.sources import synthetic
@@ -366,3 +369,34 @@ def test_injected_faults_are_found_and_healthy_series_are_not(spark):
 
     assert found(clean) == set()
     assert journal <= found(broken)
+
+
+def _brute_around(rain, level, before, window, after):
+    out = {}
+    for u in rain:
+        d = u - window
+        first, last = [v for t, v in level if d - before <= t <= d], [v for t, v in level if d < t <= u + after]
+        known, later = [v for v in first if v is not None], [v for v in last if v is not None]
+        out[u] = (len(first), statistics.median(known) if known else None, len(last), max(later, default=None))
+    return out
+
+
+def test_level_around_rain_against_brute_force(spark):
+    rng = random.Random(9)
+    rain = sorted({rng.randrange(20 * 24) for _ in range(60)})
+    level = [(rng.randrange(-48, 20 * 24), rng.choice([None, float(rng.randrange(7)), rng.random()])) for _ in range(300)]
+    at = F.timestamp_micros(F.col("h") * HOUR + 1_704_067_200_000_000).cast("timestamp_ntz")
+    asked = spark.createDataFrame([("A", h) for h in rain] + [("B", 5)], "station string, h long").select("station", "h", at.alias("ts"), micros(at).alias("u"), (micros(at) - 24 * HOUR).alias("d"))
+    readings = spark.createDataFrame([("A", h, v) for h, v in level] + [("C", 1, 1.0)], "station string, h long, value double").select("station", at.alias("ts"), "value")
+    got = crossing._around(asked, readings, 12, 24 * HOUR, 36).join(asked.select("station", "ts", "h"), ["station", "ts"]).collect()
+    want = _brute_around(rain, level, 12, 24, 36)
+    assert {r["h"]: (r["n_before"], r["base"], r["n_after"], r["peak"]) for r in got if r["station"] == "A"} == want
+    assert [(r["n_before"], r["base"], r["n_after"], r["peak"]) for r in got if r["station"] == "B"] == [(0, None, 0, None)]
+
+
+def test_rain_and_level_are_not_paired(spark):
+    each = lambda step, value: spark.range(40_000).select(F.lit("A").alias("station"), F.timestamp_micros(F.col("id") * step).cast("timestamp_ntz").alias("ts"), value.alias("value"))
+    rain, level = each(5_400_000, F.lit(1.0)), each(5_400_001, F.col("id").cast("double"))  # 60 hours: most of 1.6 billion pairs are near
+    got = crossing.response_candidates(rain, level, replace(DEFAULTS, response_rain_mm=10.0)).groupBy("verdict").agg(F.count("*").alias("n"), F.max("mm").alias("mm"), F.max("peak").alias("peak"))
+    assert {r["verdict"]: r["n"] for r in got.collect()}.keys() <= {"few_before", "already_high", "response"}
+    assert got.agg(F.sum("n"), F.max("mm"), F.max("peak")).first() == (40_000 - 9, 16_000.0, 39_999.0)
