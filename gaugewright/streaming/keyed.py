@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,15 +91,48 @@ def silence(stream: DataFrame, params: Params = DEFAULTS, late: str = "10 minute
     return rows.groupBy("station", "sensor").transformWithStateInPandas(_Silence(int(params.silence_h * HOUR)), schema, "Append", "EventTime")
 
 
+def frame_sums(us: np.ndarray, values: np.ndarray, span_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by time, the sum and count of what isn't NaN over (us - span, us]; the sum of nothing is 0.
+
+    Times are cut into buckets of a 24th of the span: a frame is the end of one, whole ones and the start
+    of another, so that a row costs the same however many its frame holds. Nothing is subtracted.
+    """
+    if not len(us):
+        return np.zeros(0), np.zeros(0, np.int64)
+    known = ~np.isnan(values)
+    own = np.where(known, values, 0.0)
+    starts = np.flatnonzero(np.diff(us // max(1, span_us // 24), prepend=us[0] // max(1, span_us // 24) - 1))
+    bounds = [*starts.tolist(), len(us)]
+    upto, rest = np.empty(len(us)), np.empty(len(us))
+    for a, b in zip(bounds, bounds[1:]):  # noqa: B905
+        upto[a:b], rest[a:b] = np.cumsum(own[a:b]), np.cumsum(own[a:b][::-1])[::-1]
+    whole, bucket = rest[starts], np.searchsorted(starts, np.arange(len(us)), "right") - 1
+    first, last = np.searchsorted(us, us - span_us, "right"), np.searchsorted(us, us, "right") - 1
+    total, at, to = upto[last], bucket[first], bucket[last]
+    total = total + np.where(at < to, rest[first], 0.0)
+    for d in range(1, int((to - at).max())):
+        total = total + np.where(at + d < to, whole[np.minimum(at + d, len(whole) - 1)], 0.0)
+    count = np.cumsum(known)
+    return total, count[last] - count[first] + known[first]
+
+
 class _Sliding(StatefulProcessor):
-    """State of a series: values by time, as far back as a frame can still reach, and the time from which rows wait for the clock."""
+    """State of a series: rows that wait for the clock, rows told that a frame can still reach, both by buckets of time, and the time of the first that waits.
+
+    A bucket's rows are two arrays as bytes, so that state is read and written by the bucket, not by the row.
+    """
+
+    #: Rows of one batch that are gathered before they are put into their buckets.
+    GATHERED = 500_000
 
     def __init__(self, span_us: int):
         self.span_us = span_us
+        self.bucket_us = max(1, span_us // 24)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "us long", "values array<double>, waits boolean")
+        self.waiting = handle.getMapState("waiting", "bucket long", "us binary, value binary")
+        self.told = handle.getMapState("told", "bucket long", "us binary, value binary")
         self.timer = handle.getValueState("timer", "ms long")
 
     def _wait(self, at_us: int | None) -> None:
@@ -115,38 +149,79 @@ class _Sliding(StatefulProcessor):
             self.handle.registerTimer(new)
             self.timer.update((new,))
 
+    @staticmethod
+    def _arrays(state) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(state[0], np.int64), np.frombuffer(state[1], np.float64)
+
+    def _add(self, states, us: np.ndarray, values: np.ndarray) -> None:
+        """Rows into their buckets, after those that are there."""
+        order = np.argsort(us, kind="stable")
+        us, values = us[order], values[order]
+        buckets = us // self.bucket_us
+        for part in np.split(np.arange(len(us)), np.flatnonzero(np.diff(buckets)) + 1):
+            key, more = (int(buckets[part[0]]),), (us[part], values[part])
+            if states.containsKey(key):
+                more = [np.concatenate(x) for x in zip(self._arrays(states.getValue(key)), more)]  # noqa: B905
+            states.updateValue(key, (more[0].tobytes(), more[1].tobytes()))
+
+    def _all(self, states) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        return {k[0]: self._arrays(v) for k, v in states.iterator()}
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, held, n = None, [], 0
+
+        def put() -> None:
+            if n:
+                self._add(self.waiting, *[np.concatenate(x) for x in zip(*held)])  # noqa: B905
+
         for part in rows:
-            for us, own in part.groupby(part["ts"].astype("datetime64[us]").astype("int64"))["value"]:
-                values = list(self.held.getValue((us,))[0]) if self.held.containsKey((us,)) else []
-                self.held.updateValue((us,), (values + [float(v) for v in own], True))
-                first = us if first is None else min(first, us)
+            us = part["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            if len(us):
+                first = min(int(us.min()), first if first is not None else int(us.min()))
+                held.append((us, part["value"].to_numpy(np.float64, na_value=np.nan)))
+                n += len(us)
+            if n >= self.GATHERED:
+                put()
+                held, n = [], 0
+        put()
         waiting = self.timer.get()[0] if self.timer.exists() else None
         if first is not None and (waiting is None or first // 1000 + 1 < waiting):
-            self._wait(int(first))
+            self._wait(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         clock_us = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((k[0], list(v[0]), v[1]) for k, v in self.held.iterator())
-        out, start, total, n = [], 0, 0.0, 0
-        for i, (us, values, waits) in enumerate(held):
-            while held[start][0] <= us - self.span_us:
-                start += 1
-            if waits and us < clock_us:
-                inside = [v for _, vs, _ in held[start : i + 1] for v in vs if v == v]
-                total, n = sum(inside), len(inside)
-                out += [(us, v, total if n else None, n) for v in values]
-                self.held.updateValue((us,), (values, False))
-        left = [us for us, _, waits in held if waits and us >= clock_us]
-        for us, _, _ in held:
-            if us <= min([clock_us, *left]) - self.span_us:
-                self.held.removeKey((us,))
-        self._wait(min(left) if left else None)
-        if out:
-            us, value, total, n = zip(*out, strict=True)
-            yield pd.DataFrame({"station": key[0], "sensor": key[1], "ts": pd.to_datetime(list(us), unit="us"), "value": list(value), "rolling": list(total), "n": list(n)})
+        waiting, told = self._all(self.waiting), self._all(self.told)
+        rows = [(*both, np.full(len(both[0]), waits)) for held, waits in ((told, False), (waiting, True)) for both in held.values()]
+        us, values, waits = (np.concatenate(x) for x in zip(*rows))  # noqa: B905
+        order = np.argsort(us, kind="stable")
+        us, values, waits = us[order], values[order], waits[order]
+        due = waits & (us < clock_us)
+        left_us = us[waits & ~due]
+        before = us < clock_us  # frames of what is due hold nothing later
+        total, n = frame_sums(us[before], values[before], self.span_us)
+        told_now = due[before]
+        # what a later frame can reach stays, and what waits
+        reach_us = min([clock_us, *left_us[:1].tolist()]) - self.span_us
+        for bucket, both in waiting.items():
+            late = both[0] >= clock_us
+            if not late.all():
+                now = ~late & (both[0] > reach_us)
+                if now.any():
+                    self._add(self.told, both[0][now], both[1][now])
+                if late.any():
+                    self.waiting.updateValue((bucket,), (both[0][late].tobytes(), both[1][late].tobytes()))
+                else:
+                    self.waiting.removeKey((bucket,))
+        for bucket in told:
+            if (bucket + 1) * self.bucket_us <= reach_us:
+                self.told.removeKey((bucket,))
+        self._wait(int(left_us[0]) if len(left_us) else None)
+        if told_now.any():
+            us, value, total, n = us[before][told_now], values[before][told_now], total[told_now], n[told_now]
+            for a in range(0, len(us), 100_000):
+                b = slice(a, a + 100_000)
+                yield pd.DataFrame({"station": key[0], "sensor": key[1], "ts": pd.to_datetime(us[b], unit="us"), "value": value[b], "rolling": np.where(n[b] > 0, total[b], np.nan), "n": n[b]})
 
     def close(self) -> None:
         pass

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,23 @@ def test_sessions_are_the_blocks_of_a_history(spark, river):
     got = river.run("b", lambda s: monitor.sessions_by_step(s, usual), files=1).where("station = 'a'")
     key = lambda df: sorted((r["first_ts"], r["last_ts"], r["n"]) for r in df.collect())
     assert key(got) == key(series.continuous_blocks(plain, step="mode")) and got.count() > 5
+
+
+def test_frame_sums_against_brute_force():
+    rng = np.random.default_rng(5)
+    for size in (1, 30, 400):
+        us = np.sort(rng.integers(-3000, 3000, size))
+        values = np.where(rng.random(size) < 0.1, np.nan, rng.integers(0, 9, size).astype(float))
+        for span in (10, 240, 1000):
+            total, n = keyed.frame_sums(us, values, span)
+            inside = [(us > t - span) & (us <= t) & ~np.isnan(values) for t in us]
+            assert total.tolist() == [values[i].sum() for i in inside] and n.tolist() == [i.sum() for i in inside]
+
+
+def test_a_long_frame_of_a_stream_costs_no_more_a_row(spark, river, tmp_path):
+    at = F.timestamp_micros(F.col("id") * 360_000 + 1_704_067_200_000_000).cast("timestamp_ntz")
+    rows = spark.range(100_000).select(F.lit("a").alias("station"), F.lit("s").alias("sensor"), at.alias("ts"), F.lit(1.0).alias("value"))
+    rows.write.mode("append").parquet(str(tmp_path / "src"))
+    river.put([("clock", 10_000_000, 0.0)])
+    got = river.run("long", lambda s: keyed.sliding_sums(s, 24)).where("station = 'a'")
+    assert got.agg(F.count("*"), F.sum("rolling"), F.max("n")).first() == (100_000, 100_000 * 100_001 / 2, 100_000)
